@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from netloom.llm.minhash import near_texts
+from netloom.llm.packing import best_fit
 from netloom.llm.quality import PerplexityQuality
+from netloom.llm.shared import written
+from netloom.llm.substrings import remove_repeats
+from netloom.llm.toxicity import Toxicity, held_out
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,17 +17,40 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return PerplexityQuality().fit(docs).accept(docs)
 
 
-STAGES = [("quality rules", quality)]
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic; the lexicon is learned from the labelled ones among docs."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return Toxicity().fit(docs, labels.where(~held_out())).accept(docs)
 
-#: The perplexity, toxicity and near-duplicate stages are not expressible in SQL.
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each class of near-duplicates; one row of each doc_id stays."""
+    copies = near_texts(docs).where(~F.col("kept")).select("doc_id")
+    kept = docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    repeated = not docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty()
+    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the words of repeated windows; n_chars is the length of what is left."""
+    cut = remove_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bin and place of every piece of every document."""
+    return best_fit(docs)
+
+
+STAGES = [("quality rules", quality), ("toxicity", toxicity), ("MinHash near-dedup", near_duplicates), ("substring dedup", repeated_passages), ("best-fit packing", packing)]
+
+#: Perplexity, learned weights, similarity components and best-fit are not expressible in SQL; tests use brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each stage's rows are written as Parquet in the shared folder and read again by the next one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    from netloom.llm.shared import written
-
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
