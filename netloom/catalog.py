@@ -1,4 +1,13 @@
 """All registered queries and the SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from .plans import feature_queries, netlist_queries
+
+_PLANS = (netlist_queries, feature_queries)
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _plan in _PLANS:
+    QUERIES |= _plan.QUERIES
+    ORACLE_SQL |= _plan.ORACLE_SQL
