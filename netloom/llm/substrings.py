@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import checkpointed, shared_folder
-from .textops import U64, Words, covered, per_text
+from .textops import U64, Words, covered, mix64, per_text
 
 WINDOW = 35
 CHUNK_BYTES = 8 << 20
@@ -62,11 +62,14 @@ def _twice(h: np.ndarray) -> np.ndarray:
 
 
 def _requests(chunk: int, h: np.ndarray, among: np.ndarray, ranges: int) -> pa.Table:
-    """h by ranges of the hash, each once, or twice if `among` has it at two places."""
+    """h by ranges of their mixed hash, each once, or twice if `among` has it at two places."""
     h = np.unique(h)
     again = h[np.isin(h, _twice(among))]
-    h = np.sort(np.concatenate([h, again]))
-    part = ((h >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int64)
+    h = np.concatenate([h, again])
+    with np.errstate(over="ignore"):
+        part = ((mix64(h) >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int64)  # anchors are small hashes, so they are mixed anew
+    order = np.lexsort((h, part))
+    h, part = h[order], part[order]
     cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(h) else np.zeros(0, np.int64)
     ends = np.r_[cut[1:], len(h)] if len(cut) else cut
     return pa.table({"chunk": pa.array(np.full(len(cut), chunk)), "part": pa.array(part[cut]), "h": pa.array([h[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())})
