@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import feature_queries, netlist_queries
+from .plans import feature_queries, netlist_queries, text_queries
 
-_PLANS = (netlist_queries, feature_queries)
+_PLANS = (netlist_queries, feature_queries, text_queries)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
