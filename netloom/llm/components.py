@@ -4,24 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import checkpointed
+from .shared import written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, c) for every end of edges (a, b): the least id that links reach from v.
 
     Each round takes the least label among a vertex and its neighbours and then the label of that label, so a path of
-    length n is done in about log n rounds. Labels are checkpointed each round; only whether one changed goes to the
-    driver. Null ends are dropped, loops and repeated edges do no harm, and no edges give no rows.
+    length n is done in about log n rounds. Labels are written as Parquet in the shared folder each round: that cuts the
+    lineage and also gives the next round true sizes, where a checkpoint would carry on estimates that multiply with every
+    join. Only whether a label changed goes to the driver. Null ends are dropped, loops and repeated edges do no harm, and no edges give no rows.
     """
     edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
-    both = checkpointed(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("c")).select("v", F.least("v", "c").alias("c")))
+    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = written(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("c")).select("v", F.least("v", "c").alias("c")), "labels")
     while True:
         near = both.join(labels.select(F.col("v").alias("b"), "c"), "b").groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
         stepped = labels.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "m").alias("c"))
         jump = labels.select(F.col("v").alias("c"), F.col("c").alias("up"))
-        following = checkpointed(stepped.join(jump, "c").select("v", F.least("c", "up").alias("c"), (F.least("c", "up") < F.col("old")).alias("changed")))
+        following = written(stepped.join(jump, "c").select("v", F.least("c", "up").alias("c"), (F.least("c", "up") < F.col("old")).alias("changed")), "labels")
         labels = following.select("v", "c")
         if following.where("changed").isEmpty():
             return labels
