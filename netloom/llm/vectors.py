@@ -50,7 +50,7 @@ def _unit(values: pa.Array, size: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def linked(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, along: int, w: float, least: int, threshold: float, same: bool, block: int = 1024):
+def linked(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, along: int, w: float, least: int, threshold: float, same: bool, block: int = 256):
     """Numbers of the linked pairs of two tiles that first collide along direction `along`; with `same`, each pair once."""
     out, m = [], px.shape[1]
     px32, py32 = px.astype(np.float32), py.astype(np.float32)
@@ -61,18 +61,18 @@ def linked(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, along:
             if py[b : b + block, along].min() > hi or py[b : b + block, along].max() < lo:
                 continue
             p, q = px32[a : a + block], py32[b : b + block]
-            count = np.zeros((len(p), len(q)), np.uint8)
-            near = None
-            for k in range(dense := min(m, along + 4)):
-                hit = np.abs(p[:, k, None] - q[None, :, k]) <= wide
+            count, apart, missed = (np.zeros((len(p), len(q)), t) for t in (np.uint8, np.float32, bool))
+            for k in range(dense := min(m, along + 8)):
+                np.subtract(p[:, k, None], q[None, :, k], out=apart)
+                np.abs(apart, out=apart)
+                np.greater(apart, wide, out=missed)
                 if k < along:
-                    count += ~hit
-                    near = ~hit if near is None else near & ~hit
+                    count[~missed] = 128  # counted along direction k
                 elif k == along:
-                    near = hit if near is None else near & hit
+                    count[missed] |= 128
+                    count += along  # the directions before were all missed
                 else:
-                    count += ~hit
-            count[~near] = 255
+                    count += missed.view(np.uint8)
             i, j = np.nonzero(count <= m - least)
             missed = count[i, j].astype(np.int64)
             for k in range(dense, m):
