@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import feature_queries, netlist_queries, text_queries
+from .plans import advice_queries, feature_queries, netlist_queries, relational_queries, text_queries
 
-_PLANS = (netlist_queries, feature_queries, text_queries)
+_PLANS = (netlist_queries, feature_queries, text_queries, advice_queries, relational_queries)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
