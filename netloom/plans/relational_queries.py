@@ -11,6 +11,11 @@ from .netlist_queries import _labels, slacks
 from ..operators.features import labels as label_table, node_features
 
 
+def _micros(column: str):
+    """Microseconds since 1970 of a time without a zone, whatever the session's zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST({column} AS TIMESTAMP_NTZ))")
+
+
 def star_join_agg(spark, sf_dir) -> DataFrame:
     """Revenue and orders of each nation and segment."""
     li, o, c, n = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "nation"))
@@ -42,19 +47,19 @@ def window_frames(spark, sf_dir):
     """Running and trailing sums of each user's events, and the gap to the one before."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, sf_dir, "events")
-    return e.select("event_id", F.round(F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)), 4).alias("running"), F.round(F.avg("value").over(w.rowsBetween(-2, 0)), 6).alias("trailing"), (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))).alias("gap_us"), F.ntile(4).over(w).cast("long").alias("quarter"))
+    return e.select("event_id", F.round(F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)), 4).alias("running"), F.round(F.avg("value").over(w.rowsBetween(-2, 0)), 6).alias("trailing"), (_micros("ts") - F.lag(_micros("ts")).over(w)).alias("gap_us"), F.ntile(4).over(w).cast("long").alias("quarter"))
 
 
 def events_tumbling(spark, sf_dir):
-    return streams.tumbling(table(spark, sf_dir, "events"), "6 hours").select(F.unix_micros("start").alias("start_us"), "event_type", "n", "total")
+    return streams.tumbling(table(spark, sf_dir, "events"), "6 hours").select(_micros("start").alias("start_us"), "event_type", "n", "total")
 
 
 def events_sliding(spark, sf_dir):
-    return streams.sliding(table(spark, sf_dir, "events"), "1 day", "6 hours").select(F.unix_micros("start").alias("start_us"), "event_type", "n", "total")
+    return streams.sliding(table(spark, sf_dir, "events"), "1 day", "6 hours").select(_micros("start").alias("start_us"), "event_type", "n", "total")
 
 
 def events_session(spark, sf_dir):
-    return streams.sessions(table(spark, sf_dir, "events"), "2 hours").select("user_id", F.unix_micros("start").alias("start_us"), "n")
+    return streams.sessions(table(spark, sf_dir, "events"), "2 hours").select("user_id", _micros("start").alias("start_us"), "n")
 
 
 def train_head_regression(spark, sf_dir):
