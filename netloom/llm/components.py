@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .shared import written
 
+#: Edges of one partition: a link table of few rows is not dealt over many tasks, so that a round needs no shuffle.
+EDGES = 250_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, c) for every end of edges (a, b): the least id that links reach from v.
@@ -17,12 +20,18 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
     both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("c")).select("v", F.least("v", "c").alias("c")), "labels")
+    few = both.count() <= EDGES
+
+    def held(df: DataFrame) -> DataFrame:
+        return written(df, "labels").coalesce(1) if few else written(df, "labels")
+
+    both = both.coalesce(1) if few else both
+    labels = held(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("c")).select("v", F.least("v", "c").alias("c")))
     while True:
         near = both.join(labels.select(F.col("v").alias("b"), "c"), "b").groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
         stepped = labels.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "m").alias("c"))
         jump = labels.select(F.col("v").alias("c"), F.col("c").alias("up"))
-        following = written(stepped.join(jump, "c").select("v", F.least("c", "up").alias("c"), (F.least("c", "up") < F.col("old")).alias("changed")), "labels")
+        following = held(stepped.join(jump, "c").select("v", F.least("c", "up").alias("c"), (F.least("c", "up") < F.col("old")).alias("changed")))
         labels = following.select("v", "c")
         if following.where("changed").isEmpty():
             return labels
