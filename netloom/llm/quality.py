@@ -2,10 +2,10 @@
 
 The language model is an interpolated modified Kneser-Ney model over UTF-8 byte n-grams (order 5; any run of
 white space is one space, a text begins with zero bytes). Spark counts all n-grams of all texts and derives the
-continuation counts, discounts and back-off weights with grouping and joins. The finished model is stored as one
-array for each order, sorted by a 32-bit hash of language and n-gram, with at most one n-gram for each of the
-2**SLOT_BITS leading hash values: the more frequent n-gram stays, the other one backs off. So the stored model has
-a size bound that no corpus can exceed (6 orders * 2**21 slots * 12 bytes = 151 MB) and can be broadcast.
+continuation counts, discounts and back-off weights with grouping and joins. The model is a table in the shared folder
+that keeps every counted n-gram, whatever its size. Texts are scored in blocks: the different n-grams of a block are
+joined with the table, those it lacks back off order by order, and the block's texts meet their log probabilities in
+one task. A block is what a task reads, at most BLOCK_BYTES of text, so nothing is broadcast and no n-gram is dropped.
 
 A text is rejected if its log perplexity lies outside its language's band: median -/+ a multiple of the spread
 (interquartile range / 1.349) of all texts of the language that pass the base rules. The mean of a short text varies
@@ -20,14 +20,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .shared import checkpointed
+from .shared import checkpointed, written
 from .textops import U64, Words, covered, mix64, per_text, slices
 
 ORDER = 5
-SLOT_BITS = 21
-HASH_BITS = 32
+#: Bytes of text that are scored together in a task.
+BLOCK_BYTES = 32_000_000
 SYMBOLS = "[#*$%&|<>]"
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _SYMBOL = np.zeros(256, bool)
@@ -144,72 +147,39 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return every.groupBy("lang", "n", "gram").agg(F.max("c").alias("c"), F.max("p").alias("p"), F.max("bow").alias("bow"))
 
 
-def _seed(lang: str | None, n: int) -> int:
-    import zlib
-
-    return (zlib.crc32((lang or "\0").encode()) << 8) | n
-
-
-def _slot_hash(gram: np.ndarray, lang: str | None, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (mix64(gram + U64(_seed(lang, n)) * U64(0x9E3779B97F4A7C15)) >> U64(64 - HASH_BITS)).astype(np.uint32)
-
-
-def sorted_arrays(model: DataFrame, slot_bits: int = SLOT_BITS) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The stored model: order -> (sorted hashes, log p, log back-off weight), at most 2**slot_bits entries an order."""
-
-    def hashed(batches):
-        for batch in batches:
-            n, gram = batch.column("n").to_numpy(), batch.column("gram").to_numpy().view(U64)
-            langs = batch.column("lang").to_pylist()
-            h = np.zeros(len(n), np.uint32)
-            groups: dict = {}
-            for i, key in enumerate(zip(langs, n.tolist())):
-                groups.setdefault(key, []).append(i)
-            for (lang, order), rows in groups.items():
-                h[rows] = _slot_hash(gram[rows], lang, order)
-            yield pa.RecordBatch.from_arrays([batch.column("n"), pa.array(h.astype(np.int64)), batch.column("c"), batch.column("p"), batch.column("bow")], ["n", "h", "c", "p", "bow"])
-
-    rows = model.select("lang", F.col("n").cast("int").alias("n"), "gram", "c", "p", "bow").mapInArrow(hashed, "n int, h long, c long, p double, bow double")
-    best = rows.groupBy("n", F.shiftright("h", HASH_BITS - slot_bits).alias("slot")).agg(F.max(F.struct("c", "h", "p", "bow")).alias("x"))
-    flat = best.select("n", F.col("x.h").alias("h"), F.log("x.p").cast("float").alias("p"), F.log("x.bow").cast("float").alias("bow"))
-    table = flat.toArrow()
-    n, h = table.column("n").to_numpy(), table.column("h").to_numpy()
-    p, bow = (table.column(c).to_numpy().astype(np.float32) for c in ("p", "bow"))
+def sorted_arrays(model: DataFrame) -> dict[tuple[str | None, int], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(language, order) -> (sorted n-grams, log p, log back-off weight): every entry, for models that are known to be small."""
+    table = model.select("lang", "n", "gram", F.log("p").alias("p"), F.log("bow").alias("bow")).toArrow()
+    n, gram = table.column("n").to_numpy(), table.column("gram").to_numpy().view(U64)
+    p, bow = (table.column(c).to_numpy().astype(np.float64) for c in ("p", "bow"))
     bow = np.nan_to_num(bow, nan=0.0)  # p stays NaN for what is a context alone, such as the beginning of a text
+    groups: dict = {}
+    for i, key in enumerate(zip(table.column("lang").to_pylist(), n.tolist())):
+        groups.setdefault(key, []).append(i)
     out = {}
-    for order in sorted(set(n.tolist())):
-        at = np.flatnonzero(n == order)
-        at = at[np.argsort(h[at])]
-        out[order] = (h[at].astype(np.uint32), p[at], bow[at])
+    for key, rows in groups.items():
+        at = np.array(rows)[np.argsort(gram[rows])]
+        out[key] = (gram[at], p[at], bow[at])
     return out
 
 
 class Scorer:
-    """Looks n-grams up: the leading hash bits give the only place in the sorted array where an entry can stand."""
+    """Looks n-grams of a small model up in its sorted arrays."""
 
-    def __init__(self, arrays, order: int = ORDER, slot_bits: int = SLOT_BITS):
-        self.order, self.shift, self.at = order, np.uint32(HASH_BITS - slot_bits), {}
-        for n, (h, p, bow) in arrays.items():
-            slots = (h >> self.shift).astype(np.int64)
-            full = [np.zeros(1 << slot_bits, x.dtype) for x in (h, p, bow)]
-            for to, x in zip(full, (h, p, bow)):
-                to[slots] = x
-            self.at[n] = (*full, h[:1] if len(h) and slots[0] == 0 else None)
+    def __init__(self, arrays, order: int = ORDER, slot_bits: int | None = None):
+        self.order, self.at = order, arrays
 
     def _find(self, gram, lang, n):
-        if n not in self.at:
-            return np.zeros(len(gram), np.float32), np.zeros(len(gram), np.float32), np.zeros(len(gram), bool)
-        h = _slot_hash(gram, lang, n)
-        slot = h >> self.shift
-        keys, p, bow, _ = self.at[n]
-        found = (keys[slot] == h) & (h != 0)
-        return p[slot], bow[slot], found
+        if (lang, n) not in self.at:
+            return np.zeros(len(gram)), np.zeros(len(gram)), np.zeros(len(gram), bool)
+        keys, p, bow = self.at[lang, n]
+        at = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
+        return p[at], bow[at], keys[at] == gram
 
     def log_p(self, gram: np.ndarray, lang: str | None) -> np.ndarray:
         """Natural log of the probability of each n-gram's last byte after the bytes before it."""
-        out = np.full(len(gram), np.log(1 / 256), np.float32)
-        open_, weight = np.arange(len(gram)), np.zeros(len(gram), np.float32)
+        out = np.full(len(gram), np.log(1 / 256))
+        open_, weight = np.arange(len(gram)), np.zeros(len(gram))
         for n in range(self.order, 0, -1):
             g = gram[open_] & U64((1 << (8 * n)) - 1)
             p, _, found = self._find(g, lang, n)
@@ -220,10 +190,83 @@ class Scorer:
                 return out
             _, bow, known = self._find(g >> U64(8), lang, n - 1)
             weight = weight + np.where(known, bow, 0)
-        out[open_] = weight + np.float32(np.log(1 / 256))
+        out[open_] = weight + np.log(1 / 256)
         return out
 
 
+def _numbered(batch: pa.RecordBatch, read: int) -> tuple[np.ndarray, int]:
+    """The block of each row of a task that has read so many bytes of text before, and the bytes read after it."""
+    from pyspark import TaskContext
+
+    lengths = pc.fill_null(pc.binary_length(batch.column("text").cast(pa.large_string())), 0).to_numpy(zero_copy_only=False)
+    before = read + np.cumsum(lengths) - lengths
+    return (np.int64(TaskContext.get().partitionId()) << 32) + before // BLOCK_BYTES, read + int(lengths.sum())
+
+
+def block_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """(block, lang, gram): the different n-grams of each block of texts."""
+
+    def run(batches):
+        held: dict = {}
+        read, now = 0, None
+
+        def out():
+            for lang, parts in held.items():
+                key = np.unique(np.concatenate(parts)).view(np.int64)
+                for a in range(0, len(key), 200_000):
+                    k = key[a : a + 200_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), now)), pa.array([lang] * len(k), pa.string()), pa.array(k)], ["block", "lang", "gram"])
+            held.clear()
+
+        for batch in batches:
+            block, read = _numbered(batch, read)
+            for number in np.unique(block):
+                if number != now:
+                    yield from out()
+                    now = number
+                rows = np.flatnonzero(block == number)
+                for part in slices(batch.slice(rows[0], len(rows)), "text"):
+                    for lang, some in _by_language(part):
+                        key, _ = grams(Words(part.column("text").take(pa.array(some))), order)
+                        if len(key):
+                            held.setdefault(lang, []).append(np.unique(key))
+                            if len(held[lang]) >= 8:
+                                held[lang] = [np.unique(np.concatenate(held[lang]))]
+        yield from out()
+
+    return docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, "block long, lang string, gram long")
+
+
+def looked_up(asked: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
+    """asked (lang, gram, further columns) with lp, the log probability of the n-gram's last byte after those before it."""
+
+    def entry(n: int, value: str):
+        return model.where((F.col("n") == n) & F.col(value).isNotNull()).select(F.col("lang").alias("m_lang"), F.col("gram").alias("m_gram"), F.log(value).alias("value"))
+
+    def joined(df: DataFrame, gram, n: int, value: str) -> DataFrame:
+        return df.join(entry(n, value), F.col("lang").eqNullSafe(F.col("m_lang")) & (gram == F.col("m_gram")), "left").drop("m_lang", "m_gram")
+
+    def tail(n: int):
+        return F.col("gram").bitwiseAND(F.lit((1 << (8 * n)) - 1))
+
+    whole = written(joined(asked, F.col("gram"), order, "p").withColumnRenamed("value", "lp"), "looked-up")
+    left = checkpointed(whole.where("lp IS NULL").select("lang", "gram").distinct().withColumn("w", F.lit(0.0)))
+    if left.isEmpty():
+        return whole
+    done = []
+    for n in range(order, 0, -1):
+        left = joined(left, F.shiftrightunsigned(tail(n), 8), n - 1, "bow").select("lang", "gram", (F.col("w") + F.coalesce("value", F.lit(0.0))).alias("w"))
+        left = checkpointed(left if n == 1 else joined(left, tail(n - 1), n - 1, "p"))
+        if n > 1:
+            done.append(left.where("value IS NOT NULL").select("lang", "gram", (F.col("w") + F.col("value")).alias("late")))
+            left = left.where("value IS NULL").select("lang", "gram", "w")
+    late = left.select("lang", "gram", (F.col("w") + float(np.log(1 / 256))).alias("late"))
+    for x in done:
+        late = late.unionByName(x)
+    late = late.withColumnsRenamed({"lang": "m_lang", "gram": "m_gram"})
+    return whole.join(late, F.col("lang").eqNullSafe(F.col("m_lang")) & (F.col("gram") == F.col("m_gram")), "left").withColumn("lp", F.coalesce("lp", "late")).drop("m_lang", "m_gram", "late")
+
+
 def word_metrics(words: Words) -> list[np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text."""
     data, at, n = words.data, words.at, len(words.start)
@@ -260,45 +303,68 @@ def base_failed() -> F.Column:
 class PerplexityQuality:
     """fit() counts and stores the model; score() gives the figures of each text; bands() the limits; accept() the rows."""
 
-    def __init__(self, order: int = ORDER, slot_bits: int = SLOT_BITS, width: tuple[float, float] = (8.0, 4.5), floor: float = 0.02, least: int = 50):
+    def __init__(self, order: int = ORDER, slot_bits: int | None = None, width: tuple[float, float] = (8.0, 4.5), floor: float = 0.02, least: int = 50):
+        """slot_bits is accepted for callers of the capped model and has no effect: no n-gram is dropped."""
         self.order, self.slot_bits, self.width, self.floor, self.least = order, slot_bits, width, floor, least
 
     def fit(self, docs: DataFrame) -> "PerplexityQuality":
-        spark = docs.sparkSession
         counts = checkpointed(count_grams(docs, self.order))
-        self.arrays = spark.sparkContext.broadcast(sorted_arrays(kneser_ney(counts, self.order), self.slot_bits))
+        self.model = written(kneser_ney(counts, self.order), "model")
         return self
 
-    def _measure(self):
-        arrays, order, slot_bits = self.arrays, self.order, self.slot_bits
-        held: list = []
+    @property
+    def arrays(self):
+        """A small model's arrays for a Scorer, broadcast; scoring does not use them."""
+        return self.model.sparkSession.sparkContext.broadcast(sorted_arrays(self.model))
 
-        def measure(part: pa.RecordBatch) -> list[np.ndarray]:
-            if not held:
-                held.append(Scorer(arrays.value, order, slot_bits))
-            out = word_metrics(Words(part.column("text")))
-            nll = np.zeros(part.num_rows)
-            for lang, rows in _by_language(part):
-                key, at = grams(Words(part.column("text").take(pa.array(rows))), order)
-                sums = np.concatenate([[0.0], np.cumsum(held[0].log_p(key, lang), dtype=np.float64)])
-                n = np.maximum(np.diff(at), 1)
-                nll[rows] = -(sums[at[1:]] - sums[at[:-1]]) / n
-            return [*out, np.round(nll, 6)]
-
-        return measure
-
-    def score(self, docs: DataFrame, key: str = "doc_id") -> DataFrame:
-        """key, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_ppl (nats a byte)."""
-        measure = self._measure()
-        names = [key, "lang", *(x.split()[0] for x in METRICS.split(", ")), "log_ppl"]
+    def _measured(self, docs: DataFrame, columns: list[str]) -> DataFrame:
+        """Those columns of docs, METRICS and log_ppl; docs has lang and text as strings and is read twice in the same partitions."""
+        order, metrics = self.order, [x.split()[0] for x in METRICS.split(", ")] + ["log_ppl"]
+        known = looked_up(block_grams(docs, order), self.model, order).withColumnRenamed("block", "__block").select("__block", F.col("lang").alias("__lang"), "gram", "lp")
 
-        def run(batches):
+        def placed(batches):
+            read = 0
             for batch in batches:
+                block, read = _numbered(batch, read)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block)], [*batch.schema.names, "__block"])
+
+        def measure(texts: pa.Table, grams_: pa.Table) -> pa.Table:
+            lookup = {}
+            if grams_.num_rows:
+                langs = grams_.column("__lang").combine_chunks().dictionary_encode(null_encoding="encode")
+                langs = langs if isinstance(langs, pa.DictionaryArray) else langs.chunk(0)
+                code, gram, lp = langs.indices.to_numpy(), grams_.column("gram").to_numpy().view(U64), grams_.column("lp").to_numpy()
+                for k, lang in enumerate(langs.dictionary.to_pylist()):
+                    at = np.flatnonzero(code == k)
+                    at = at[np.argsort(gram[at])]
+                    lookup[lang] = gram[at], lp[at]
+            out = []
+            for batch in texts.to_batches():
                 for part in slices(batch, "text"):
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column("lang"), *(pa.array(x) for x in measure(part))], names)
+                    nll = np.zeros(part.num_rows)
+                    for lang, rows in _by_language(part):
+                        key, at = grams(Words(part.column("text").take(pa.array(rows))), order)
+                        if len(key):
+                            has, lp = lookup.get(lang, (np.zeros(1, U64), np.zeros(1)))
+                            i = np.minimum(np.searchsorted(has, key), len(has) - 1)
+                            if (has[i] != key).any():
+                                raise RuntimeError("a block has other texts than when its n-grams were looked up: the input's partitions are not stable, write it as a table first")
+                            sums = np.concatenate([[0.0], np.cumsum(lp[i])])
+                            nll[rows] = -(sums[at[1:]] - sums[at[:-1]]) / np.maximum(np.diff(at), 1)
+                    values = [*word_metrics(Words(part.column("text"))), np.round(nll, 6)]
+                    out.append(pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *(pa.array(x) for x in values)], [*columns, *metrics]))
+            return pa.Table.from_batches(out) if out else empty
+
+        kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+        schema = f"{kinds}, {METRICS}, log_ppl double"
+        empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+        rows = docs.mapInArrow(placed, StructType(list(docs.schema.fields)).add("__block", "long"))
+        return rows.groupBy("__block").cogroup(known.groupBy("__block")).applyInArrow(measure, schema)
 
-        kind = docs.schema[key].dataType.simpleString()
-        return docs.select(key, F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"{key} {kind}, lang string, {METRICS}, log_ppl double")
+    def score(self, docs: DataFrame, key: str = "doc_id") -> DataFrame:
+        """key, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_ppl (nats a byte)."""
+        docs = docs.select(key, F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+        return self._measured(docs, [key, "lang"])
 
     def bands(self, scored: DataFrame) -> DataFrame:
         """(band_lang, middle, below, above): a row for each language with enough texts."""
@@ -316,19 +382,8 @@ class PerplexityQuality:
         return out.withColumn("kept", ~F.col("base_failed") & inside)
 
     def accept(self, docs: DataFrame) -> DataFrame:
-        """Rows of docs that pass, all columns, each row judged in place without a shuffle."""
-        bands = checkpointed(self.bands(self.score(docs.withColumn("__row", F.lit(0)), "__row")))
-        limits = {r[0]: tuple(r)[1:] for r in bands.collect()}  # a row for each language
-        measure, schema = self._measure(), docs.schema
-
-        def run(batches):
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    n, _, _, _, repeat, nll = measure(part)
-                    middle, below, above = (np.array([limits.get(x, (0.0, np.inf, np.inf))[k] for x in part.column("lang").to_pylist()], float) for k in range(3))
-                    wider = np.sqrt(1 + SHORT / np.maximum(n, 1))
-                    ok = (n >= 10) & (100 * repeat <= 20 * n) & (nll >= middle - below * wider) & (nll <= middle + above * wider)
-                    yield part.filter(pa.array(ok))
-
-        return docs.mapInArrow(run, schema)
-
+        """Rows of docs that pass, all columns; each row is judged by its own figures, scored once."""
+        own = {c: f"__own_{c}" for c in docs.columns}
+        renamed = docs.select(*(F.col(c).alias(own[c]) for c in docs.columns), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+        scored = written(self._measured(renamed, [*own.values(), "lang"]), "scored")
+        return self.verdict(scored, self.bands(scored)).where("kept").select(*(F.col(own[c]).alias(c) for c in docs.columns))

@@ -83,6 +83,21 @@ def test_kneser_ney_sums_to_one(spark):
         assert math.isclose(np.exp(scorer.log_p(gram, "en").astype(float)).sum(), 1.0, abs_tol=2e-3), context
 
 
+def test_quality_keeps_every_ngram(spark, texts):
+    """No entry gives way to another one, and unseen n-grams back off as in a look-up in the whole model."""
+    docs = frame(spark, texts).unionByName(frame(spark, texts[:9], None))
+    q = quality.PerplexityQuality(order=4, slot_bits=6, least=5).fit(docs)
+    assert q.model.where("n = 4 AND p IS NOT NULL").count() == quality.count_grams(docs, 4).count()
+    scorer = quality.Scorer(quality.sorted_arrays(q.model), 4)
+    new = frame(spark, ["an unseen text Zebra 17", texts[0] + " Qué!"], None).unionByName(frame(spark, ["never", texts[1]], "xx"))
+    for table in (docs, new):
+        got = {(r.doc_id, r.lang): r.log_ppl for r in q.score(table).collect()}
+        for r in table.collect():
+            key, _ = quality.grams(textops.Words(pa.array([r.text], pa.string())), 4)
+            want = -scorer.log_p(key, r.lang).mean() if len(key) else 0.0
+            assert math.isclose(got[r.doc_id, r.lang], want, abs_tol=2e-6), r.doc_id
+
+
 def test_quality_of_empty_table(spark):
     empty = frame(spark, ["a"]).where("doc_id < 0")
     q = quality.PerplexityQuality().fit(empty)
