@@ -9,8 +9,9 @@ probability Jaccard similarity.
 Equal texts are one class. Classes that share a band of registers are candidates. In each band's bucket every class is
 compared with a random pivot; of those comparisons each class first verifies two, one of them the one with the most
 equal registers, and connected components follow. Then come the other pivots in other components; then classes that
-share a bucket with a large component, compared with all its members block by block inside tasks; then pairs of
-different small components in one bucket, likewise by blocks. Each step verifies exactly and components are taken anew,
+share a bucket with a large component, compared with all its members block by block inside tasks, again and again with
+the members that joined last until none joins; then pairs of different small components in one bucket, likewise by
+blocks. Each step verifies exactly and components are taken anew,
 so that a large group of near copies is joined without a row for each of its pairs. So a link can only be lost by the bands (a chance of 3e-6 at the
 threshold) or by the register estimate (below `estimate`, four standard deviations under the threshold), not by skew.
 
@@ -290,7 +291,11 @@ def near_texts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
     rest = labelled(labelled(stars.select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b").join(first, ["a", "b"], "left_anti")
     links, label = joined(_verified(rest, sets))
-    links, label = joined(_joining(checkpointed(labelled(met.select("key", "id"), "id", "c")), sets, sigs))
+    while True:  # who joins a large component can bring in others that are near to it alone
+        size = links.count()
+        links, label = joined(_joining(checkpointed(labelled(met.select("key", "id"), "id", "c")), sets, sigs))
+        if links.count() == size:
+            break
     placed = checkpointed(labelled(met.select("key", "band", "id"), "id", "c"))
     large = placed.select("id", "c").distinct().groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") >= LARGE).select("c")
     placed = placed.join(large, "c", "left_anti")

@@ -154,6 +154,24 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert got == brute_classes(copies)
 
 
+def test_chain_from_a_large_group(spark, monkeypatch):
+    """A group, then texts that drift away from it: each is near to its neighbours alone. The first comparisons find the group only, so the chain is left to the steps after them."""
+    base = [f"w{k}" for k in range(400)]
+    copies = [" ".join([*base[:-1], f"v{k}"]) for k in range(30)]
+    for step in range(1, 6):
+        copies.append(" ".join([f"d{k}" for k in range(30 * step)] + base[30 * step :]))
+    monkeypatch.setattr(minhash, "LARGE", 20)
+    verified, calls = minhash._verified, []
+
+    def group_alone(pairs, sets):
+        calls.append(1)
+        return verified(pairs.where("b < 30") if len(calls) < 3 else pairs, sets)
+
+    monkeypatch.setattr(minhash, "_verified", group_alone)
+    got = {r.doc_id: r.component_id for r in minhash.near_texts(frame(spark, copies)).collect()}
+    assert got == brute_classes(copies) and len(set(got.values())) == 1
+
+
 def test_prob_min_hash_estimates(texts):
     rng = random.Random(1)
     a = Counter({i: rng.randrange(1, 4) for i in range(200)})
