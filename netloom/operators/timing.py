@@ -3,8 +3,9 @@
 Arrival is the longest path from the inputs, floor 0. Required time is clock - suffix, where suffix is the longest
 backward delay to an endpoint: every endpoint and floating node starts at the clock, so one backward pass serves any
 number of clocks. Three strategies give the same tables: "fold" keeps a circuit in one array and stays in the JVM
-(default; indices must be 0..n-1 in topological order), "grouped" runs a task for each circuit on any acyclic order,
-and "relax" repeats joins over all arcs, for graphs too large for one task.
+(indices must be 0..n-1 in topological order), "grouped" runs a task for each circuit on any acyclic order, and "relax"
+repeats joins over all arcs, for graphs too large for one task. The default, "sized", folds circuits of at most
+FOLD_NODES nodes and relaxes the larger ones.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from ..functions.library import CRITICAL_NS
 
 #: Delays are multiples of 1e-13 ns, so that rounding to this many digits removes what the order of additions leaves.
 DIGITS = 13
+#: Nodes up to which a circuit is folded in one task.
+FOLD_NODES = 1000
 
 
 def _fold(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -93,9 +96,19 @@ def _relax(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
             return state
 
 
-def propagate(nodes: DataFrame, arcs: DataFrame, method: str = "fold") -> DataFrame:
+def _sized(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+    from ..sources.tables import checkpointed
+
+    large = checkpointed(nodes.groupBy("circuit_id").agg(F.count("*").alias("n")).where(F.col("n") > FOLD_NODES).select("circuit_id"))
+    if large.isEmpty():
+        return _fold(nodes, arcs)
+    folded = _fold(nodes.join(large, "circuit_id", "left_anti"), arcs.join(large, "circuit_id", "left_anti"))
+    return folded.unionByName(_relax(nodes.join(large, "circuit_id", "left_semi"), arcs.join(large, "circuit_id", "left_semi")))
+
+
+def propagate(nodes: DataFrame, arcs: DataFrame, method: str = "sized") -> DataFrame:
     """(circuit_id, idx, at, depth, suffix)."""
-    return {"fold": _fold, "grouped": _grouped, "relax": _relax}[method](nodes, arcs)
+    return {"sized": _sized, "fold": _fold, "grouped": _grouped, "relax": _relax}[method](nodes, arcs)
 
 
 def default_clock(timing: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -124,16 +137,29 @@ def worst_endpoints(slacks: DataFrame, nodes: DataFrame) -> DataFrame:
     return ends.groupBy("circuit_id").agg(F.min(F.struct("slack", "idx")).alias("e")).select("circuit_id", "e.idx", "e.slack")
 
 
-def critical_path(timing: DataFrame, arcs: DataFrame, ends: DataFrame, rounds: int = 64) -> DataFrame:
+def critical_path(timing: DataFrame, arcs: DataFrame, ends: DataFrame) -> DataFrame:
     """(circuit_id, step, idx) from each end back along the driver that sets its arrival; ties go to the first driver.
 
-    The path of a circuit is followed through a map from node to that driver, so it needs no join for each step.
+    Pointer doubling: each round doubles how far a node's pointer reaches and appends what the path so far points to, so
+    a path of n nodes takes about log n rounds of joins and no circuit is held in one row.
     """
+    from ..sources.tables import checkpointed
+
     a = arcs.join(timing.select("circuit_id", F.col("idx").alias("drv"), "at"), ["circuit_id", "drv"])
     late = a.groupBy("circuit_id", "snk").agg(F.max(F.struct(F.round(F.col("at") + F.col("fwd"), DIGITS).alias("t"), (-F.col("drv")).alias("k"))).alias("m"))
-    back = late.groupBy("circuit_id").agg(F.map_from_entries(F.collect_list(F.struct("snk", (-F.col("m.k")).alias("v")))).alias("from"))
-    path = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.array("idx"), lambda acc, _: F.when(F.col("from")[F.element_at(acc, -1)].isNull(), acc).otherwise(F.concat(acc, F.array(F.col("from")[F.element_at(acc, -1)]))))
-    return ends.join(back, "circuit_id").select("circuit_id", F.posexplode(path).alias("step", "idx")).withColumn("step", F.col("step").cast("long"))
+    jump = checkpointed(late.select("circuit_id", F.col("snk").alias("idx"), (-F.col("m.k")).alias("to")))
+    path = checkpointed(ends.select("circuit_id", F.lit(0).cast("long").alias("step"), "idx"))
+    reach, most = 1, jump.count()
+    while True:
+        more = checkpointed(path.join(jump, ["circuit_id", "idx"]).select("circuit_id", (F.col("step") + reach).alias("step"), F.col("to").alias("idx")))
+        if more.isEmpty():
+            return path
+        if reach > most:
+            raise ValueError("the arcs have a cycle")
+        path = path.unionByName(more)
+        further = jump.select("circuit_id", F.col("idx").alias("to"), F.col("to").alias("beyond"))
+        jump = checkpointed(jump.join(further, ["circuit_id", "to"]).select("circuit_id", "idx", F.col("beyond").alias("to")))
+        reach *= 2
 
 
 def fanin_cones(edges: DataFrame, seeds: DataFrame, depth: int = 6) -> DataFrame:
