@@ -279,6 +279,18 @@ def test_toxicity(spark):
     assert toxicity.Toxicity().fit(d, la.where("doc_id < 0")).weights == dict.fromkeys(toxicity.SEEDS, toxicity.SEED_WEIGHT)
 
 
+def test_toxicity_of_disguised_letters(spark):
+    """Letters beyond the first plane, decomposed accents and zero-width characters do not hide a word."""
+    bold = "".join(chr(0x1D41A + ord(c) - 97) for c in "idiot")
+    capitals = "".join(chr(0x1D538 + ord(c) - 65) for c in "IDIOT")
+    texts = [bold, capitals, "i\u0301diot", "id\u200biot", "\ufeffid\u00adi\u2060ot", "i\U000e0061diot", "\U0001d6c2 \u0301", "idio t", None, "an idiot"]
+    total, hits, n = toxicity.Lexicon({"idiot": 3.0}).weigh(texts)
+    assert hits.tolist() == [1, 1, 1, 1, 1, 1, 0, 0, 0, 1] and n.tolist() == [1, 1, 1, 1, 1, 1, 1, 2, 0, 2]
+    rows = toxicity.Toxicity().score(frame(spark, [f"you are an {t} and this is a plain text" for t in texts[:6]])).collect()
+    plain = toxicity.Toxicity().score(frame(spark, ["you are an idiot and this is a plain text"])).first()
+    assert all(r.score == plain.score for r in rows)
+
+
 def test_substrings(spark, texts):
     for chunk in (1 << 11, 8 << 20):
         got = {r.doc_id: r for r in substrings.remove_repeats(frame(spark, texts), chunk_bytes=chunk).collect()}
