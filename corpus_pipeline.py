@@ -24,11 +24,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each class of near-duplicates; one row of each doc_id stays."""
-    copies = near_texts(docs).where(~F.col("kept")).select("doc_id")
-    kept = docs.join(copies, "doc_id", "left_anti").select(docs.columns)
-    repeated = not docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """One row of each class of near-duplicates, the one with the least doc_id; rows are told apart by a number of their own."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    classes = near_texts(rows, "__row").select("__row", "component_id").join(rows.select("__row", "doc_id"), "__row")
+    first = classes.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("x")).select("x.__row")
+    return rows.join(first, "__row", "left_semi").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

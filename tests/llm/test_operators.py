@@ -355,6 +355,16 @@ def test_pipeline_stages(spark, small):
     assert packed.agg({"n_words": "sum"}).first()[0] == sum(len(split(r.text)) for r in before.collect())
 
 
+def test_near_duplicates_judges_rows(spark, texts):
+    """Rows with a null or repeated doc_id stay unless their text is a near copy of a kept one."""
+    import corpus_pipeline
+
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[4]), (8, texts[5]), (None, texts[5]), (5, texts[6]), (9, texts[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(map(str, kept)) == sorted(str(docs_row) for docs_row in spark.createDataFrame([rows[k] for k in (0, 1, 2, 3, 4, 6)], docs.schema).collect())
+
+
 def test_kept_digest(spark, small):
     from netloom.llm.queries import op8_substrings
 
