@@ -11,7 +11,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = U64(0x9E3779B97F4A7C15)
 #: Bytes of text handled at once, so that the 64-bit temporaries stay small.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -23,19 +23,43 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-with np.errstate(over="ignore"):
-    _BYTE = mix64(np.arange(1, 257, dtype=U64) * _BASE)
-_powers = [np.ones(1, U64), np.ones(1, U64)]
-_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, b in enumerate((_BASE, _INVERSE)):
-            p = np.full(n, b, U64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
+#: How many of the 8 bytes of a word count when that many are left.
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
+#: Bytes of one span that are hashed with those of all others; the rest of a longer one by itself.
+LONG = 1024
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of data[start:end] for each pair: 8 bytes at a time through a non-linear mix, so no arrangement of bytes cancels out."""
+    import xxhash
+
+    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    with np.errstate(over="ignore"):
+        left = end - start
+        h = mix64((left.astype(U64) + U64(1)) * _BASE + U64(seed) * U64(0xD6E8FEB86659FD93))
+        live, at = np.arange(len(start)), start
+        for _ in range(LONG // 8):
+            h[live] = mix64(h[live] * _BASE ^ (eight[at] & _MASK[np.minimum(left, 8)]))
+            more = left > 8
+            if not more.any():
+                return h
+            live, at, left = live[more], at[more] + 8, left[more] - 8
+        raw = data.tobytes()
+        for i, a, n in zip(live.tolist(), at.tolist(), left.tolist()):
+            h[i] ^= U64(xxhash.xxh3_64_intdigest(raw[a : a + n], seed))
+        h[live] = mix64(h[live])
+    return h
+
+
+def runs_of(h: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each `size` neighbours of h, built from halves."""
+    with np.errstate(over="ignore"):
+        out, k = h, 1
+        for bit in bin(size)[3:]:
+            out, k = mix64(out[: max(len(out) - k, 0)] * _BASE + out[k:]), 2 * k
+            if bit == "1":
+                out, k = mix64(out[: max(len(h) - k, 0)] * _BASE + h[k:]), k + 1
+    return out
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +101,7 @@ class Words:
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.of = np.searchsorted(self.start, self.at)
         self.space = space
+        self._hashes: dict[int, np.ndarray] = {}
 
     def counts(self) -> np.ndarray:
         return np.diff(self.of)
@@ -84,35 +109,24 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.at) - 1), self.counts())
 
-    def sums(self) -> np.ndarray:
-        if not hasattr(self, "_sums"):
-            with np.errstate(over="ignore"):
-                p, _ = _power(len(self.data) + 1)
-                self._sums = np.concatenate([np.zeros(1, U64), np.cumsum(_BYTE[self.data] * p[:-1], dtype=U64)])
-        return self._sums
-
     def hash_of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Of the bytes from start to end, wherever they stand."""
-        with np.errstate(over="ignore"):
-            c, (_, inverse) = self.sums(), _power(len(self.data) + 1)
-            return mix64((c[end] - c[start]) * inverse[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+        return span_hashes(self.data, start, end)
 
-    def hashes(self) -> np.ndarray:
-        if not hasattr(self, "_hashes"):
-            self._hashes = self.hash_of(self.start, self.end)
-        return self._hashes
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """Of each word; other seeds give independent hashes."""
+        if seed not in self._hashes:
+            self._hashes[seed] = span_hashes(self.data, self.start, self.end, seed)
+        return self._hashes[seed]
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hash of every run of `size` words of one text, and the number of its first word."""
         n = len(self.start)
         if n < size:
             return np.zeros(0, U64), np.zeros(0, np.int64)
-        with np.errstate(over="ignore"):
-            p, inverse = _power(n + 1)
-            c = np.concatenate([np.zeros(1, U64), np.cumsum(self.hashes() * p[:-1], dtype=U64)])
-            doc = self.doc()
-            i = np.flatnonzero(doc[: n - size + 1] == doc[size - 1 :])
-            return mix64((c[i + size] - c[i]) * inverse[i] + U64(size)), i
+        doc = self.doc()
+        i = np.flatnonzero(doc[: n - size + 1] == doc[size - 1 :])
+        return runs_of(self.hashes(seed), size)[i], i
 
 
 def covered(first: np.ndarray, size: int, n: int) -> np.ndarray:
@@ -121,7 +135,7 @@ def covered(first: np.ndarray, size: int, n: int) -> np.ndarray:
     return np.cumsum(d[:n]) > 0
 
 
-def per_text(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+def per_text(flags: np.ndarray, at: np.ndarray, kind=np.int64) -> np.ndarray:
     """Sum of flags of each text, whose items go from at[k] to at[k + 1]."""
-    c = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
+    c = np.concatenate([np.zeros(1, kind), np.cumsum(flags, dtype=kind)])
     return c[at[1:]] - c[at[:-1]]
