@@ -1,19 +1,21 @@
 """Removal of repeated passages: level-wise doubling of repeated word windows.
 
-A window of `window` words is repeated if its words begin anywhere else, in the same document or another. Level 1 takes
-windows of half that length: of all that lie in a full window, its anchor is the one with the least hash, so equal full
-windows have equal anchors. Only full windows whose anchor was found at two places are candidates of level 2, where the
-window of double length (the two halves overlap by one word if the length is odd) is looked up in turn. Candidates that
-survive are repeated windows, and every word that they cover is removed. All levels look at the input as it is.
-
-Documents are dealt at random into chunks of about `chunk_bytes`, written once as a table bucketed by chunk in the
-shared folder. At each level a chunk sends its different hashes, packed by hash range; a range's task finds those seen
-twice (in one chunk or in several) and returns to each chunk its own repeated hashes. A passage in many documents is
-one hash of a chunk, however often it occurs there, so no key is hot. Hashes have 64 bits.
+A window of `window` words is repeated if its words begin anywhere else, in the same document or another. The levels
+have the lengths window / 4, window / 2 and window, rounded up (9, 18 and 35 words). At each level below the last a full
+window stands for its anchor, the one of least hash among the shorter windows of that length inside it, so equal full
+windows have equal anchors. Anchors that are found at one place alone end their full windows; those found at two places
+are extended to twice the length, and so on until no candidate survives or the full length is reached. Every word that
+a repeated full window covers is removed. All levels look at the input as it is.
+
+Documents (a stored table, or one that is computed alike each time) are dealt at random into chunks of about `chunk_bytes`, written once as a table bucketed by chunk in the
+shared folder, so that no level shuffles a text. At each level a chunk sends every different hash of its candidates once,
+marked if it stands at two places there, and gets back those that are repeated. A passage in many documents is one row of
+a chunk, however often it occurs, so no key is hot. Anchors are told apart by 64 bits, full windows by 128.
 
 Null text counts as empty: no words, nothing removed, text "". Texts shorter than a window lose nothing, but their white
 space becomes single spaces as in every other text. Repeated rows remove each other's windows. An empty table gives an
-empty result. All columns are kept; columns may have any names that do not begin with "__".
+empty result. All columns are kept but those named n_words and n_removed, which the result's own replace; columns may
+have any names that do not begin with "__". A text longer than a chunk is a chunk with one task.
 """
 
 from __future__ import annotations
@@ -22,13 +24,20 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import checkpointed, shared_folder
-from .textops import U64, Words, covered, mix64, per_text
+from .shared import new_folder, written
+from .textops import U64, Words, covered, per_text
 
 WINDOW = 35
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
+#: Buckets of the chunk table at most; Spark allows 100,000. A bucket may hold any number of chunks.
+BUCKETS = 20_000
+
+
+def levels(window: int) -> list[int]:
+    """Lengths that double up to the window: 9, 18, 35."""
+    return [-(-window // 4), -(-window // 2), window] if window >= 8 else [window]
 
 
 def least_of(a: np.ndarray, width: int) -> np.ndarray:
@@ -42,54 +51,56 @@ def least_of(a: np.ndarray, width: int) -> np.ndarray:
 
 
 class Windows:
-    """The full windows of a chunk's texts and their anchors."""
+    """The full windows of a chunk's texts."""
 
     def __init__(self, column: pa.Array, window: int):
-        self.words = Words(column)
-        half = (window + 1) // 2
-        n, at = len(self.words.start), np.zeros(0, np.int64)
-        self.halves, at = self.words.windows(half)
-        full, self.first = self.words.windows(window)
-        self.full = full
-        every = np.full(max(n - half + 1, 0), ~U64(0))
-        every[at] = self.halves
-        self.anchor = least_of(every, window - half + 1)[self.first] if len(full) else full
-
-
-def _twice(h: np.ndarray) -> np.ndarray:
-    h = np.sort(h)
-    return np.unique(h[1:][h[1:] == h[:-1]])
-
-
-def _requests(chunk: int, h: np.ndarray, among: np.ndarray, ranges: int) -> pa.Table:
-    """h by ranges of their mixed hash, each once, or twice if `among` has it at two places."""
-    h = np.unique(h)
-    again = h[np.isin(h, _twice(among))]
-    h = np.concatenate([h, again])
-    with np.errstate(over="ignore"):
-        part = ((mix64(h) >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int64)  # anchors are small hashes, so they are mixed anew
-    order = np.lexsort((h, part))
-    h, part = h[order], part[order]
-    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(h) else np.zeros(0, np.int64)
-    ends = np.r_[cut[1:], len(h)] if len(cut) else cut
-    return pa.table({"chunk": pa.array(np.full(len(cut), chunk)), "part": pa.array(part[cut]), "h": pa.array([h[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())})
-
-
-def _answers(requests: DataFrame) -> DataFrame:
-    """(chunk, h): for each chunk its hashes that were asked for twice over all chunks."""
-
-    def run(table: pa.Table) -> pa.Table:
-        asked = [np.frombuffer(x, U64) for x in table.column("h").to_pylist()]
-        repeated = _twice(np.concatenate(asked))
-        found = [np.unique(h[np.isin(h, repeated, kind="sort")]) for h in asked]
-        some = [k for k, h in enumerate(found) if len(h)]
-        return pa.table({"chunk": table.column("chunk").take(pa.array(some, pa.int64())), "h": pa.array([found[k].tobytes() for k in some], pa.binary())})
-
-    return checkpointed(requests.groupBy("part").applyInArrow(run, "chunk long, h binary"))
-
-
-def _column(table: pa.Table, name: str) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), U64)
+        self.words, self.window = Words(column), window
+        self.first = self.words.windows(window)[1]
+
+    def hashes(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each full window its anchor of that length, or itself, and 64 more bits that tell full windows apart."""
+        if not len(self.first):
+            return np.zeros(0, U64), np.zeros(0, U64)
+        if length == self.window:
+            return self.words.windows(length)[0], self.words.windows(length, 1)[0]
+        some, at = self.words.windows(length)
+        every = np.full(len(self.words.start) - length + 1, ~U64(0))
+        every[at] = some
+        return least_of(every, self.window - length + 1)[self.first], np.zeros(len(self.first), U64)
+
+    def places(self, length: int, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all windows of that length, wherever a live full window is; those may stand at two places."""
+        if length == self.window:
+            h, g = self.hashes(length)
+            return h[live], g[live]
+        h, at = self.words.windows(length)
+        near = covered(self.first[live], self.window - length + 1, len(self.words.start))[at]
+        return h[near], np.zeros(int(near.sum()), U64)
+
+
+def different(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each different pair of hashes, and how often it occurs."""
+    by = np.lexsort((g, h)) if g.any() else np.argsort(h)
+    h, g = h[by], g[by]
+    first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]) if len(h) else np.zeros(0, np.int64)
+    return h[first], g[first], np.diff(np.r_[first, len(h)])
+
+
+def among(h: np.ndarray, g: np.ndarray, answer: pa.Table) -> np.ndarray:
+    """Which pairs of hashes are rows of the answer."""
+    if not answer.num_rows or not len(h):
+        return np.zeros(len(h), bool)
+    x, y = (answer.column(c).to_numpy().view(U64) for c in ("h", "g"))
+    if not y.any():
+        return np.isin(h, x, kind="sort")
+    by = np.lexsort((y, x))
+    x, y = x[by], y[by]
+    lo, hi = np.searchsorted(x, h, "left"), np.searchsorted(x, h, "right")
+    out = np.zeros(len(h), bool)
+    for step in range(int((hi - lo).max())):
+        at = np.minimum(lo + step, len(x) - 1)
+        out |= (lo + step < hi) & (y[at] == g)
+    return out
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -97,36 +108,51 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, ch
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     chunks = total // chunk_bytes + 1
-    buckets = max(1, -(-chunks // 2))
-    kept = [f.name for f in docs.schema]
-    dealt = docs.withColumn(text, F.col(text).cast("string")).withColumn("__chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)))
+    buckets = int(min(max(1, -(-chunks // 2)), BUCKETS))
+    dealt = docs.withColumn(text, F.col(text).cast("string")).withColumn("__chunk", F.floor(F.rand(7) * chunks).cast("long"))
     name = f"netloom_{uuid.uuid4().hex}"
-    dealt.repartition(buckets, "__chunk").write.bucketBy(buckets, "__chunk").option("path", shared_folder(spark)).option("compression", "zstd").format("parquet").saveAsTable(name)
+    folder = new_folder(spark, "chunks")
+    dealt.repartition(buckets, "__chunk").write.bucketBy(buckets, "__chunk").option("path", folder).option("compression", "zstd").format("parquet").saveAsTable(name)
     table = spark.table(name)
-
-    def level1(part: pa.Table) -> pa.Table:
-        w = Windows(part.column(text), window)
-        return _requests(part.column("__chunk")[0].as_py(), w.anchor, w.halves, chunks)
-
-    schema = "chunk long, part long, h binary"
-    anchors = _answers(table.select("__chunk", text).groupBy("__chunk").applyInArrow(level1, schema))
-
-    def candidates(part: pa.Table, answer: pa.Table) -> tuple[Windows, np.ndarray]:
-        w = Windows(part.column(text), window)
-        return w, np.isin(w.anchor, _column(answer, "h"), kind="sort")
-
-    def level2(part: pa.Table, answer: pa.Table) -> pa.Table:
-        if not part.num_rows or not answer.num_rows:
-            return _requests(0, np.zeros(0, U64), np.zeros(0, U64), chunks)
-        w, live = candidates(part, answer)
-        return _requests(part.column("__chunk")[0].as_py(), w.full[live], w.full[live], chunks)
-
-    full = _answers(table.select("__chunk", text).groupBy("__chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(level2, schema))
+    table.schema  # resolved here; the files stay when the catalogue entry goes
+    spark.sql(f"DROP TABLE {name}")
+    none = pa.table({c: pa.array([], pa.int64()) for c in ("chunk", "h", "g")})
+    texts, schema = table.select("__chunk", text), "chunk long, h long, g long, many boolean"
+
+    def live(w: Windows, answer: pa.Table, length: int | None) -> np.ndarray:
+        return np.ones(len(w.first), bool) if length is None else among(*w.hashes(length), answer)
+
+    def asking(length: int, before: int | None):
+        def ask(part: pa.Table, answer: pa.Table) -> pa.Table:
+            if not part.num_rows or (before and not answer.num_rows):
+                h = g = n = np.zeros(0, U64)
+            else:
+                w = Windows(part.column(text), window)
+                alive = live(w, answer, before)
+                h, g = w.hashes(length)
+                h, g, n = different(h[alive], g[alive])
+                if len(h) and length < window:  # an anchor of many windows may stand at one place: count places, not windows
+                    a, b, times = different(*w.places(length, alive))
+                    n = times[np.searchsorted(a, h)]
+            chunk = part.column("__chunk")[0].as_py() if part.num_rows else 0
+            return pa.table({"chunk": pa.array(np.full(len(h), chunk), pa.int64()), "h": pa.array(h.view(np.int64)), "g": pa.array(g.view(np.int64)), "many": pa.array(n > 1)})
+
+        return ask if before else lambda part: ask(part, none)
+
+    answers, before = None, None
+    for length in levels(window):
+        ask = asking(length, before)
+        asked = texts.groupBy("__chunk").applyInArrow(ask, schema) if answers is None else texts.groupBy("__chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask, schema)
+        same = Window.partitionBy("h", "g")
+        found = asked.select("*", F.count("*").over(same).alias("n"), F.max("many").over(same).alias("twice")).where("n > 1 OR twice")
+        answers, before = written(found.select("chunk", "h", "g"), f"repeated-{length}"), length
+        if answers.isEmpty():
+            break  # no candidate survives, so no full window is repeated
 
     def cut(part: pa.Table, answer: pa.Table) -> pa.Table:
         w = Windows(part.column(text), window)
         words, n = w.words, len(w.words.start)
-        gone = covered(w.first[np.isin(w.full, _column(answer, "h"), kind="sort")], window, n) if answer.num_rows else np.zeros(n, bool)
+        gone = covered(w.first[among(*w.hashes(window), answer)], window, n) if answer.num_rows and n else np.zeros(n, bool)
         data, of = words.data.tobytes(), words.of
         out = []
         removed = per_text(gone, of)
@@ -143,4 +169,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, ch
     schema = docs.withColumn(text, F.col(text).cast("string")).drop("n_words", "n_removed").schema
     kept = [f.name for f in schema]
     schema = schema.add("n_words", "long").add("n_removed", "long")
-    return table.groupBy("__chunk").cogroup(full.groupBy("chunk")).applyInArrow(cut, schema)
+    return table.groupBy("__chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cut, schema)
