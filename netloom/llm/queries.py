@@ -9,13 +9,15 @@ from .minhash import near_texts
 from .packing import best_fit
 from .pieces import nbest_segmentations
 from .quality import PerplexityQuality
-from .shared import checkpointed
+from .shared import written
 from .substrings import remove_repeats
 from .tokens import count_tokens
 from .toxicity import Toxicity, held_out
 from .vectors import near_vectors
 
 MAX_TOKENS = 2048
+#: Bytes of a shard: a unit of shuffling in training.
+SHARD = 256 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +34,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word statistics, base rule and perplexity verdict of every document."""
     docs = table(spark, sf_dir, "documents")
     quality = PerplexityQuality().fit(docs)
-    scored = checkpointed(quality.score(docs))
+    scored = written(quality.score(docs), "scored")
     return quality.verdict(scored, quality.bands(scored)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl", "low", "high")
 
 
@@ -49,7 +51,7 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard of every document."""
-    return sharding.extendible(table(spark, sf_dir, "documents"))
+    return sharding.extendible(table(spark, sf_dir, "documents"), limit=SHARD)
 
 
 def op5_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +80,7 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bin and offset of every piece of every document."""
-    return best_fit(table(spark, sf_dir, "documents"))
+    return best_fit(table(spark, sf_dir, "documents"), path=vocabulary("word_bpe_49k.json"))
 
 
 def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +90,4 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_tokens, op3_minhash, op4_sharding, op5_nbest, op6_preference, op7_toxicity, op8_substrings, op9_packing, op10_vectors)}
 
-ORACLE_SQL: dict[str, str] = {"op4_sharding": sharding.oracle_sql(), "op6_preference": chat.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_sharding": sharding.oracle_sql(SHARD), "op6_preference": chat.ORACLE_SQL}

@@ -27,11 +27,6 @@ def key_hash(key: str) -> F.Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
-def prefix(h, depth) -> F.Column:
-    """The leading `depth` of BITS bits."""
-    return F.floor(h / F.pow(F.lit(2.0), F.lit(BITS) - depth)).cast("long") if not isinstance(depth, int) else F.shiftright(h, BITS - depth)
-
-
 def extendible(docs: DataFrame, key: str = "doc_id", limit: int = LIMIT) -> DataFrame:
     """key, n_bytes, shard (its prefix as bits), shard_depth, shard_bytes, over_limit."""
     n_bytes = F.coalesce(F.octet_length(F.col("text").cast("string")).cast("long"), F.lit(0).cast("long"))

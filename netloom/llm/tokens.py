@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import checkpointed
+from .shared import written
 from .textops import Words, per_text, slices
 
 CHUNK = 32_768
@@ -45,6 +45,10 @@ class Encoder:
     def count(self, column: pa.Array) -> np.ndarray:
         """Tokens of each text."""
         words = Words(column)
+        return per_text(self.per_word(words), words.of)
+
+    def per_word(self, words: Words) -> np.ndarray:
+        """Tokens of each word."""
         key, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.known, key), max(len(self.known) - 1, 0))
         n = self.counts[at].astype(np.int64) if len(self.known) else np.zeros(len(key), np.int64)
@@ -57,7 +61,7 @@ class Encoder:
                 self.known, self.counts = self.known[:0], self.counts[:0]
             to = np.searchsorted(self.known, key[new])
             self.known, self.counts = np.insert(self.known, to, key[new]), np.insert(self.counts, to, n[new])
-        return per_text(n[inverse], words.of)
+        return n[inverse]
 
     def boundaries(self, text: str, start: int, head: int, tail: int):
         """Tokens of the text, and the stable boundaries before `head` and from `tail` on (counted in the whole text).
@@ -121,7 +125,7 @@ def _splice(huge: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
             columns = [pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("row", "key", "n_bytes", "k", "last")] + columns, ["row", "key", "n_bytes", "k", "last", "n", "head", "head_n", "tail", "tail_n"])
 
-    encoded = checkpointed(_chunks(huge, chunk, overlap).mapInArrow(run, f"row long, key {kind}, n_bytes long, k long, last boolean, n long, head {bounds}, head_n array<long>, tail {bounds}, tail_n array<long>"))
+    encoded = written(_chunks(huge, chunk, overlap).mapInArrow(run, f"row long, key {kind}, n_bytes long, k long, last boolean, n long, head {bounds}, head_n array<long>, tail {bounds}, tail_n array<long>"), "encoded")
     left = encoded.where("NOT last").select("row", "key", "n_bytes", (F.col("k") + 1).alias("k"), "tail", "tail_n")
     right = encoded.where("k > 0").select("row", "k", "head", "head_n")
     common = F.element_at(F.array_sort(F.array_intersect("tail", "head")), 1)
@@ -148,9 +152,9 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", chunk: int = C
 
     schema = f"key {kind}, n_bytes long, n_tokens long"
     out = [rows.where(F.length("text") <= chunk).select("key", "n_bytes", "text").mapInArrow(short, schema)]
-    huge, todo = rows.where(F.length("text") > chunk), None
+    huge, todo = written(rows.where(F.length("text") > chunk), "huge"), None  # stored, so that row numbers stay
     while overlap <= WIDEST:
-        spliced = checkpointed(_splice(huge if todo is None else huge.join(todo, "row", "left_semi"), path, chunk, overlap))
+        spliced = written(_splice(huge if todo is None else huge.join(todo, "row", "left_semi"), path, chunk, overlap), "spliced")
         out.append(spliced.where("open = 0").select("key", "n_bytes", "n_tokens"))
         todo = spliced.where("open > 0").select("row")
         if todo.isEmpty():
