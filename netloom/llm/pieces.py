@@ -5,15 +5,21 @@ a character in no piece is an edge of its UTF-8 bytes' pieces. A forward Viterbi
 best score from the beginning; these are exact heuristics for an A-star search backward from the end, which therefore
 yields complete segmentations in the order of their scores. No piece holds a space mark after another character, so
 every path passes through each word's beginning: the search runs over each different word once in a worker, and the
-best segmentations of the text are the best sums of those of its words. Ties are in the order of pieces from the end.
+best segmentations of the text are the best sums of those of its words. Scores within 1e-6 are ties, in any order.
 
-Null text is empty and has one segmentation, without pieces. A text with fewer segmentations gives fewer. Repeated rows
-are encoded alike; an empty table gives an empty result.
+The scores are those of the vocabulary file. In a file of the BPE kind they rank the merges, and the library encodes by
+merging in that order, not by the best sum, so its encoding need not be the first segmentation here (a file of the
+unigram kind has log probabilities, for which it is).
+
+Null text is empty and has one segmentation, without pieces. A text with fewer segmentations gives fewer. Work grows in
+proportion to a text's length, also for one long word. Repeated rows are encoded alike; an empty table gives an empty
+result. Columns besides the keys are ignored; keys may have any names but scores, ids, decoded.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -21,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from .textops import slices
 
 MARK = "▁"
+_WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 UNKNOWN = 10.0  #: below the least score of any piece, as the library does for unknown characters
 REMEMBERED = 200_000
 
@@ -67,47 +74,60 @@ class Segmenter:
         best = [0.0] + [float("-inf")] * len(word)
         for b in range(1, len(word) + 1):
             best[b] = max((best[a] + s for a, s, _ in into[b]), default=float("-inf"))
-        agenda, found = [(-best[-1], (), len(word), 0.0)], []
+        # A state is (cost, age, position, score from there to the end, (ids, state after)): among equal costs the
+        # youngest goes on, so that a tie is followed to its end instead of all ties side by side.
+        agenda, found, age = [(round(-best[-1], 6), 0, len(word), 0.0, None)], [], 0
         while agenda and len(found) < n:
-            _, ids, at, done = heapq.heappop(agenda)
+            _, _, at, done, after = heapq.heappop(agenda)
             if at == 0:
-                found.append((round(done, 6), ids))
+                ids = []
+                while after:
+                    ids.extend(after[0])
+                    after = after[1]
+                found.append((round(done, 6), tuple(ids)))
                 continue
             for a, s, piece in into[at]:
-                heapq.heappush(agenda, (-(best[a] + s + done), piece + ids, a, s + done))
-        return found
+                age -= 1
+                heapq.heappush(agenda, (round(-(best[a] + s + done), 6), age, a, s + done, (piece, after)))
+        return sorted(found, key=lambda f: -f[0])
 
     def nbest(self, text: str | None, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text as (score, ids), best first."""
-        text = self.normalize(text or "")
-        words, at = [], 0
-        for i in range(1, len(text) + 1):
-            if i == len(text) or (text[i] == MARK and text[i - 1] != MARK):
-                words.append(text[at:i])
-                at = i
         ways = []
-        for w in words:
-            key = (w, n)
-            if key not in self.words:
+        for w in _WORD.findall(self.normalize(text or "")):
+            known = self.words.get((w, n))
+            if known is None:
                 if len(self.words) >= REMEMBERED:
                     self.words.clear()
-                self.words[key] = self.nbest_word(w, n)
-            ways.append(self.words[key])
-        total = sum(w[0][0] for w in ways)
-        worse = heapq.nsmallest(n, ((round(w[0][0] - w[k][0], 6), j, k) for j, w in enumerate(ways) for k in range(1, len(w))))
+                found = self.nbest_word(w, n)
+                known = self.words[w, n] = (found, [round(found[0][0] - f[0], 6) for f in found[1:]])
+            ways.append(known)
+        base = [i for found, _ in ways for i in found[0][1]]
+        total = sum(found[0][0] for found, _ in ways)
+        # A change of a word whose cheapest change is not among the n cheapest is worse than n other changes.
+        near = heapq.nsmallest(n, ((lost[0], j) for j, (_, lost) in enumerate(ways) if lost))
+        worse = heapq.nsmallest(n, ((x, j, k) for _, j in near for k, x in enumerate(ways[j][1], 1)))
         out, agenda, seen = [], [(0.0, ())], {()}
         while agenda and len(out) < n:  # combinations of a few changed words, cheapest first
             lost, changed = heapq.heappop(agenda)
-            ids = [i for j, w in enumerate(ways) for i in w[dict(changed).get(j, 0)][1]]
-            out.append((round(total - lost, 6), ids))
+            out.append((round(total - lost, 6), self._changed(base, ways, changed)))
             for cost, j, k in worse:
-                if j not in dict(changed):
+                if all(j != i for i, _ in changed):
                     more = tuple(sorted((*changed, (j, k))))
                     if more not in seen:
                         seen.add(more)
                         heapq.heappush(agenda, (round(lost + cost, 6), more))
         return out
 
+    @staticmethod
+    def _changed(base: list[int], ways, changed) -> list[int]:
+        ids, at, word = list(base), 0, 0
+        for j, k in changed:  # in the order of words
+            at += sum(len(found[0][1]) for found, _ in ways[word:j])
+            ids[at : at + len(ways[j][0][0][1])] = ways[j][0][k][1]
+            at, word = at + len(ways[j][0][k][1]), j + 1
+        return ids
+
     def decode(self, ids: list[int]) -> str:
         return self.model.decode(ids)
 
