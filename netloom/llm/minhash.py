@@ -7,7 +7,7 @@ would come after every register has been reached. Two texts agree in a register
 probability Jaccard similarity.
 
 Equal texts are one class. Classes that share a band of registers are candidates. In each band's bucket every class is
-compared with a random pivot; of those comparisons each class first verifies two, one of them the one with the most
+compared with a pivot, the class of least hash there, so a group of near copies has mostly one pivot in all bands; of those comparisons each class first verifies two, one of them the one with the most
 equal registers, and connected components follow. Then come the other pivots in other components; then classes that
 share a bucket with a large component, compared with all its members block by block inside tasks, again and again with
 the members that joined last until none joins; then pairs of different small components in one bucket, likewise by
@@ -15,8 +15,9 @@ blocks. Each step verifies exactly and components are taken anew,
 so that a large group of near copies is joined without a row for each of its pairs. So a link can only be lost by the bands (a chance of 3e-6 at the
 threshold) or by the register estimate (below `estimate`, four standard deviations under the threshold), not by skew.
 
-Texts without words link with nothing. Null text counts as empty. Rows of one doc_id count as one document (its least
-text). Rows with a null key are dropped from the result. An empty table gives an empty result. Extra columns are ignored.
+Texts without words link with nothing. Null text counts as empty. Rows of one doc_id count as one document (that of the
+least text hash). Rows with a null key are dropped from the result. A key may be an integer or text; component_id is the
+least key of its class. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .shared import checkpointed, written
+from .shared import numbered, salted, written
 from .textops import U64, Words, mix64, slices
 
 RUN = 5
@@ -37,6 +38,8 @@ REGISTERS = BANDS * ROWS
 THRESHOLD = 0.8
 ESTIMATE = 0.62
 BLOCK = 512
+#: Classes that ask for a large component in one task.
+ASKS = 4096
 #: Classes from which a component is large: those that share a bucket with it are compared with all of it.
 LARGE = 64
 
@@ -184,17 +187,18 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _joining(placed: DataFrame, sets: DataFrame, sigs: DataFrame) -> DataFrame:
     """(a, b): for each class that shares a bucket with a large component without being in it, verified links to it.
 
-    placed has (key, id, c). A component's members are cut into blocks; a class meets all of them, in a task for each
-    block, where shared runs are counted for the whole block at once. A class gets at most one link from each block.
+    placed has (key, id, c). A component's members are cut into blocks, and so are the classes that ask for it; each two
+    blocks meet in a task, where shared runs are counted for the whole block at once. A class gets at most one link from each block.
     """
     members = placed.select("id", "c").distinct()
     large = members.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") >= LARGE).select("c", F.ceil(F.col("n") / BLOCK).cast("int").alias("of"))
-    large = checkpointed(large)
-    inside = members.join(large, "c").select("c", F.pmod(F.xxhash64("id"), F.col("of")).cast("int").alias("k"), F.lit(True).alias("member"), "id")
-    near = placed.join(large, "c").select("key", F.col("c").alias("other"), "of").distinct()
-    asks = placed.join(near, "key").where("c <> other").join(large.select("c", F.lit(True).alias("also")), "c", "left").where("also IS NULL OR other < c")
-    asks = asks.select("id", F.col("other").alias("c"), "of").distinct()
-    asks = asks.select("c", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("k"), F.lit(False).alias("member"), "id")
+    large = written(large, "large")
+    near = salted(placed, large, "c", "id").select("key", F.col("c").alias("other"), "of").distinct()
+    asks = placed.join(near, "key").where("c <> other").join(large.select(F.col("c").alias("l")), F.col("c") == F.col("l"), "left").where("l IS NULL OR other < c")
+    asks = written(asks.select("id", F.col("other").alias("c"), "of").distinct(), "asks")
+    parts = written(asks.groupBy("c", "of").agg(F.ceil(F.count("*") / ASKS).cast("int").alias("parts")), "asked")
+    inside = salted(members, parts, "c", "id").select("c", F.pmod(F.xxhash64("id"), F.col("of")).cast("int").alias("k"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("member"), "id")
+    asks = salted(asks.select("id", "c"), parts, "c", "id").select("c", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("k"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("member"), "id")
     rows = inside.unionByName(asks).join(sets, "id").join(sigs, "id")
 
     def meet(table: pa.Table) -> pa.Table:
@@ -212,7 +216,7 @@ def _joining(placed: DataFrame, sets: DataFrame, sigs: DataFrame) -> DataFrame:
                     break
         return pa.table([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return rows.groupBy("c", "k").applyInArrow(meet, "a long, b long")
+    return rows.groupBy("c", "k", "part").applyInArrow(meet, "a long, b long")
 
 
 def _across(buckets: DataFrame) -> DataFrame:
@@ -260,18 +264,29 @@ def _across(buckets: DataFrame) -> DataFrame:
 
 def near_texts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, component_id (least key of its class), kept."""
-    rows = checkpointed(sketches(docs, key))
+    rows, keys = numbered(docs, key)
+    found = _classes(rows.select("__id", F.col("text").cast("string").alias("text")), "__id")
+    if keys is not None:
+        found = found.join(keys, "__id")
+        least = found.groupBy("component_id").agg(F.min("__key").alias("least"))
+        found = found.join(least, "component_id").select(F.col("__key").alias("__id"), F.col("least").alias("component_id"))
+    return found.select(F.col("__id").cast(docs.schema[key].dataType).alias(key), "component_id", (F.col("__id") == F.col("component_id")).alias("kept"))
+
+
+def _classes(docs: DataFrame, key: str) -> DataFrame:
+    """key, component_id of documents with a long key."""
+    rows = written(sketches(docs, key), "sketches")
     one = rows.groupBy("id").agg(F.min(F.struct("same", "sig", "bands")).alias("x")).select("id", "x.*")
-    classes = checkpointed(one.groupBy("same").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    classes = written(one.groupBy("same").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
     members = classes.select(F.posexplode("bands").alias("band", "key"), "id")
     members = members.select(F.xxhash64("band", "key").alias("key"), "band", "id")
-    pivots = members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", "key").alias("x"), "id")).alias("p")).where("n > 1").select("key", F.col("p.id").alias("pivot"))
-    met = checkpointed(members.join(pivots, "key"))
+    pivots = members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id").alias("x"), "id")).alias("p")).where("n > 1").select("key", F.col("p.id").alias("pivot"))
+    met = written(members.join(pivots, "key"), "met")
     stars = met.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     sigs = classes.select("id", "sig")
     stars = stars.join(sigs.withColumnsRenamed({"id": "a", "sig": "sa"}), "a").join(sigs.withColumnsRenamed({"id": "b", "sig": "sb"}), "b")
-    stars = checkpointed(_agreeing(stars, ESTIMATE))
-    sets = checkpointed(_sets(docs, key, met.select("id").distinct()))
+    stars = written(_agreeing(stars, ESTIMATE), "stars")
+    sets = written(_sets(docs, key, met.select("id").distinct()), "sets")
     sides = stars.select(F.col("a").alias("v"), "*").unionByName(stars.select(F.col("b").alias("v"), "*"))
     best = sides.groupBy("v").agg(F.max(F.struct("agree", "a", "b")).alias("x"), F.max(F.struct(F.xxhash64("a", "b").alias("h"), "a", "b")).alias("y"))
     first = best.select("x.a", "x.b").unionByName(best.select("y.a", "y.b")).distinct()
@@ -293,10 +308,10 @@ def near_texts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     links, label = joined(_verified(rest, sets))
     while True:  # who joins a large component can bring in others that are near to it alone
         size = links.count()
-        links, label = joined(_joining(checkpointed(labelled(met.select("key", "id"), "id", "c")), sets, sigs))
+        links, label = joined(_joining(written(labelled(met.select("key", "id"), "id", "c"), "placed"), sets, sigs))
         if links.count() == size:
             break
-    placed = checkpointed(labelled(met.select("key", "band", "id"), "id", "c"))
+    placed = written(labelled(met.select("key", "band", "id"), "id", "c"), "placed")
     large = placed.select("id", "c").distinct().groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") >= LARGE).select("c")
     placed = placed.join(large, "c", "left_anti")
     mixed = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
@@ -305,4 +320,4 @@ def near_texts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     classed = classes.select("same", "id").join(label.withColumnRenamed("v", "id"), "id", "left").select("same", F.coalesce("c", "id").alias("component_id"))
     found = one.select("id", "same").join(classed, "same").select("id", "component_id")
     every = docs.select(F.col(key).cast("long").alias("id")).where("id IS NOT NULL").distinct()
-    return every.join(found, "id", "left").select(F.col("id").alias(key), F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.col(key) == F.col("component_id"))
+    return every.join(found, "id", "left").select(F.col("id").alias(key), F.coalesce("component_id", "id").alias("component_id"))

@@ -1,42 +1,43 @@
 """Quality rules: word statistics and an n-gram perplexity band for each language.
 
 The language model is an interpolated modified Kneser-Ney model over UTF-8 byte n-grams (order 5; any run of
-white space is one space, a text begins with zero bytes). Spark counts all n-grams of all texts and derives the
+white space is one space, at the end of a text none; a text begins with zero bytes). Spark counts all n-grams of all texts and derives the
 continuation counts, discounts and back-off weights with grouping and joins. The model is a table in the shared folder
-that keeps every counted n-gram, whatever its size. Texts are scored in blocks: the different n-grams of a block are
-joined with the table, those it lacks back off order by order, and the block's texts meet their log probabilities in
-one task. A block is what a task reads, at most BLOCK_BYTES of text, so nothing is broadcast and no n-gram is dropped.
+that keeps every counted n-gram: each file holds the n-grams of one range of hashes in sorted order.
+
+A scoring task looks the HOT most frequent n-grams up in sorted arrays, a broadcast of fixed size. Each other n-gram of a
+text is a row (text, n-gram, how often), which Spark joins with the table; n-grams that the table lacks back off order
+by order. Neither texts nor the model are shuffled or held whole, and every n-gram is scored from the whole model.
 
 A text is rejected if its log perplexity lies outside its language's band: median -/+ a multiple of the spread
 (interquartile range / 1.349) of all texts of the language that pass the base rules. The mean of a short text varies
 more, so its band is wider by the factor sqrt(1 + SHORT / n_words). A language with fewer than `least` such texts has
-no band.
+no band. Texts are scored by a model that has counted them too.
 
 Null text counts as empty: no words, base_failed. A null language is a language of its own. Repeated rows are
-scored alike. An empty table gives an empty result. Extra columns are ignored by score() and kept by accept().
+scored alike. An empty table gives an empty result. Extra columns are ignored by score() and kept by accept(), whatever
+their names. A long text is handled by one task, whose memory is some 100 bytes for each byte of it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .shared import checkpointed, written
+from .shared import written
 from .textops import U64, Words, covered, mix64, per_text, slices
 
 ORDER = 5
-#: Bytes of text that are scored together in a task.
-BLOCK_BYTES = 32_000_000
+#: n-grams that every task holds; all others are joined. 16 bytes each.
+HOT = 1 << 20
 SYMBOLS = "[#*$%&|<>]"
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in SYMBOLS[1:-1]]] = True
-#: n-grams kept in a task before they are merged and, beyond that, handed to Spark.
-HELD = 4_000_000
+#: Different n-grams, of all languages together, that a counting task holds before it hands them to Spark.
+HELD = 2_000_000
 #: Words at which a text's band is sqrt(2) times as wide as that of an endless one.
 SHORT = 50
 
@@ -62,15 +63,19 @@ def grams(words: Words, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     return key, at
 
 
-def _by_language(batch: pa.RecordBatch):
-    """Rows of one language at a time: the language and which rows have it."""
-    langs = np.asarray(batch.column("lang").to_pylist(), dtype=object)
-    for lang in dict.fromkeys(langs.tolist()):
-        yield lang, np.flatnonzero(np.array([x == lang for x in langs], bool))
+def _by_language(langs: np.ndarray):
+    """Rows of one language at a time: the language's number and which rows have it."""
+    for lang in np.unique(langs):
+        yield int(lang), np.flatnonzero(langs == lang)
+
+
+def language() -> F.Column:
+    """The number of a row's language; null is a language of its own."""
+    return F.xxhash64(F.col("lang").cast("string")).alias("lang")
 
 
 def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, gram, n): how often each byte n-gram occurs in all texts; counted in the task, then by Spark."""
+    """(lang, gram, n): how often each byte n-gram occurs in all texts; counted in the task, then by Spark. lang is language()."""
 
     def merged(parts):
         key = np.concatenate([k for k, _ in parts])
@@ -85,24 +90,25 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
         def out(lang):
             key, n = merged(held.pop(lang))
-            for a in range(0, len(key), 200_000):
-                k = key[a : a + 200_000].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(n[a : a + 200_000])], ["lang", "gram", "n"])
+            for a in range(0, len(key), 100_000):
+                k = key[a : a + 100_000].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), lang)), pa.array(k), pa.array(n[a : a + 100_000])], ["lang", "gram", "n"])
 
         for batch in batches:
             for part in slices(batch, "text"):
-                for lang, rows in _by_language(part):
+                for lang, rows in _by_language(part.column("lang").to_numpy()):
                     key, _ = grams(Words(part.column("text").take(pa.array(rows))), order)
                     if len(key):
                         held.setdefault(lang, []).append(np.unique(key, return_counts=True))
                         if len(held[lang]) >= 8:
                             held[lang] = [merged(held[lang])]
-                            if len(held[lang][0][0]) > HELD:
-                                yield from out(lang)
+                if sum(len(k) for parts in held.values() for k, _ in parts) > HELD:
+                    for lang in list(held):
+                        yield from out(lang)
         for lang in list(held):
             yield from out(lang)
 
-    counted = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, "lang string, gram long, n long")
+    counted = docs.select(language(), F.col("text").cast("string").alias("text")).mapInArrow(run, "lang long, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -112,10 +118,10 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     c is the count (highest order) or the number of different bytes before it; bow is the back-off weight of the
     n-gram as a context of the next order (null if it is never one).
     """
-    tables = {order: counts.select("lang", "gram", F.col("n").alias("c"))}
+    tables = {order: written(counts.select("lang", "gram", F.col("n").alias("c")), f"order-{order}")}
     for n in range(order - 1, 0, -1):
         mask = F.lit((1 << (8 * n)) - 1)
-        tables[n] = checkpointed(tables[n + 1].groupBy("lang", F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.count("*").alias("c")))
+        tables[n] = written(tables[n + 1].groupBy("lang", F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.count("*").alias("c")), f"order-{n}")
     out, lower = [], None
     for n in range(1, order + 1):
         t = tables[n]
@@ -129,16 +135,16 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
         d = t.groupBy("lang").agg(*k).select(F.col("lang").alias("d_lang"), *(discount(i) for i in (1, 2, 3)))
         context = F.shiftrightunsigned("gram", 8)
         ctx = t.groupBy("lang", context.alias("ctx")).agg(F.sum("c").alias("total"), *(F.sum((F.col("c") == i).cast("long")).alias(f"n{i}") for i in (1, 2)), F.sum((F.col("c") >= 3).cast("long")).alias("n3"))
-        ctx = checkpointed(ctx.join(d, F.col("lang").eqNullSafe(F.col("d_lang"))).select(F.col("lang").alias("x_lang"), "ctx", "total", "d1", "d2", "d3", ((F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")) / F.col("total")).alias("gamma")))
-        t = t.withColumn("ctx", context).join(ctx.withColumnRenamed("ctx", "x_ctx"), F.col("lang").eqNullSafe(F.col("x_lang")) & (F.col("ctx") == F.col("x_ctx")))
+        ctx = written(ctx.join(d, F.col("lang") == F.col("d_lang")).select(F.col("lang").alias("x_lang"), "ctx", "total", "d1", "d2", "d3", ((F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")) / F.col("total")).alias("gamma")), f"contexts-{n}")
+        t = t.withColumn("ctx", context).join(ctx.withColumnRenamed("ctx", "x_ctx"), (F.col("lang") == F.col("x_lang")) & (F.col("ctx") == F.col("x_ctx")))
         if lower is None:
             t = t.withColumn("lp", F.lit(1 / 256))
         else:
             low = lower.select(F.col("lang").alias("l_lang"), F.col("gram").alias("l_gram"), F.col("p").alias("lp"))
-            t = t.join(low, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("gram").bitwiseAND(F.lit((1 << (8 * (n - 1))) - 1)) == F.col("l_gram")))
+            t = t.join(low, (F.col("lang") == F.col("l_lang")) & (F.col("gram").bitwiseAND(F.lit((1 << (8 * (n - 1))) - 1)) == F.col("l_gram")))
         cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         p = (F.greatest(F.col("c") - cut, F.lit(0.0)) / F.col("total") + F.col("gamma") * F.col("lp")).alias("p")
-        lower = checkpointed(t.select("lang", "gram", "c", p))
+        lower = written(t.select("lang", "gram", "c", p), f"p-{n}")
         bow = ctx.select(F.lit(n - 1).alias("n"), F.col("x_lang").alias("lang"), F.col("ctx").alias("gram"), F.lit(0).cast("long").alias("c"), F.lit(None).cast("double").alias("p"), F.col("gamma").alias("bow"))
         out += [lower.select(F.lit(n).alias("n"), "lang", "gram", "c", "p", F.lit(None).cast("double").alias("bow")), bow]
     every = out[0]
@@ -147,96 +153,6 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return every.groupBy("lang", "n", "gram").agg(F.max("c").alias("c"), F.max("p").alias("p"), F.max("bow").alias("bow"))
 
 
-def sorted_arrays(model: DataFrame) -> dict[tuple[str | None, int], tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(language, order) -> (sorted n-grams, log p, log back-off weight): every entry, for models that are known to be small."""
-    table = model.select("lang", "n", "gram", F.log("p").alias("p"), F.log("bow").alias("bow")).toArrow()
-    n, gram = table.column("n").to_numpy(), table.column("gram").to_numpy().view(U64)
-    p, bow = (table.column(c).to_numpy().astype(np.float64) for c in ("p", "bow"))
-    bow = np.nan_to_num(bow, nan=0.0)  # p stays NaN for what is a context alone, such as the beginning of a text
-    groups: dict = {}
-    for i, key in enumerate(zip(table.column("lang").to_pylist(), n.tolist())):
-        groups.setdefault(key, []).append(i)
-    out = {}
-    for key, rows in groups.items():
-        at = np.array(rows)[np.argsort(gram[rows])]
-        out[key] = (gram[at], p[at], bow[at])
-    return out
-
-
-class Scorer:
-    """Looks n-grams of a small model up in its sorted arrays."""
-
-    def __init__(self, arrays, order: int = ORDER, slot_bits: int | None = None):
-        self.order, self.at = order, arrays
-
-    def _find(self, gram, lang, n):
-        if (lang, n) not in self.at:
-            return np.zeros(len(gram)), np.zeros(len(gram)), np.zeros(len(gram), bool)
-        keys, p, bow = self.at[lang, n]
-        at = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
-        return p[at], bow[at], keys[at] == gram
-
-    def log_p(self, gram: np.ndarray, lang: str | None) -> np.ndarray:
-        """Natural log of the probability of each n-gram's last byte after the bytes before it."""
-        out = np.full(len(gram), np.log(1 / 256))
-        open_, weight = np.arange(len(gram)), np.zeros(len(gram))
-        for n in range(self.order, 0, -1):
-            g = gram[open_] & U64((1 << (8 * n)) - 1)
-            p, _, found = self._find(g, lang, n)
-            found &= ~np.isnan(p)
-            out[open_[found]] = p[found] + weight[found]
-            open_, weight, g = open_[~found], weight[~found], g[~found]
-            if not len(open_):
-                return out
-            _, bow, known = self._find(g >> U64(8), lang, n - 1)
-            weight = weight + np.where(known, bow, 0)
-        out[open_] = weight + np.log(1 / 256)
-        return out
-
-
-def _numbered(batch: pa.RecordBatch, read: int) -> tuple[np.ndarray, int]:
-    """The block of each row of a task that has read so many bytes of text before, and the bytes read after it."""
-    from pyspark import TaskContext
-
-    lengths = pc.fill_null(pc.binary_length(batch.column("text").cast(pa.large_string())), 0).to_numpy(zero_copy_only=False)
-    before = read + np.cumsum(lengths) - lengths
-    return (np.int64(TaskContext.get().partitionId()) << 32) + before // BLOCK_BYTES, read + int(lengths.sum())
-
-
-def block_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(block, lang, gram): the different n-grams of each block of texts."""
-
-    def run(batches):
-        held: dict = {}
-        read, now = 0, None
-
-        def out():
-            for lang, parts in held.items():
-                key = np.unique(np.concatenate(parts)).view(np.int64)
-                for a in range(0, len(key), 200_000):
-                    k = key[a : a + 200_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), now)), pa.array([lang] * len(k), pa.string()), pa.array(k)], ["block", "lang", "gram"])
-            held.clear()
-
-        for batch in batches:
-            block, read = _numbered(batch, read)
-            for number in np.unique(block):
-                if number != now:
-                    yield from out()
-                    now = number
-                rows = np.flatnonzero(block == number)
-                for part in slices(batch.slice(rows[0], len(rows)), "text"):
-                    for lang, some in _by_language(part):
-                        key, _ = grams(Words(part.column("text").take(pa.array(some))), order)
-                        if len(key):
-                            held.setdefault(lang, []).append(np.unique(key))
-                            if len(held[lang]) >= 8:
-                                held[lang] = [np.unique(np.concatenate(held[lang]))]
-        yield from out()
-
-    return docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, "block long, lang string, gram long")
-
-
 def looked_up(asked: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
     """asked (lang, gram, further columns) with lp, the log probability of the n-gram's last byte after those before it."""
 
@@ -244,27 +160,46 @@ def looked_up(asked: DataFrame, model: DataFrame, order: int = ORDER) -> DataFra
         return model.where((F.col("n") == n) & F.col(value).isNotNull()).select(F.col("lang").alias("m_lang"), F.col("gram").alias("m_gram"), F.log(value).alias("value"))
 
     def joined(df: DataFrame, gram, n: int, value: str) -> DataFrame:
-        return df.join(entry(n, value), F.col("lang").eqNullSafe(F.col("m_lang")) & (gram == F.col("m_gram")), "left").drop("m_lang", "m_gram")
+        return df.join(entry(n, value), (F.col("lang") == F.col("m_lang")) & (gram == F.col("m_gram")), "left").drop("m_lang", "m_gram")
 
     def tail(n: int):
         return F.col("gram").bitwiseAND(F.lit((1 << (8 * n)) - 1))
 
     whole = written(joined(asked, F.col("gram"), order, "p").withColumnRenamed("value", "lp"), "looked-up")
-    left = checkpointed(whole.where("lp IS NULL").select("lang", "gram").distinct().withColumn("w", F.lit(0.0)))
+    left = written(whole.where("lp IS NULL").select("lang", "gram").distinct().withColumn("w", F.lit(0.0)), "unseen")
     if left.isEmpty():
         return whole
     done = []
     for n in range(order, 0, -1):
         left = joined(left, F.shiftrightunsigned(tail(n), 8), n - 1, "bow").select("lang", "gram", (F.col("w") + F.coalesce("value", F.lit(0.0))).alias("w"))
-        left = checkpointed(left if n == 1 else joined(left, tail(n - 1), n - 1, "p"))
         if n > 1:
+            left = written(joined(left, tail(n - 1), n - 1, "p"), "unseen")
             done.append(left.where("value IS NOT NULL").select("lang", "gram", (F.col("w") + F.col("value")).alias("late")))
             left = left.where("value IS NULL").select("lang", "gram", "w")
     late = left.select("lang", "gram", (F.col("w") + float(np.log(1 / 256))).alias("late"))
     for x in done:
         late = late.unionByName(x)
     late = late.withColumnsRenamed({"lang": "m_lang", "gram": "m_gram"})
-    return whole.join(late, F.col("lang").eqNullSafe(F.col("m_lang")) & (F.col("gram") == F.col("m_gram")), "left").withColumn("lp", F.coalesce("lp", "late")).drop("m_lang", "m_gram", "late")
+    return whole.join(late, (F.col("lang") == F.col("m_lang")) & (F.col("gram") == F.col("m_gram")), "left").withColumn("lp", F.coalesce("lp", "late")).drop("m_lang", "m_gram", "late")
+
+
+class HotGrams:
+    """The most frequent n-grams as one sorted array for each language, with their log probabilities."""
+
+    def __init__(self, lang: np.ndarray, gram: np.ndarray, lp: np.ndarray):
+        self.of = {}
+        for k, rows in _by_language(lang):
+            rows = rows[np.argsort(gram[rows])]
+            self.of[k] = gram[rows], lp[rows]
+
+    def find(self, lang: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each n-gram, 0 where it is not held, and whether it is held."""
+        if lang not in self.of:
+            return np.zeros(len(key)), np.zeros(len(key), bool)
+        gram, lp = self.of[lang]
+        at = np.minimum(np.searchsorted(gram, key), len(gram) - 1)
+        held = gram[at] == key
+        return np.where(held, lp[at], 0.0), held
 
 
 def word_metrics(words: Words) -> list[np.ndarray]:
@@ -303,68 +238,75 @@ def base_failed() -> F.Column:
 class PerplexityQuality:
     """fit() counts and stores the model; score() gives the figures of each text; bands() the limits; accept() the rows."""
 
-    def __init__(self, order: int = ORDER, slot_bits: int | None = None, width: tuple[float, float] = (8.0, 4.5), floor: float = 0.02, least: int = 50):
-        """slot_bits is accepted for callers of the capped model and has no effect: no n-gram is dropped."""
-        self.order, self.slot_bits, self.width, self.floor, self.least = order, slot_bits, width, floor, least
+    def __init__(self, order: int = ORDER, width: tuple[float, float] = (8.0, 4.5), floor: float = 0.02, least: int = 50, hot: int = HOT):
+        self.order, self.width, self.floor, self.least, self.hot = order, width, floor, least, hot
 
     def fit(self, docs: DataFrame) -> "PerplexityQuality":
-        counts = checkpointed(count_grams(docs, self.order))
-        self.model = written(kneser_ney(counts, self.order), "model")
+        model = kneser_ney(count_grams(docs, self.order), self.order)
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.model = written(model.repartition(parts, "gram").sortWithinPartitions("n", "lang", "gram"), "model")
+        top = self.model.where((F.col("n") == self.order) & F.col("p").isNotNull()).withColumn("level", F.floor(F.log2(F.col("c").cast("double")) * 8))
+        room, least = self.hot, None
+        for level, n in top.groupBy("level").count().orderBy(F.desc("level")).collect():  # a row for each eighth of a power of two
+            room -= n
+            if room < 0:
+                break
+            least = level
+        table = top.where(F.col("level") >= least if least is not None else F.lit(False)).select("lang", "gram", F.log("p").alias("lp")).toArrow()  # `hot` rows at most
+        self._hot = docs.sparkSession.sparkContext.broadcast((table.column("lang").to_numpy(), table.column("gram").to_numpy().view(U64), table.column("lp").to_numpy()))
         return self
 
-    @property
-    def arrays(self):
-        """A small model's arrays for a Scorer, broadcast; scoring does not use them."""
-        return self.model.sparkSession.sparkContext.broadcast(sorted_arrays(self.model))
-
     def _measured(self, docs: DataFrame, columns: list[str]) -> DataFrame:
-        """Those columns of docs, METRICS and log_ppl; docs has lang and text as strings and is read twice in the same partitions."""
-        order, metrics = self.order, [x.split()[0] for x in METRICS.split(", ")] + ["log_ppl"]
-        known = looked_up(block_grams(docs, order), self.model, order).withColumnRenamed("block", "__block").select("__block", F.col("lang").alias("__lang"), "gram", "lp")
-
-        def placed(batches):
-            read = 0
+        """Those columns of docs, METRICS and log_ppl; docs has lang (language()) and text besides. docs is read once."""
+        order, hot, held = self.order, self._hot, []
+        metrics = [x.split()[0] for x in METRICS.split(", ")]
+        kinds = [docs.schema[c] for c in columns]
+        schema = StructType(kinds)
+        for name, kind in (("__row", "long"), *((m, "long") for m in metrics), ("__grams", "long"), ("__nll", "double"), ("__lang", "long"), ("__gram", "long"), ("__n", "long")):
+            schema = schema.add(name, kind)
+
+        def run(batches):
+            from pyspark import TaskContext
+
+            row = np.int64(TaskContext.get().partitionId()) << 40
+            if not held:
+                held.append(HotGrams(*hot.value))
             for batch in batches:
-                block, read = _numbered(batch, read)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block)], [*batch.schema.names, "__block"])
-
-        def measure(texts: pa.Table, grams_: pa.Table) -> pa.Table:
-            lookup = {}
-            if grams_.num_rows:
-                langs = grams_.column("__lang").combine_chunks().dictionary_encode(null_encoding="encode")
-                langs = langs if isinstance(langs, pa.DictionaryArray) else langs.chunk(0)
-                code, gram, lp = langs.indices.to_numpy(), grams_.column("gram").to_numpy().view(U64), grams_.column("lp").to_numpy()
-                for k, lang in enumerate(langs.dictionary.to_pylist()):
-                    at = np.flatnonzero(code == k)
-                    at = at[np.argsort(gram[at])]
-                    lookup[lang] = gram[at], lp[at]
-            out = []
-            for batch in texts.to_batches():
                 for part in slices(batch, "text"):
-                    nll = np.zeros(part.num_rows)
-                    for lang, rows in _by_language(part):
+                    n, ids = part.num_rows, row + np.arange(part.num_rows)
+                    row += n
+                    nll, size, rare = np.zeros(n), np.zeros(n, np.int64), []
+                    for lang, rows in _by_language(part.column("lang").to_numpy()):
                         key, at = grams(Words(part.column("text").take(pa.array(rows))), order)
-                        if len(key):
-                            has, lp = lookup.get(lang, (np.zeros(1, U64), np.zeros(1)))
-                            i = np.minimum(np.searchsorted(has, key), len(has) - 1)
-                            if (has[i] != key).any():
-                                raise RuntimeError("a block has other texts than when its n-grams were looked up: the input's partitions are not stable, write it as a table first")
-                            sums = np.concatenate([[0.0], np.cumsum(lp[i])])
-                            nll[rows] = -(sums[at[1:]] - sums[at[:-1]]) / np.maximum(np.diff(at), 1)
-                    values = [*word_metrics(Words(part.column("text"))), np.round(nll, 6)]
-                    out.append(pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *(pa.array(x) for x in values)], [*columns, *metrics]))
-            return pa.Table.from_batches(out) if out else empty
-
-        kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-        schema = f"{kinds}, {METRICS}, log_ppl double"
-        empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
-        rows = docs.mapInArrow(placed, StructType(list(docs.schema.fields)).add("__block", "long"))
-        return rows.groupBy("__block").cogroup(known.groupBy("__block")).applyInArrow(measure, schema)
+                        if not len(key):
+                            continue
+                        lp, known = held[0].find(lang, key)
+                        nll[rows], size[rows] = -per_text(lp, at, float), np.diff(at)
+                        if not known.all():
+                            of, key = ids[rows][np.repeat(np.arange(len(rows)), np.diff(at))][~known], key[~known].view(np.int64)
+                            by = np.lexsort((key, of))
+                            of, key = of[by], key[by]
+                            first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (key[1:] != key[:-1])])
+                            rare.append((of[first], np.full(len(first), lang), key[first], np.diff(np.r_[first, len(key)])))
+                    values = [ids, *word_metrics(Words(part.column("text"))), size, nll]
+                    nulls = [pa.nulls(n, pa.int64())] * 3
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *(pa.array(x) for x in values), *nulls], schema.names)
+                    for of, lang, key, times in rare:
+                        none = [pa.nulls(len(of), part.schema.field(c).type) for c in columns]
+                        zeros = [pa.nulls(len(of), pa.int64()) for _ in range(len(metrics) + 1)]
+                        yield pa.RecordBatch.from_arrays([*none, pa.array(of), *zeros, pa.nulls(len(of), pa.float64()), pa.array(lang), pa.array(key), pa.array(times)], schema.names)
+
+        table = written(docs.mapInArrow(run, schema), "measured")
+        rare = table.where("__gram IS NOT NULL").select("__row", F.col("__lang").alias("lang"), F.col("__gram").alias("gram"), "__n")
+        late = looked_up(rare, self.model, order).groupBy("__row").agg(F.sum(F.col("__n") * F.col("lp")).alias("__late"))
+        rows = table.where("__gram IS NULL").join(late, "__row", "left")
+        log_ppl = F.round((F.col("__nll") - F.coalesce("__late", F.lit(0.0))) / F.greatest("__grams", F.lit(1)), 6)
+        return rows.select(*columns, *metrics, log_ppl.alias("log_ppl"))
 
     def score(self, docs: DataFrame, key: str = "doc_id") -> DataFrame:
         """key, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_ppl (nats a byte)."""
-        docs = docs.select(key, F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-        return self._measured(docs, [key, "lang"])
+        docs = docs.select(F.col(key).alias("__key"), F.col("lang").cast("string").alias("__name"), language(), F.col("text").cast("string").alias("text"))
+        return self._measured(docs, ["__key", "__name"]).withColumnsRenamed({"__key": key, "__name": "lang"})
 
     def bands(self, scored: DataFrame) -> DataFrame:
         """(band_lang, middle, below, above): a row for each language with enough texts."""
@@ -383,7 +325,7 @@ class PerplexityQuality:
 
     def accept(self, docs: DataFrame) -> DataFrame:
         """Rows of docs that pass, all columns; each row is judged by its own figures, scored once."""
-        own = {c: f"__own_{c}" for c in docs.columns}
-        renamed = docs.select(*(F.col(c).alias(own[c]) for c in docs.columns), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-        scored = written(self._measured(renamed, [*own.values(), "lang"]), "scored")
+        own = {c: f"__own_{k}" for k, c in enumerate(docs.columns)}
+        renamed = docs.select(*(F.col(f"`{c}`").alias(own[c]) for c in docs.columns), F.col("lang").cast("string").alias("__name"), language(), F.col("text").cast("string").alias("text"))
+        scored = written(self._measured(renamed, [*own.values(), "__name"]).withColumnRenamed("__name", "lang"), "scored")
         return self.verdict(scored, self.bands(scored)).where("kept").select(*(F.col(own[c]).alias(c) for c in docs.columns))
