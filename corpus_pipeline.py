@@ -1,4 +1,10 @@
-"""Corpus pipeline: quality rules, toxicity, near-duplicates, repeated passages, packing."""
+"""Corpus pipeline: quality rules, toxicity, near-duplicates, repeated passages, packing.
+
+Every stage takes a table with doc_id, text and lang (and any others, whatever their names) and keeps the columns. A null
+or empty text has no words: the quality rules reject it, the other stages keep it. Rows with a null or repeated doc_id
+are judged by their own text at each stage. An empty table passes through all stages. Repeated rows are near-duplicates
+of each other, of which one stays.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from netloom.llm.minhash import near_texts
 from netloom.llm.packing import best_fit
 from netloom.llm.quality import PerplexityQuality
+from netloom.llm.queries import vocabulary
 from netloom.llm.shared import written
 from netloom.llm.substrings import remove_repeats
 from netloom.llm.toxicity import Toxicity, held_out
@@ -32,14 +39,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the words of repeated windows; n_chars is the length of what is left."""
-    cut = remove_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """All documents without the words of repeated windows; n_chars, if there is one, is the length of what is left."""
+    own = {c: f"__own_{c}" for c in ("n_words", "n_removed") if c in docs.columns}
+    cut = remove_repeats(docs.withColumnsRenamed(own)).drop("n_words", "n_removed").withColumnsRenamed({v: k for k, v in own.items()})
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bin and place of every piece of every document."""
-    return best_fit(docs)
+    """The bin, place, tokens and text of every piece of every document: bins in the order of offsets are the training sequences."""
+    return best_fit(docs, path=vocabulary("word_bpe_49k.json"), texts=True)
 
 
 STAGES = [("quality rules", quality), ("toxicity", toxicity), ("MinHash near-dedup", near_duplicates), ("substring dedup", repeated_passages), ("best-fit packing", packing)]
