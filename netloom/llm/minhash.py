@@ -184,8 +184,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(check, "a long, b long")
 
 
-def _joining(placed: DataFrame, sets: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(a, b): for each class that shares a bucket with a large component without being in it, verified links to it.
+def _joining(placed: DataFrame, sets: DataFrame, sigs: DataFrame) -> DataFrame | None:
+    """(a, b): for each class that shares a bucket with a large component without being in it, verified links to it; None if there is no such class.
 
     placed has (key, id, c). A component's members are cut into blocks, and so are the classes that ask for it; each two
     blocks meet in a task, where shared runs are counted for the whole block at once. A class gets at most one link from each block.
@@ -193,9 +193,13 @@ def _joining(placed: DataFrame, sets: DataFrame, sigs: DataFrame) -> DataFrame:
     members = placed.select("id", "c").distinct()
     large = members.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") >= LARGE).select("c", F.ceil(F.col("n") / BLOCK).cast("int").alias("of"))
     large = written(large, "large")
+    if large.isEmpty():
+        return None
     near = salted(placed, large, "c", "id").select("key", F.col("c").alias("other"), "of").distinct()
     asks = placed.join(near, "key").where("c <> other").join(large.select(F.col("c").alias("l")), F.col("c") == F.col("l"), "left").where("l IS NULL OR other < c")
     asks = written(asks.select("id", F.col("other").alias("c"), "of").distinct(), "asks")
+    if asks.isEmpty():
+        return None
     parts = written(asks.groupBy("c", "of").agg(F.ceil(F.count("*") / ASKS).cast("int").alias("parts")), "asked")
     inside = salted(members, parts, "c", "id").select("c", F.pmod(F.xxhash64("id"), F.col("of")).cast("int").alias("k"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("member"), "id")
     asks = salted(asks.select("id", "c"), parts, "c", "id").select("c", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("k"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("member"), "id")
@@ -287,10 +291,7 @@ def _classes(docs: DataFrame, key: str) -> DataFrame:
     stars = stars.join(sigs.withColumnsRenamed({"id": "a", "sig": "sa"}), "a").join(sigs.withColumnsRenamed({"id": "b", "sig": "sb"}), "b")
     stars = written(_agreeing(stars, ESTIMATE), "stars")
     sets = written(_sets(docs, key, met.select("id").distinct()), "sets")
-    sides = stars.select(F.col("a").alias("v"), "*").unionByName(stars.select(F.col("b").alias("v"), "*"))
-    best = sides.groupBy("v").agg(F.max(F.struct("agree", "a", "b")).alias("x"), F.max(F.struct(F.xxhash64("a", "b").alias("h"), "a", "b")).alias("y"))
-    first = best.select("x.a", "x.b").unionByName(best.select("y.a", "y.b")).distinct()
-    links = written(_verified(first, sets), "links")
+    links = written(_verified(stars, sets), "links")
     label = components(links)
 
     def labelled(df, v, c):
@@ -298,14 +299,14 @@ def _classes(docs: DataFrame, key: str) -> DataFrame:
 
     def joined(more):
         """links and labels with further links."""
+        if more is None:
+            return links, label
         more = written(more, "links")
         if more.isEmpty():
             return links, label
         every = links.unionByName(more)
         return every, components(every)
 
-    rest = labelled(labelled(stars.select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b").join(first, ["a", "b"], "left_anti")
-    links, label = joined(_verified(rest, sets))
     while True:  # who joins a large component can bring in others that are near to it alone
         size = links.count()
         links, label = joined(_joining(written(labelled(met.select("key", "id"), "id", "c"), "placed"), sets, sigs))
