@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.library import pseudo_logit, sigmoid
+from ..functions.library import CRITICAL_NS, pseudo_logit, sigmoid
 from . import graph_facts
 
 
@@ -130,3 +130,35 @@ def scenarios(b: DataFrame, per_role: int = 40) -> DataFrame:
     role = F.when(F.col("task") == "slack", "timing").when(F.col("task") == "drc", "drc").otherwise("placement")
     order = Window.partitionBy("role").orderBy(F.expr("(circuit_id * 7919) % 10007"), "circuit_id")
     return b.withColumn("role", role).withColumn("slot", F.row_number().over(order).cast("long")).where(F.col("slot") <= per_role).select("role", "slot", "circuit_id", "violation", "severity")
+
+
+def rank_critical_probability(p: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Where slacks are not predicted: circuits whose critical-path probability reaches the threshold, worst nodes first."""
+    hot = p.select("circuit_id", "idx", F.round(sigmoid(pseudo_logit((F.col("slack") <= CRITICAL_NS).cast("double"))), 9).alias("prob"))
+    worst = hot.groupBy("circuit_id").agg(F.max("prob").alias("severity")).where(F.col("severity") >= threshold)
+    return worst.join(_top(hot, [F.desc("prob")]), "circuit_id").select("circuit_id", "severity", "location", "node_ids")
+
+
+def advisories(reconciled: DataFrame) -> DataFrame:
+    """One row of advice for each recommendation that clashes with another one of its circuit."""
+    text = F.concat("fix", F.lit(" conflicts with "), F.array_join("clashing", ", "))
+    return reconciled.where(F.size("clashing") > 0).select("circuit_id", F.lit("ppa").alias("task"), "fix", F.lit(0.5).alias("confidence"), text.alias("advice"))
+
+
+def confidence_map(recs: DataFrame) -> DataFrame:
+    """(circuit_id, task, confidence): of a task's recommendations the last one's, in order of fixes."""
+    return recs.groupBy("circuit_id", "task").agg(F.max_by("confidence", "fix").alias("confidence"), F.count("*").alias("n"))
+
+
+def task_summary(p: DataFrame) -> DataFrame:
+    """Least, mean and greatest prediction of each circuit and task."""
+    tasks = {"slack": F.col("slack"), "congestion": F.col("congestion"), "drc": F.round(sigmoid(F.col("drc_logit")), 9)}
+    rows = p.select("circuit_id", F.explode(F.array(*(F.struct(F.lit(k).alias("task"), v.alias("value")) for k, v in tasks.items()))).alias("t")).select("circuit_id", "t.*")
+    return rows.groupBy("circuit_id", "task").agg(F.min("value").alias("least"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("greatest"))
+
+
+def graph_payload(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(circuit_id, n_nodes, n_edges, links): what a viewer draws; links are "driver>sink" in order."""
+    links = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("drv", "snk"))), lambda e: F.concat_ws(">", e["drv"].cast("string"), e["snk"].cast("string"))), ",")
+    e = edges.groupBy("circuit_id").agg(F.count("*").alias("n_edges"), links.alias("links"))
+    return nodes.groupBy("circuit_id").agg(F.count("*").alias("n_nodes")).join(e, "circuit_id").select("circuit_id", "n_nodes", "n_edges", "links")

@@ -14,7 +14,7 @@ def _f(column, scale: float, name: str):
 
 
 def node_features(nodes: DataFrame, slacks: DataFrame) -> DataFrame:
-    """The digital dimensions of schema 9; device dimensions are analog.device_features."""
+    """The digital dimensions of the schema."""
     clock = slacks.select("circuit_id", "idx", "clock")
     role = [(F.col("role") == r).cast("double").alias(f"is_{r.lower()}") for r in ("PI", "PO")]
     cell = [_f(F.col("intrinsic_delay"), lib.DELAY_REF, "delay_f"), _f(F.col("input_cap"), lib.CAP_REF, "cap_f"), _f(F.col("output_res"), lib.RES_REF, "res_f"), F.round(F.col("clock") / lib.CLOCK_REF, 13).alias("clock_f")]

@@ -39,11 +39,25 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
+def all_facts(edges: DataFrame, fixes: DataFrame, process_node: str | None = None, most: int = 10) -> DataFrame:
+    """(violation, rank, subject, relation, object): for each violation its fixes, then each fix's outcomes and conflicts."""
+    f = fixes_for_violation(edges, fixes, process_node)
+    rows = f.select("violation", F.lit(0).alias("part"), "seq", F.lit(0).cast("long").alias("sub"), F.col("violation").alias("subject"), F.lit("RESOLVED_BY").alias("relation"), F.col("fix").alias("object"))
+    others = {"PRODUCES": related(edges, "PRODUCES", "fix", "object").withColumnRenamed("seq", "sub"), "CONFLICTS_WITH": conflicts(edges).select("fix", F.col("conflict").alias("object"), F.lit(0).cast("long").alias("sub"))}
+    for part, (kind, other) in enumerate(others.items(), 1):
+        rows = rows.unionByName(f.select("violation", "fix", "seq").join(other, "fix").select("violation", F.lit(1).alias("part"), "seq", (F.lit(part * 1000) + F.col("sub")).alias("sub"), F.col("fix").alias("subject"), F.lit(kind).alias("relation"), "object"))
+    order = Window.partitionBy("violation").orderBy("part", "seq", "sub", "object")
+    return rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most).select("violation", "rank", "subject", "relation", "object")
+
+
 def facts_for(edges: DataFrame, fixes: DataFrame, violation: str, process_node: str | None = None, most: int = 10) -> DataFrame:
-    """The facts that ground an answer: fixes, then each fix's outcomes and conflicts, in that order."""
-    f = fixes_for_violation(edges, fixes, process_node).where(F.col("violation") == violation)
-    rows = f.select(F.lit(0).alias("part"), "seq", F.lit(0).cast("long").alias("sub"), F.col("violation").alias("subject"), F.lit("RESOLVED_BY").alias("relation"), F.col("fix").alias("object"))
-    for part, (kind, other) in enumerate((("PRODUCES", related(edges, "PRODUCES", "fix", "object").withColumnRenamed("seq", "sub")), ("CONFLICTS_WITH", conflicts(edges).select("fix", F.col("conflict").alias("object"), F.lit(0).cast("long").alias("sub")))), 1):
-        rows = rows.unionByName(f.select("fix", "seq").join(other, "fix").select(F.lit(1).alias("part"), "seq", (F.lit(part * 1000) + F.col("sub")).alias("sub"), F.col("fix").alias("subject"), F.lit(kind).alias("relation"), "object"))
-    order = Window.orderBy("part", "seq", "sub", "object")  # a handful of facts of one violation
-    return rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most).select("rank", "subject", "relation", "object")
+    """The facts that ground an answer on one violation."""
+    return all_facts(edges, fixes, process_node, most).where(F.col("violation") == violation).drop("violation")
+
+
+def prompts(facts: DataFrame) -> DataFrame:
+    """(violation, n_facts, fixes, prompt): the facts as lines in order, and the names of the different fixes among them."""
+    line = F.format_string("- %s %s %s", "subject", "relation", "object")
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"])
+    names = F.array_join(F.array_sort(F.collect_set(F.when(F.col("relation") == "RESOLVED_BY", F.col("object")))), ", ")
+    return facts.groupBy("violation").agg(F.count("*").alias("n_facts"), names.alias("fixes"), F.array_join(lines, "\n").alias("prompt"))

@@ -42,7 +42,7 @@ def pool(vectors: DataFrame, size: int = 3) -> DataFrame:
     return vectors.groupBy("circuit_id").agg(*_dims(size, lambda k: F.round(F.avg(F.col("v")[k]), 9).alias(f"mean{k}")), *_dims(size, lambda k: F.round(F.max(F.col("v")[k]), 9).alias(f"max{k}")))
 
 
-def structural_encoding(nodes: DataFrame, edges: DataFrame, powers=(1, 2, 16)) -> DataFrame:
+def structural_encoding(nodes: DataFrame, edges: DataFrame, powers=tuple(range(1, 17))) -> DataFrame:
     """Powers of the inverse undirected degree."""
     ends = edges.select("circuit_id", F.col("drv").alias("idx")).unionByName(edges.select("circuit_id", F.col("snk").alias("idx")))
     degree = ends.groupBy("circuit_id", "idx").agg(F.count("*").alias("degree"))

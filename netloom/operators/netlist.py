@@ -23,6 +23,21 @@ def nodes_from_events(events: DataFrame) -> DataFrame:
     return nodes.select("circuit_id", "idx", "event_id", "n", "role", F.coalesce("cell", "role").alias("node_type"), "side", x.cast("long").alias("x"), y.cast("long").alias("y"), "cell_idx", "intrinsic_delay", "input_cap", "output_res", "num_inputs")
 
 
+def placed(nodes: DataFrame) -> DataFrame:
+    """Nodes (circuit_id, idx, role, node_type) of any netlist with places and cell parameters: inputs in the first column,
+    outputs in the last, gates inside by a hash of their index. Indices number the inputs first and the outputs last."""
+    of = Window.partitionBy("circuit_id")
+    count = lambda role: F.sum((F.col("role") == role).cast("long")).over(of)
+    rows = nodes.withColumns({"n": F.count("*").over(of), "n_in": count("PI"), "n_out": count("PO")})
+    rows = rows.withColumn("side", F.greatest(F.lit(6), F.floor(F.sqrt(F.col("n").cast("double")) * 1.6)).cast("long"))
+    slot = (F.col("idx") * 7919) % ((F.col("side") - 2) * F.col("side"))
+    x = F.when(F.col("role") == "PI", F.lit(0)).when(F.col("role") == "PO", F.col("side") - 1).otherwise(1 + F.floor(slot / F.col("side")))
+    y = F.when(F.col("role") == "PI", F.floor(F.col("idx") * F.col("side") / F.col("n_in"))).when(F.col("role") == "PO", F.floor((F.col("idx") - F.col("n") + F.col("n_out")) * F.col("side") / F.col("n_out"))).otherwise(slot % F.col("side"))
+    cells = F.broadcast(lib.cells(nodes.sparkSession)).drop("cell_idx", "drive_strength", "function")  # a row for each library cell
+    rows = rows.withColumns({"x": x.cast("long"), "y": y.cast("long")}).join(cells.withColumnRenamed("cell", "node_type"), "node_type", "left")
+    return rows.select("circuit_id", "idx", "n", "role", "node_type", "side", "x", "y", "intrinsic_delay", "input_cap", "output_res", "num_inputs")
+
+
 def edges_of(nodes: DataFrame) -> DataFrame:
     """Distinct (driver, sink) pairs: a gate has a driver for each pin, an output one."""
     gates = nodes.where("role = 'GATE'").withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("num_inputs") - 1)))

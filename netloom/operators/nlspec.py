@@ -22,7 +22,7 @@ PATTERNS = {
     "slew_rate_v_us": r"(?i)(\d+(?:\.\d+)?)\s*V/?μ?u?s\s+slew",
     "power_mw": r"(?i)(\d+(?:\.\d+)?)\s*mW\s+(?:of\s+)?power",
 }
-PROCESS, STAGES = r"(?i)(\d+)\s*nm", r"(?i)(\d+)[-\s]stage"
+PROCESS, STAGES = r"(?i)(\d+)\s*nm\b", r"(?i)(\d+)[-\s]stage"
 COMPENSATION = [("miller", "miller"), ("nested", "nested miller"), ("cascode comp", "cascode")]
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: 512 and 50 tokens at 1.3 tokens a word.
 CHUNK_WORDS, STEP_WORDS = 393, 355
+#: Token rows of queries that are small enough to send to every task.
+BROADCAST = 100_000
 _WORD = r"[^ \t\n\x0b\f\r]+"
 
 
@@ -22,9 +24,12 @@ def tokens(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
 def keyword_topk(queries: DataFrame, docs: DataFrame, query: str, doc: str, k: int) -> DataFrame:
     """The k documents with the greatest shared token counts; ties go to the larger id.
 
-    An equi-join on the token: only documents that share a token with a query are scored.
+    An equi-join on the token: only documents that share a token with a query are scored. Up to BROADCAST token rows of the
+    queries are counted and sent to every task, so that no token of the documents is shuffled; more are joined by shuffle.
     """
     q, d = queries.withColumnRenamed("tf", "q_tf"), docs.withColumnRenamed("tf", "d_tf")
+    if q.limit(BROADCAST + 1).count() <= BROADCAST:
+        q = F.broadcast(q)
     scores = d.join(q, "token").groupBy(query, doc).agg(F.sum(F.least("q_tf", "d_tf")).alias("score"))
     order = Window.partitionBy(query).orderBy(F.desc("score"), F.desc(doc))
     return scores.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select(query, doc, "score", "rank")
@@ -55,6 +60,19 @@ def entry_text(entries: DataFrame) -> DataFrame:
     return entries.select("circuit_name", "topology_type", F.concat_ws(" ", *parts).alias("text"))
 
 
+def chunk_metadata(texts: DataFrame, key: str, columns: list[str], text: str = "text") -> DataFrame:
+    """chunks() with columns of their text and how many chunks it has."""
+    of = Window.partitionBy(key)
+    return chunks(texts, key, text).withColumn("n_chunks", F.count("*").over(of)).join(texts.select(key, *columns), key)
+
+
+def merged_hits(hits: DataFrame, group: str, query: str, doc: str) -> DataFrame:
+    """(group, position, doc): the hits of a group's queries in order of query and rank, each document at its first place."""
+    first = hits.groupBy(group, doc).agg(F.min(F.struct(query, "rank")).alias("at"))
+    order = Window.partitionBy(group).orderBy("at")
+    return first.select(group, F.row_number().over(order).cast("long").alias("position"), doc)
+
+
 def first_json(replies: DataFrame, column: str) -> DataFrame:
     """The outermost braces of a noisy reply, and how many keys they hold (null if that is not JSON)."""
     body = F.regexp_extract(column, r"(?s)\{.*\}", 0)

@@ -3,9 +3,9 @@
 Arrival is the longest path from the inputs, floor 0. Required time is clock - suffix, where suffix is the longest
 backward delay to an endpoint: every endpoint and floating node starts at the clock, so one backward pass serves any
 number of clocks. Three strategies give the same tables: "fold" keeps a circuit in one array and stays in the JVM
-(indices must be 0..n-1 in topological order), "grouped" runs a task for each circuit on any acyclic order, and "relax"
-repeats joins over all arcs, for graphs too large for one task. The default, "sized", folds circuits of at most
-FOLD_NODES nodes and relaxes the larger ones.
+(indices must be 0..n-1 in topological order), "grouped" runs a task for each circuit on any order and gives nodes on or
+behind a cycle arrival 0 and suffix 0, and "relax" repeats joins over all arcs of acyclic graphs too large for one task.
+The default, "sized", groups circuits of at most TASK_NODES nodes and relaxes the larger ones.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from ..functions.library import CRITICAL_NS
 
 #: Delays are multiples of 1e-13 ns, so that rounding to this many digits removes what the order of additions leaves.
 DIGITS = 13
-#: Nodes up to which a circuit is folded in one task.
-FOLD_NODES = 1000
+#: Nodes up to which a circuit is one task's work.
+TASK_NODES = 5000
 
 
 def _fold(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -99,10 +99,10 @@ def _relax(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
 def _sized(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     from ..sources.tables import checkpointed
 
-    large = checkpointed(nodes.groupBy("circuit_id").agg(F.count("*").alias("n")).where(F.col("n") > FOLD_NODES).select("circuit_id"))
+    large = checkpointed(nodes.groupBy("circuit_id").agg(F.count("*").alias("n")).where(F.col("n") > TASK_NODES).select("circuit_id"))
     if large.isEmpty():
-        return _fold(nodes, arcs)
-    folded = _fold(nodes.join(large, "circuit_id", "left_anti"), arcs.join(large, "circuit_id", "left_anti"))
+        return _grouped(nodes, arcs)
+    folded = _grouped(nodes.join(large, "circuit_id", "left_anti"), arcs.join(large, "circuit_id", "left_anti"))
     return folded.unionByName(_relax(nodes.join(large, "circuit_id", "left_semi"), arcs.join(large, "circuit_id", "left_semi")))
 
 
@@ -162,19 +162,48 @@ def critical_path(timing: DataFrame, arcs: DataFrame, ends: DataFrame) -> DataFr
         reach *= 2
 
 
-def fanin_cones(edges: DataFrame, seeds: DataFrame, depth: int = 6) -> DataFrame:
-    """Distinct (circuit_id, seed, idx) within `depth` hops behind each seed, by a join for each hop."""
-    cone = seeds.select("circuit_id", F.col("idx").alias("seed"), "idx")
-    front = cone
-    for _ in range(depth):
+def _walk(seeds: pd.DataFrame, edges: pd.DataFrame, most: int) -> pd.DataFrame:
+    """The cones of one circuit's seeds, hop by hop."""
+    edges = edges.sort_values("snk", kind="stable")
+    drv, snk, out = edges["drv"].to_numpy(), edges["snk"].to_numpy(), []
+    for seed in seeds["idx"].unique():
+        cone = front = np.array([seed])
+        while len(front) and len(cone) < most:
+            lo, hi = np.searchsorted(snk, front, "left"), np.searchsorted(snk, front, "right")
+            behind = np.unique(np.concatenate([drv[a:b] for a, b in zip(lo, hi)]))
+            front = np.setdiff1d(behind, cone)
+            cone = np.union1d(cone, front)
+        out.append(pd.DataFrame({"circuit_id": seeds["circuit_id"].iloc[0], "seed": seed, "idx": cone}))
+    return pd.concat(out) if out else pd.DataFrame({"circuit_id": [], "seed": [], "idx": []}).astype("int64")
+
+
+def fanin_cones(edges: DataFrame, seeds: DataFrame, most: int = 6000) -> DataFrame:
+    """Distinct (circuit_id, seed, idx): all that reaches each seed; a cone that has `most` nodes takes no further hop.
+
+    Circuits of at most TASK_NODES edges are walked in one task each; the edges of larger ones are joined hop by hop.
+    """
+    from ..sources.tables import checkpointed
+
+    seeds, edges = seeds.select("circuit_id", "idx"), edges.select("circuit_id", "drv", "snk")
+    large = checkpointed(edges.groupBy("circuit_id").agg(F.count("*").alias("n")).where(F.col("n") > TASK_NODES).select("circuit_id"))
+    few = large.isEmpty()
+    s, e = (x if few else x.join(large, "circuit_id", "left_anti") for x in (seeds, edges))
+    small = s.groupBy("circuit_id").cogroup(e.groupBy("circuit_id")).applyInPandas(lambda a, b: _walk(a, b, most), "circuit_id long, seed long, idx long")
+    if few:
+        return small
+    edges = checkpointed(edges.join(large, "circuit_id", "left_semi"))
+    cone = front = checkpointed(seeds.join(large, "circuit_id", "left_semi").select("circuit_id", F.col("idx").alias("seed"), "idx").distinct())
+    while not front.isEmpty():
         front = front.withColumnRenamed("idx", "snk").join(edges, ["circuit_id", "snk"]).select("circuit_id", "seed", F.col("drv").alias("idx")).distinct()
-        cone = cone.unionByName(front)
-    return cone.distinct()
+        open_ = cone.groupBy("circuit_id", "seed").agg(F.count("*").alias("n")).where(F.col("n") < most).select("circuit_id", "seed")
+        front = checkpointed(front.join(cone, ["circuit_id", "seed", "idx"], "left_anti").join(open_, ["circuit_id", "seed"], "left_semi"))
+        cone = checkpointed(cone.unionByName(front))
+    return small.unionByName(cone)
 
 
-def cone_windows(edges: DataFrame, seeds: DataFrame, depth: int = 6, per_circuit: int = 2, least: int = 4) -> DataFrame:
+def cone_windows(edges: DataFrame, seeds: DataFrame, per_circuit: int = 40, least: int = 8) -> DataFrame:
     """Sizes of the cones kept for each circuit: those of at least `least` nodes, the first few in hash order of the seed."""
-    sizes = fanin_cones(edges, seeds, depth).groupBy("circuit_id", "seed").agg(F.count("*").alias("size")).where(F.col("size") >= least)
+    sizes = fanin_cones(edges, seeds).groupBy("circuit_id", "seed").agg(F.count("*").alias("size")).where(F.col("size") >= least)
     order = Window.partitionBy("circuit_id").orderBy(F.expr("(seed * 7919) % 1009"), "seed")
     return sizes.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= per_circuit)
 

@@ -124,7 +124,7 @@ ORACLE_SQL = {
         "around AS (SELECT e.circuit_id, e.drv AS idx, sum(d.own) AS caps, sum(coalesce(d.cgd, 0e0)) AS coupling FROM edges e JOIN dev d ON d.circuit_id = e.circuit_id AND d.idx = e.snk GROUP BY ALL), "
         "signal AS (SELECT d.circuit_id, d.idx, device, gm, gain, CASE WHEN gm > 0 THEN log10(greatest(gm / (own + coalesce(caps, 0e0) + 1e-18) / (2e0 * pi()), 1e0)) ELSE 0e0 END AS gbw, coalesce(coupling, 0e0) + own AS par FROM dev d LEFT JOIN around a USING (circuit_id, idx))",
     ),
-    "structural_encoding": sql("SELECT n.circuit_id, n.idx, coalesce(d.deg, 0) AS degree, round(pow(1e0 / greatest(coalesce(d.deg, 0), 1), 1), 9) AS pe1, round(pow(1e0 / greatest(coalesce(d.deg, 0), 1), 2), 9) AS pe2, round(pow(1e0 / greatest(coalesce(d.deg, 0), 1), 16), 9) AS pe16 FROM nodes n LEFT JOIN (SELECT circuit_id, idx, count(*) AS deg FROM (SELECT circuit_id, drv AS idx FROM edges UNION ALL SELECT circuit_id, snk FROM edges) GROUP BY ALL) d USING (circuit_id, idx)"),
+    "structural_encoding": sql("SELECT n.circuit_id, n.idx, coalesce(d.deg, 0) AS degree, " + ", ".join(f"round(pow(1e0 / greatest(coalesce(d.deg, 0), 1), {p}), 9) AS pe{p}" for p in range(1, 17)) + " FROM nodes n LEFT JOIN (SELECT circuit_id, idx, count(*) AS deg FROM (SELECT circuit_id, drv AS idx FROM edges UNION ALL SELECT circuit_id, snk FROM edges) GROUP BY ALL) d USING (circuit_id, idx)"),
     "message_pass_max": sql("SELECT circuit_id, idx, round(max(m0), 9) AS m0, round(max(m1), 9) AS m1, round(max(m2), 9) AS m2 FROM msg GROUP BY circuit_id, idx", _MESSAGES),
     "message_pass_min": sql("SELECT circuit_id, idx, round(min(m0), 9) AS m0, round(min(m1), 9) AS m1, round(min(m2), 9) AS m2 FROM msg GROUP BY circuit_id, idx", _MESSAGES),
     "message_pass_softmax": sql(f"SELECT circuit_id, idx, {_soft(0)}, {_soft(1)}, {_soft(2)} FROM (SELECT *, max(m0) OVER w AS x0, max(m1) OVER w AS x1, max(m2) OVER w AS x2 FROM msg WINDOW w AS (PARTITION BY circuit_id, idx)) GROUP BY circuit_id, idx", _MESSAGES),

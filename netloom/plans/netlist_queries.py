@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import congestion, timing
 from ..operators.netlist import Netlist, nodes_from_events
-from ..sources.tables import table
+from ..sources.tables import checkpointed, table
 from .netlist_sql import sql
 
 FACTORS = (1.2, 0.95)
 
 
 def netlist(spark: SparkSession, sf_dir: str) -> Netlist:
-    return Netlist(nodes_from_events(table(spark, sf_dir, "events")))
+    """The derived netlist; its nodes are written once, since every other table reads them."""
+    return Netlist(checkpointed(nodes_from_events(table(spark, sf_dir, "events"))))
 
 
 def timed(spark, sf_dir):
     n = netlist(spark, sf_dir)
-    return n, timing.propagate(n.nodes, n.arcs)
+    n.arcs = checkpointed(n.arcs)
+    return n, checkpointed(timing.propagate(n.nodes, n.arcs))
 
 
 def slacks(spark, sf_dir, factors=FACTORS):
@@ -149,7 +151,7 @@ QUERIES = {f.__name__: f for f in (netlist_nodes, netlist_edges, netlist_nets, p
 
 _SUMMARY = "round(max(clock), 13) AS clock_period_ns, round(max(max_at), 13) AS max_arrival_time_ns, min(slack) AS min_slack_ns, count(*) FILTER (slack <= 0.05e0) AS num_critical_nodes, count(*) AS num_nodes FROM slacks"
 _WORST = "worst AS (SELECT circuit_id, arg_min(idx, (slack, idx)) AS idx, min(slack) AS slack FROM slacks WHERE factor = 0.95e0 AND role = 'PO' GROUP BY circuit_id)"
-_CONE = "cone AS (SELECT circuit_id, idx AS seed, idx, 0 AS hops FROM nodes WHERE role = 'PO' UNION SELECT c.circuit_id, c.seed, e.drv, c.hops + 1 FROM cone c JOIN edges e ON e.circuit_id = c.circuit_id AND e.snk = c.idx WHERE c.hops < 6), cones AS (SELECT DISTINCT circuit_id, seed, idx FROM cone)"
+_CONE = "cones AS (SELECT circuit_id, idx AS seed, idx FROM nodes WHERE role = 'PO' UNION SELECT c.circuit_id, c.seed, e.drv FROM cones c JOIN edges e ON e.circuit_id = c.circuit_id AND e.snk = c.idx)"
 ORACLE_SQL = {
     "netlist_nodes": sql("SELECT circuit_id, idx, role, node_type, side, x, y FROM nodes"),
     "netlist_edges": sql("SELECT circuit_id, drv, snk FROM edges"),
@@ -171,7 +173,7 @@ ORACLE_SQL = {
         _WORST + ", late AS (SELECT a.circuit_id, a.snk, arg_max(a.drv, (round(t.arrival + a.fwd, 13), -a.drv)) AS drv FROM arcs a JOIN timing t ON t.circuit_id = a.circuit_id AND t.idx = a.drv GROUP BY a.circuit_id, a.snk), path AS (SELECT circuit_id, 0::BIGINT AS step, idx FROM worst UNION ALL SELECT p.circuit_id, p.step + 1, l.drv FROM path p JOIN late l ON l.circuit_id = p.circuit_id AND l.snk = p.idx)",
     ),
     "fanin_cone": sql("SELECT circuit_id, seed, idx FROM cones", _CONE),
-    "fanin_cone_sizes": sql("SELECT circuit_id, seed, size, rank FROM (SELECT *, row_number() OVER (PARTITION BY circuit_id ORDER BY (seed * 7919) % 1009, seed) AS rank FROM (SELECT circuit_id, seed, count(*) AS size FROM cones GROUP BY ALL) WHERE size >= 4) WHERE rank <= 2", _CONE),
+    "fanin_cone_sizes": sql("SELECT circuit_id, seed, size, rank FROM (SELECT *, row_number() OVER (PARTITION BY circuit_id ORDER BY (seed * 7919) % 1009, seed) AS rank FROM (SELECT circuit_id, seed, count(*) AS size FROM cones GROUP BY ALL) WHERE size >= 8) WHERE rank <= 40", _CONE),
     "cone_subnetlist": sql("SELECT e.circuit_id, a.seed, count(*) AS edges, count(DISTINCT e.drv) AS nets FROM edges e JOIN cones a ON a.circuit_id = e.circuit_id AND a.idx = e.drv JOIN cones b ON b.circuit_id = e.circuit_id AND b.idx = e.snk AND b.seed = a.seed GROUP BY e.circuit_id, a.seed", _CONE),
     "topo_levels": sql("SELECT circuit_id, idx, depth AS level FROM timing"),
     "cycle_check": sql("SELECT circuit_id, 0::BIGINT AS unplaced, max(depth) AS deepest FROM timing GROUP BY circuit_id"),

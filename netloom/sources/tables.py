@@ -14,6 +14,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the folder in spark.checkpoint.dir; a temporary one only where the session names none (local runs)."""
     spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    shared_folder(spark)
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a machine-local one is made only where all of Spark runs in this process."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master.startswith("local") and "cluster" not in sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return sc._jsc.sc().getCheckpointDir().get()

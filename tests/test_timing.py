@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from netloom.sources.tables import checkpointed
 from netloom.operators import analog, congestion, mapping, messages, timing
 from netloom.operators.netlist import Netlist, nodes_from_events
 from netloom.plans.advice_queries import ASSIGNS, BENCH, VERILOG
@@ -36,12 +37,12 @@ def test_long_and_large_circuits(spark, monkeypatch):
     """A path of 90 nodes comes whole, and a circuit over the fold's size gets the rows that the fold gives."""
     nodes = spark.createDataFrame([(c, i) for c, n in ((1, 90), (2, 5)) for i in range(n)], "circuit_id long, idx long")
     arcs = spark.createDataFrame([(c, i - 1, i, 0.5, 0.25) for c, n in ((1, 90), (2, 5)) for i in range(1, n)], "circuit_id long, drv long, snk long, fwd double, bwd double")
-    folded = timing.propagate(nodes, arcs, "fold").localCheckpoint()
+    folded = checkpointed(timing.propagate(nodes, arcs, "fold"))
     ends = spark.createDataFrame([(1, 89), (2, 4)], "circuit_id long, idx long")
     path = sorted(tuple(r) for r in timing.critical_path(folded, arcs, ends).collect())
     assert path == [(c, k, n - 1 - k) for c, n in ((1, 90), (2, 5)) for k in range(n)]
     few, keep = nodes.where("circuit_id = 2 OR idx < 8"), arcs.where("circuit_id = 2 OR snk < 8")
-    monkeypatch.setattr(timing, "FOLD_NODES", 6)
+    monkeypatch.setattr(timing, "TASK_NODES", 6)
     assert sorted(timing.propagate(few, keep).collect()) == sorted(timing.propagate(few, keep, "fold").collect())
 
 
