@@ -314,7 +314,7 @@ def _classes(docs: DataFrame, key: str) -> DataFrame:
             break
     placed = written(labelled(met.select("key", "band", "id"), "id", "c"), "placed")
     large = placed.select("id", "c").distinct().groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") >= LARGE).select("c")
-    placed = placed.join(large, "c", "left_anti")
+    placed = salted(placed, large, "c", "id", how="left_anti")
     mixed = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
     across = _across(placed.join(mixed, "key").join(sigs, "id").select("key", "band", "id", "c", "sig"))
     links, label = joined(_verified(across.join(stars.select("a", "b"), ["a", "b"], "left_anti"), sets))

@@ -327,5 +327,5 @@ class PerplexityQuality:
         """Rows of docs that pass, all columns; each row is judged by its own figures, scored once."""
         own = {c: f"__own_{k}" for k, c in enumerate(docs.columns)}
         renamed = docs.select(*(F.col(f"`{c}`").alias(own[c]) for c in docs.columns), F.col("lang").cast("string").alias("__name"), language(), F.col("text").cast("string").alias("text"))
-        scored = written(self._measured(renamed, [*own.values(), "__name"]).withColumnRenamed("__name", "lang"), "scored")
+        scored = self._measured(renamed, [*own.values(), "__name"]).withColumnRenamed("__name", "lang")
         return self.verdict(scored, self.bands(scored)).where("kept").select(*(F.col(own[c]).alias(c) for c in docs.columns))

@@ -49,10 +49,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def salted(big: DataFrame, small: DataFrame, on: str, by: str, salts: int = 32) -> DataFrame:
+def salted(big: DataFrame, small: DataFrame, on: str, by: str, salts: int = 32, how: str = "inner") -> DataFrame:
     """big joined with the rows of small, one for each value of `on`: small is repeated, so that a value with a large part of big is dealt over `salts` tasks."""
     left = big.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
-    return left.join(small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [on, "__salt"]).drop("__salt")
+    return left.join(small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [on, "__salt"], how).drop("__salt")
 
 
 def numbered(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
@@ -64,8 +64,15 @@ def numbered(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
     return rows.join(keys, F.col(key) == F.col("__key")).drop("__key"), keys
 
 
-def remove_written(spark: SparkSession) -> None:
-    """Removes the tables that written() has made so far; call it when the results built on them are stored."""
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def remove_written(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Removes these tables of new_folder(), or all of them; call it when the results built on them are stored."""
+    for path in list(_written if paths is None else paths):
+        if path in _written:
+            _written.remove(path)
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def written_so_far() -> list[str]:
+    """The folders of new_folder() that still stand."""
+    return list(_written)
