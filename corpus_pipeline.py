@@ -8,28 +8,51 @@ of each other, of which one stays.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from netloom.llm.minhash import near_texts
 from netloom.llm.packing import best_fit
 from netloom.llm.quality import PerplexityQuality
 from netloom.llm.queries import vocabulary
-from netloom.llm.shared import written
+from netloom.llm.shared import remove_written, written, written_so_far
 from netloom.llm.substrings import remove_repeats
 from netloom.llm.toxicity import Toxicity, held_out
 
+#: Tables that the stage before wrote for itself; its result is stored when the next one begins.
+_before: list[str] = []
+
+
+def stage(work, first: bool = False):
+    """A stage that removes what the stage before needed, unless it is the first, and remembers what it wrote itself."""
+
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not first:
+            remove_written(spark, _before)
+        standing = written_so_far()
+        result = work(spark, docs, sf_dir)
+        _before[:] = [path for path in written_so_far() if path not in standing]
+        return result
+
+    return run_stage
+
 
+@functools.partial(stage, first=True)
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie in their language's perplexity band."""
     return PerplexityQuality().fit(docs).accept(docs)
 
 
+@stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic; the lexicon is learned from the labelled ones among docs."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return Toxicity().fit(docs, labels.where(~held_out())).accept(docs)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near-duplicates, the one with the least doc_id; rows are told apart by a number of their own."""
     rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
@@ -38,6 +61,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(first, "__row", "left_semi").select(docs.columns)
 
 
+@stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the words of repeated windows; n_chars, if there is one, is the length of what is left."""
     own = {c: f"__own_{c}" for c in ("n_words", "n_removed") if c in docs.columns}
@@ -47,6 +71,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return cut.select(docs.columns)
 
 
+@stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The bin, place, tokens and text of every piece of every document: bins in the order of offsets are the training sequences."""
     return best_fit(docs, path=vocabulary("word_bpe_49k.json"), texts=True)
@@ -61,6 +86,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each stage's rows are written as Parquet in the shared folder and read again by the next one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for name, work in STAGES[:-1]:
+        docs = written(work(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
