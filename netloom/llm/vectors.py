@@ -134,7 +134,7 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
     kind = np.float32 if "array<float>" in rows.schema["v"].dataType.simpleString() else np.float64
     v = F.col("v").cast("array<double>")
     fine = (F.size("v") > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False))).withColumn("h", F.xxhash64("v"))
+    rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False))).withColumns({"h": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
 
     def packed(batches):
         for batch in batches:
@@ -142,7 +142,7 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
             n = np.concatenate([[0], np.cumsum(batch.column("v").value_lengths().to_numpy())]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), pa.array(np.diff(n)), pa.array([flat[a:b].tobytes() for a, b in zip(n, n[1:])], pa.binary())], ["rep", "n", "size", "v"])
 
-    classes = written(rows.where("fine").groupBy("h", "v").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("n")), "classes")
+    classes = written(rows.where("fine").groupBy("h", "h2", "v").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("n")), "classes")
     reps = written(classes.select("rep", "n", "v").mapInArrow(packed, "rep long, n long, size long, v binary"), "reps")
     w, least = window(threshold, projections, misses, recall), projections - misses
     links, edges = [], []
@@ -151,7 +151,7 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
         found = written(_links(reps.where(F.col("size") == size), size, kind, w, least, threshold, projections, depth, tables), "links")
         links.append(found.where("y IS NULL").select("x", "n"))
         edges.append(found.where("y IS NOT NULL").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    reach = salted(rows.where("fine").select("id", "v", "h"), classes.select("h", F.col("v").alias("cv"), "rep", F.col("n").alias("copies")), "h", "id", 16).where("v = cv").select("id", "rep", "copies")
+    reach = salted(rows.where("fine").select("id", "h", "h2"), classes.select("h", F.col("h2").alias("c2"), "rep", F.col("n").alias("copies")), "h", "id", 16).where("h2 = c2").select("id", "rep", "copies")  # 128 bits stand for the vector
     result = reach.unionByName(rows.where("NOT fine").select("id", F.lit(None).cast("long").alias("rep"), F.lit(1).cast("long").alias("copies")))
     others, part = "rep long, others long", "rep long, component long"
     if links:
