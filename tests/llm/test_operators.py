@@ -182,7 +182,7 @@ def brute_classes(texts):
     sets = {i: Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for i, t in enumerate(texts) if (w := split(t))}
     label = {i: i for i in range(len(texts))}
     for a, b in itertools.combinations(sets, 2):
-        if sets[a].keys() & sets[b].keys() and brute_similarity(sets[a], sets[b]) >= 0.8 and label[a] != label[b]:
+        if label[a] != label[b] and sets[a].keys() & sets[b].keys() and brute_similarity(sets[a], sets[b]) >= 0.8:
             low, high = sorted((label[a], label[b]))
             label = {k: low if v == high else v for k, v in label.items()}
     return label
