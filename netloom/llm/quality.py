@@ -12,7 +12,11 @@ by order. Neither texts nor the model are shuffled or held whole, and every n-gr
 A text is rejected if its log perplexity lies outside its language's band: median -/+ a multiple of the spread
 (interquartile range / 1.349) of all texts of the language that pass the base rules. The mean of a short text varies
 more, so its band is wider by the factor sqrt(1 + SHORT / n_words). A language with fewer than `least` such texts has
-no band. Texts are scored by a model that has counted them too.
+no band.
+
+Texts are dealt into two folds by the hash of their bytes, and each fold is scored by the model of the other one, so that
+no text, nor an exact copy of it, has been counted by the model that judges it. Each fold of a language is a language to
+the model. With held_out=False there is one model and texts are scored by a model that has counted them too.
 
 Null text counts as empty: no words, base_failed. A null language is a language of its own. Repeated rows are
 scored alike. An empty table gives an empty result. Extra columns are ignored by score() and kept by accept(), whatever
@@ -69,13 +73,18 @@ def _by_language(langs: np.ndarray):
         yield int(lang), np.flatnonzero(langs == lang)
 
 
-def language() -> F.Column:
-    """The number of a row's language; null is a language of its own."""
-    return F.xxhash64(F.col("lang").cast("string")).alias("lang")
+def fold() -> F.Column:
+    """0 or 1 by the text, null and empty alike."""
+    return F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(2)).cast("int")
+
 
+def language(of: F.Column | None = None) -> F.Column:
+    """The number of a row's language, or of that fold of it; null is a language of its own."""
+    return F.xxhash64(F.col("lang").cast("string"), *([] if of is None else [of])).alias("lang")
 
-def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, gram, n): how often each byte n-gram occurs in all texts; counted in the task, then by Spark. lang is language()."""
+
+def count_grams(docs: DataFrame, order: int = ORDER, lang: F.Column | None = None) -> DataFrame:
+    """(lang, gram, n): how often each byte n-gram occurs in all texts; counted in the task, then by Spark. lang is language() or the given number."""
 
     def merged(parts):
         key = np.concatenate([k for k, _ in parts])
@@ -108,7 +117,7 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
         for lang in list(held):
             yield from out(lang)
 
-    counted = docs.select(language(), F.col("text").cast("string").alias("text")).mapInArrow(run, "lang long, gram long, n long")
+    counted = docs.select(language() if lang is None else lang, F.col("text").cast("string").alias("text")).mapInArrow(run, "lang long, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -238,11 +247,11 @@ def base_failed() -> F.Column:
 class PerplexityQuality:
     """fit() counts and stores the model; score() gives the figures of each text; bands() the limits; accept() the rows."""
 
-    def __init__(self, order: int = ORDER, width: tuple[float, float] = (8.0, 4.5), floor: float = 0.02, least: int = 50, hot: int = HOT):
-        self.order, self.width, self.floor, self.least, self.hot = order, width, floor, least, hot
+    def __init__(self, order: int = ORDER, width: tuple[float, float] = (8.0, 4.5), floor: float = 0.02, least: int = 50, hot: int = HOT, held_out: bool = True):
+        self.order, self.width, self.floor, self.least, self.hot, self.held_out = order, width, floor, least, hot, held_out
 
     def fit(self, docs: DataFrame) -> "PerplexityQuality":
-        model = kneser_ney(count_grams(docs, self.order), self.order)
+        model = kneser_ney(count_grams(docs, self.order, language(fold() if self.held_out else None)), self.order)
         parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.model = written(model.repartition(parts, "gram").sortWithinPartitions("n", "lang", "gram"), "model")
         top = self.model.where((F.col("n") == self.order) & F.col("p").isNotNull()).withColumn("level", F.floor(F.log2(F.col("c").cast("double")) * 8))
@@ -256,8 +265,12 @@ class PerplexityQuality:
         self._hot = docs.sparkSession.sparkContext.broadcast((table.column("lang").to_numpy(), table.column("gram").to_numpy().view(U64), table.column("lp").to_numpy()))
         return self
 
+    def _judge(self) -> F.Column:
+        """The number of the model that scores a row."""
+        return language(1 - fold() if self.held_out else None)
+
     def _measured(self, docs: DataFrame, columns: list[str]) -> DataFrame:
-        """Those columns of docs, METRICS and log_ppl; docs has lang (language()) and text besides. docs is read once."""
+        """Those columns of docs, METRICS and log_ppl; docs has lang (the number of the model) and text besides. docs is read once."""
         order, hot, held = self.order, self._hot, []
         metrics = [x.split()[0] for x in METRICS.split(", ")]
         kinds = [docs.schema[c] for c in columns]
@@ -305,7 +318,7 @@ class PerplexityQuality:
 
     def score(self, docs: DataFrame, key: str = "doc_id") -> DataFrame:
         """key, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_ppl (nats a byte)."""
-        docs = docs.select(F.col(key).alias("__key"), F.col("lang").cast("string").alias("__name"), language(), F.col("text").cast("string").alias("text"))
+        docs = docs.select(F.col(key).alias("__key"), F.col("lang").cast("string").alias("__name"), self._judge(), F.col("text").cast("string").alias("text"))
         return self._measured(docs, ["__key", "__name"]).withColumnsRenamed({"__key": key, "__name": "lang"})
 
     def bands(self, scored: DataFrame) -> DataFrame:
@@ -326,6 +339,6 @@ class PerplexityQuality:
     def accept(self, docs: DataFrame) -> DataFrame:
         """Rows of docs that pass, all columns; each row is judged by its own figures, scored once."""
         own = {c: f"__own_{k}" for k, c in enumerate(docs.columns)}
-        renamed = docs.select(*(F.col(f"`{c}`").alias(own[c]) for c in docs.columns), F.col("lang").cast("string").alias("__name"), language(), F.col("text").cast("string").alias("text"))
+        renamed = docs.select(*(F.col(f"`{c}`").alias(own[c]) for c in docs.columns), F.col("lang").cast("string").alias("__name"), self._judge(), F.col("text").cast("string").alias("text"))
         scored = self._measured(renamed, [*own.values(), "__name"]).withColumnRenamed("__name", "lang")
         return self.verdict(scored, self.bands(scored)).where("kept").select(*(F.col(own[c]).alias(c) for c in docs.columns))

@@ -116,28 +116,34 @@ class PlainKneserNey:
         return -sum(math.log(self.p(x)) for x in g) / len(g) if g and self.plain(text) else 0.0
 
 
-@pytest.mark.parametrize("hot", [0, 40, 1 << 20])
-def test_kneser_ney_and_bands(spark, texts, hot):
-    """log_ppl, bands and kept against the definitions; the hot set changes nothing; unseen texts back off."""
+@pytest.mark.parametrize("hot, held_out, width", [(0, False, 1.5), (40, True, 0.5), (1 << 20, True, 0.5), (40, False, 1.5), (1 << 20, False, 1.5)])
+def test_kneser_ney_and_bands(spark, texts, hot, held_out, width):
+    """log_ppl, bands and kept against the definitions; the hot set changes nothing; unseen texts back off; a held-out text is scored by the other fold."""
     langs = {"en": texts, None: texts[:30], "de": texts[10:40]}
     rows = [(100 * k + i, t, lang) for k, (lang, ts) in enumerate(langs.items()) for i, t in enumerate(ts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    q = quality.PerplexityQuality(order=4, hot=hot, least=40, width=(1.5, 1.5)).fit(docs)
-    plain = {lang: PlainKneserNey(ts, 4) for lang, ts in langs.items()}
+    q = quality.PerplexityQuality(order=4, hot=hot, least=40, width=(width, width), held_out=held_out).fit(docs)
     new = [(1, "an unseen text Zebra 17", None), (2, texts[0] + " Qué!", None), (3, texts[1], "en"), (4, "", "en")]
+    folds = {r.text or "": r.f for r in docs.unionByName(spark.createDataFrame(new, docs.schema)).select("text", quality.fold().alias("f")).collect()}
+    assert set(folds.values()) == {0, 1}
+    models = {(lang, f): PlainKneserNey([t for t in ts if not held_out or folds[t or ""] != f], 4) for lang, ts in langs.items() for f in (0, 1)}
+
+    def log_ppl(text, lang):
+        return models[lang, folds[text or ""]].log_ppl(text)
+
     for r in q.score(spark.createDataFrame(new, docs.schema)).collect():
-        assert math.isclose(r.log_ppl, plain[r.lang].log_ppl(dict((a, b) for a, b, _ in new)[r.doc_id]), abs_tol=2e-6), r.doc_id
+        assert math.isclose(r.log_ppl, log_ppl(dict((a, b) for a, b, _ in new)[r.doc_id], r.lang), abs_tol=2e-6), r.doc_id
     scored = q.score(docs).collect()
     of = {r[0]: r for r in rows}
     for r in scored:
-        assert math.isclose(r.log_ppl, plain[r.lang].log_ppl(of[r.doc_id][1]), abs_tol=2e-6), r.doc_id
+        assert math.isclose(r.log_ppl, log_ppl(of[r.doc_id][1], r.lang), abs_tol=2e-6), r.doc_id
     failed = {r.doc_id: r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words for r in scored}
     values = sorted(r.log_ppl for r in scored if r.lang == "en" and not failed[r.doc_id])
     at = [values[math.ceil(p * len(values)) - 1] for p in (0.25, 0.5, 0.75)]
     spread = max((at[2] - at[0]) / 1.349, 0.02)
     verdict = q.verdict(spark.createDataFrame(scored), q.bands(spark.createDataFrame(scored)))
     for r in verdict.collect():
-        wide = 1.5 * spread * math.sqrt(1 + 50 / max(r.n_words, 1))
+        wide = width * spread * math.sqrt(1 + 50 / max(r.n_words, 1))
         inside = r.lang != "en" or at[1] - wide <= r.log_ppl <= at[1] + wide  # the others have too few texts for a band
         assert r.kept == (inside and not failed[r.doc_id]), r.doc_id
     assert any(not r.kept and not failed[r.doc_id] for r in verdict.collect())
