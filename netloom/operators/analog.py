@@ -30,6 +30,16 @@ def generate(spark, topologies, seeds: DataFrame, jitter: float = 0.2) -> DataFr
     return seeds.join(F.broadcast(template)).join(F.broadcast(devices), "device").withColumn("w", F.col("w") * (1.0 + swing))
 
 
+def for_requests(specs: DataFrame) -> DataFrame:
+    """specs with a row for each device (idx, device, w, l) of its topology; the first template where it is unknown or null."""
+    spark = specs.sparkSession
+    rows = [(t, i, d) for t, devices in TEMPLATES.items() for i, d in enumerate(devices)]
+    template = spark.createDataFrame(rows, "topology string, idx long, device string")
+    known = F.when(F.col("topology").isin(*TEMPLATES), F.col("topology")).otherwise(next(iter(TEMPLATES)))
+    sizes = lib.devices(spark).select("device", "w", "l")
+    return specs.withColumn("topology", known).join(F.broadcast(template), "topology").join(F.broadcast(sizes), "device")
+
+
 def small_signal(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Per node: device, gm, gain, GBW (log10 Hz), score, parasitic impact and whether bandwidth limits it."""
     dev = F.broadcast(lib.devices(nodes.sparkSession))

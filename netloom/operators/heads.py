@@ -12,9 +12,9 @@ from . import metrics
 FEATURES = ["is_pi", "is_po", "delay_f", "cap_f", "res_f", "clock_f", "depth_f"]
 
 
-def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _split(rows: DataFrame, features: list[str] = FEATURES) -> tuple[DataFrame, DataFrame]:
     """Train and held-out circuits by a hash of the circuit."""
-    v = VectorAssembler(inputCols=FEATURES, outputCol="f").transform(rows)
+    v = VectorAssembler(inputCols=features, outputCol="f").transform(rows)
     held = F.pmod(F.xxhash64("circuit_id"), F.lit(10)) < 3
     return v.where(~held), v.where(held)
 
@@ -34,3 +34,45 @@ def classifier_head(rows: DataFrame, cap: float = 20.0) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     return metrics.classification(model.transform(held).select(F.round(vector_to_array("p")[1], 9).alias("score"), F.col("y").cast("long").alias("y")))
+
+
+def _regressed(train: DataFrame, held: DataFrame, target: str) -> DataFrame:
+    """held with pred_<target>."""
+    return LinearRegression(featuresCol="f", labelCol=target, predictionCol=f"pred_{target}", regParam=1e-6).fit(train).transform(held)
+
+
+def _judged(rows: DataFrame, head: str, pred, target: str) -> DataFrame:
+    figures = metrics.regression(rows.select(pred.alias("pred"), F.col(target).alias("target")))
+    return figures.select(F.lit(head).alias("head"), F.lit("r2").alias("measure"), "n", F.col("r2").alias("value"))
+
+
+def regression_heads(rows: DataFrame, targets: list[str], features: list[str] = FEATURES) -> DataFrame:
+    """(head, measure, n, value): R2 on held-out circuits of a head for each target.
+
+    The slack is not fitted but composed, required less arrival time, if both are among the targets.
+    """
+    train, held = _split(rows, features)
+    composed = {"slack", "arrival_time", "required_time"} <= set(targets)
+    out = None
+    for target in targets:
+        if not (composed and target == "slack"):
+            held = _regressed(train, held, target)
+    for target in targets:
+        pred = F.col("pred_required_time") - F.col("pred_arrival_time") if composed and target == "slack" else F.col(f"pred_{target}")
+        one = _judged(held, target, pred, target)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def flag_heads(rows: DataFrame, targets: list[str], features: list[str] = FEATURES) -> DataFrame:
+    """(head, measure, n, value): area under the ROC curve on held-out circuits of a classifier for each 0/1 target."""
+    from pyspark.ml.functions import vector_to_array
+
+    train, held = _split(rows, features)
+    out = None
+    for target in targets:
+        model = LogisticRegression(featuresCol="f", labelCol=target, probabilityCol="p", regParam=1e-6).fit(train)
+        scored = model.transform(held).select(F.round(vector_to_array("p")[1], 9).alias("score"), F.col(target).cast("long").alias("y"))
+        one = metrics.auc(scored).select(F.lit(target).alias("head"), F.lit("auc").alias("measure"), "n", F.col("auc").alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return out

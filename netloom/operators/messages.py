@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.library import WIRE_REF
@@ -11,17 +13,29 @@ def _dims(size: int, make) -> list[Column]:
     return [make(k) for k in range(size)]
 
 
-def aggregate_messages(vectors: DataFrame, arcs: DataFrame, how: str, size: int = 3, sign: float = 1.0, beta: float = 1.0) -> DataFrame:
-    """(circuit_id, idx, m0..): reduce driver vector +/- wire delay over the drivers of each node.
+def wire_term(k: int) -> Column:
+    """What an edge adds to every dimension: its wire delay."""
+    return F.col("wire_delay") / WIRE_REF
+
+
+def matrix_term(weights: list[list[float]], columns: list[str]) -> Callable[[int], Column]:
+    """What an edge adds to dimension k: row k of `weights` times the edge's columns."""
+    return lambda k: sum((w * F.col(c) for w, c in zip(weights[k][1:], columns[1:])), weights[k][0] * F.col(columns[0]))
+
+
+def aggregate_messages(vectors: DataFrame, arcs: DataFrame, how: str, size: int = 3, sign: float = 1.0, beta: float = 1.0, term: Callable[[int], Column] = wire_term) -> DataFrame:
+    """(circuit_id, idx, m0..): reduce driver vector +/- the edge's term over the drivers of each node.
 
-    how is max, min or soft; soft is max + log(sum(exp(beta * (m - max)))) / beta, in two steps for stability.
+    how is max, min, soft or softmin; soft is max + log(sum(exp(beta * (m - max)))) / beta, in two steps for stability,
+    and softmin the same of the negated messages, negated.
     """
-    sent = arcs.join(vectors.withColumnRenamed("idx", "drv"), ["circuit_id", "drv"]).select("circuit_id", F.col("snk").alias("idx"), *_dims(size, lambda k: (F.col("v")[k] + sign * F.col("wire_delay") / WIRE_REF).alias(f"m{k}")))
-    if how == "soft":
+    sent = arcs.join(vectors.withColumnRenamed("idx", "drv"), ["circuit_id", "drv"]).select("circuit_id", F.col("snk").alias("idx"), *_dims(size, lambda k: (F.col("v")[k] + sign * term(k)).alias(f"m{k}")))
+    if how in ("soft", "softmin"):
+        turn = 1.0 if how == "soft" else -1.0
         w = Window.partitionBy("circuit_id", "idx")
         for k in range(size):
-            sent = sent.withColumn(f"x{k}", F.max(f"m{k}").over(w))
-        return sent.groupBy("circuit_id", "idx").agg(*_dims(size, lambda k: F.round(F.max(f"m{k}") + F.log(F.greatest(F.sum(F.exp(beta * (F.col(f"m{k}") - F.col(f"x{k}")))), F.lit(1e-12))) / beta, 9).alias(f"m{k}")))
+            sent = sent.withColumn(f"m{k}", turn * F.col(f"m{k}")).withColumn(f"x{k}", F.max(f"m{k}").over(w))
+        return sent.groupBy("circuit_id", "idx").agg(*_dims(size, lambda k: F.round(turn * (F.max(f"m{k}") + F.log(F.greatest(F.sum(F.exp(beta * (F.col(f"m{k}") - F.col(f"x{k}")))), F.lit(1e-12))) / beta), 9).alias(f"m{k}")))
     reduce = {"max": F.max, "min": F.min}[how]
     return sent.groupBy("circuit_id", "idx").agg(*_dims(size, lambda k: F.round(reduce(f"m{k}"), 9).alias(f"m{k}")))
 
@@ -50,12 +64,13 @@ def structural_encoding(nodes: DataFrame, edges: DataFrame, powers=tuple(range(1
     return d.select("circuit_id", "idx", "degree", *(F.round(F.pow(1.0 / F.greatest("degree", F.lit(1)), F.lit(p)), 9).alias(f"pe{p}") for p in powers))
 
 
-def relax_sweeps(vectors: DataFrame, arcs: DataFrame, sweeps: int, size: int = 3) -> DataFrame:
-    """`sweeps` rounds of max messages, each combined with the node's own vector by elementwise maximum."""
+def relax_sweeps(vectors: DataFrame, arcs: DataFrame, sweeps: int, size: int = 3, how: str = "max", sign: float = 1.0, term: Callable[[int], Column] = wire_term) -> DataFrame:
+    """`sweeps` rounds of max (min) messages, each combined with the node's own vector by elementwise maximum (minimum)."""
     from ..sources.tables import checkpointed
 
+    better = {"max": F.greatest, "min": F.least}[how]
     for _ in range(sweeps):
-        m = aggregate_messages(vectors, arcs, "max", size)
+        m = aggregate_messages(vectors, arcs, how, size, sign, term=term)
         m = m.select("circuit_id", "idx", F.array(*(f"m{k}" for k in range(size))).alias("m"))
-        vectors = checkpointed(vectors.join(m, ["circuit_id", "idx"], "left").select("circuit_id", "idx", F.when(F.col("m").isNull(), F.col("v")).otherwise(F.zip_with("v", "m", lambda x, y: F.greatest(x, y))).alias("v")))
+        vectors = checkpointed(vectors.join(m, ["circuit_id", "idx"], "left").select("circuit_id", "idx", F.when(F.col("m").isNull(), F.col("v")).otherwise(F.zip_with("v", "m", lambda x, y: better(x, y))).alias("v")))
     return vectors

@@ -115,7 +115,7 @@ def _soft(k):
 
 
 ORACLE_SQL = {
-    "node_features": sql("SELECT n.circuit_id, n.idx, (n.role = 'PI')::INT::DOUBLE AS is_pi, (n.role = 'PO')::INT::DOUBLE AS is_po, 1e0 AS is_digital, 0e0 AS is_analog, round(coalesce(intrinsic_delay / 0.1e0, 0e0), 9) AS delay_f, round(coalesce(input_cap / 5e0, 0e0), 9) AS cap_f, round(coalesce(output_res / 500e0, 0e0), 9) AS res_f, round(clock / 2e0, 13) AS clock_f FROM nodes n JOIN slacks s ON s.circuit_id = n.circuit_id AND s.idx = n.idx AND s.factor = 1.2e0"),
+    "node_features": sql("SELECT n.circuit_id, n.idx, (n.role = 'PI')::INT::DOUBLE AS is_pi, (n.role = 'PO')::INT::DOUBLE AS is_po, 0e0 AS is_nmos, 0e0 AS is_pmos, 0e0 AS is_r, 0e0 AS is_c, 0e0 AS is_current_mirror, 0e0 AS is_diff_pair, 0e0 AS wl_f, 0e0 AS region_f, 0e0 AS symmetry_f, 1e0 AS is_digital, 0e0 AS is_analog, round(coalesce(intrinsic_delay / 0.1e0, 0e0), 9) AS delay_f, round(coalesce(input_cap / 5e0, 0e0), 9) AS cap_f, round(coalesce(output_res / 500e0, 0e0), 9) AS res_f, round(clock / 2e0, 13) AS clock_f FROM nodes n JOIN slacks s ON s.circuit_id = n.circuit_id AND s.idx = n.idx AND s.factor = 1.2e0"),
     "edge_features": sql("SELECT circuit_id, drv, snk, round(wire_delay / 0.1e0, 9) AS wire_f, round(manhattan / 30e0, 9) AS manhattan_f, round(fanout / 10e0, 9) AS fanout_f, 0e0 AS coupling_f, 0e0 AS matching_f FROM arcs"),
     "graph_labels": sql("SELECT s.circuit_id, s.idx, slack, round(arrival, 13) AS arrival_time, required AS required_time, depth, (slack <= 0.05e0)::INT::DOUBLE AS critical, congestion, drc FROM slacks s JOIN labels_ USING (circuit_id, idx) WHERE factor = 1.2e0"),
     "analog_sta": sql(
