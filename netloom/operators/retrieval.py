@@ -85,6 +85,16 @@ def strip_html(column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\n\r]+", " "))
 
 
+def fused(sources: dict[str, DataFrame]) -> DataFrame:
+    """(request, position, source, ref): what each source (request, rank, ref) found for a request, in the order of the sources."""
+    every = None
+    for at, (name, rows) in enumerate(sources.items()):
+        part = rows.select("request", F.lit(at).alias("at"), F.col("rank").cast("long").alias("rank"), F.lit(name).alias("source"), F.col("ref").cast("string").alias("ref"))
+        every = part if every is None else every.unionByName(part)
+    order = Window.partitionBy("request").orderBy("at", "rank", "ref")
+    return every.select("request", F.row_number().over(order).cast("long").alias("position"), "source", "ref")
+
+
 def messages(turns: DataFrame, least: int = 8) -> DataFrame:
     """Chat messages of each conversation with at least `least` turns, in order."""
     rows = turns.groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m")).where(F.col("n_messages") >= least)

@@ -107,6 +107,22 @@ def hybrid_prompt(spark, sf_dir):
     return graph_facts.prompts(graph_facts.all_facts(*advice._kg(spark), "45nm"))
 
 
+def hybrid_answer(spark, sf_dir):
+    """For each benchmark item: documents by keywords, the facts of a violation, vectors near one of its own."""
+    items = table(spark, sf_dir, "benchmark")
+    facts = graph_facts.all_facts(*advice._kg(spark), "45nm")
+    kinds = sorted(r.violation for r in facts.select("violation").distinct().collect())  # a fixed table
+    violation = F.element_at(F.array(*map(F.lit, kinds)), (F.col("item_id") % len(kinds) + 1).cast("int"))
+    known = items.select(F.col("item_id").alias("request"), violation.alias("violation")).join(F.broadcast(facts), "violation")
+    e, asked = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "embeddings")  # read apart, as both sides of a join
+    asked = asked.join(items.select((F.col("item_id") * 20).alias("vec_id")), "vec_id", "left_semi")
+    return retrieval.fused({
+        "text": text.keyword_topk(spark, sf_dir).select(F.col("item_id").alias("request"), "rank", F.col("doc_id").alias("ref")),
+        "fact": known.select("request", "rank", F.concat_ws(" ", "subject", "relation", "object").alias("ref")),
+        "circuit": vectors.topk(asked, e, 3).select((F.col("query_id") / 20).cast("long").alias("request"), "rank", F.col("vec_id").alias("ref")),
+    })
+
+
 def violations_by_topology(spark, sf_dir):
     """What each topology shows, with the label of both ends."""
     e, n = kg.kg_edges(spark), kg.kg_nodes(spark)
@@ -149,7 +165,7 @@ def compare_deltas(spark, sf_dir):
     return vectors.compare_deltas(e, e.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b")))
 
 
-QUERIES = {f.__name__: f for f in (lr_schedule, task_weight_table, epoch_losses, early_stop, composition_drift, multitask_loss, size_filter, gain_filter, name_topology, user_scale, half_slices, two_column_metrics, critical_probability, task_summary, advisories, confidence_map, graph_payload, hybrid_facts, hybrid_prompt, violations_by_topology, chunk_metadata, advisor_hits, entry_paragraphs, similar_within_label, compare_deltas)}
+QUERIES = {f.__name__: f for f in (lr_schedule, task_weight_table, epoch_losses, early_stop, composition_drift, multitask_loss, size_filter, gain_filter, name_topology, user_scale, half_slices, two_column_metrics, critical_probability, task_summary, advisories, confidence_map, graph_payload, hybrid_facts, hybrid_prompt, hybrid_answer, violations_by_topology, chunk_metadata, advisor_hits, entry_paragraphs, similar_within_label, compare_deltas)}
 
 _P, _RANKS, _RECS = advice._P, advice._RANKS, advice._RECS
 _TOPOLOGY = " ".join(f"WHEN regexp_matches(lower(p_name), '{'|'.join(words)}') THEN '{topology}'" for topology, words in training.NAME_TOPOLOGIES)
@@ -184,6 +200,7 @@ ORACLE_SQL = {
     "confidence_map": sql("SELECT circuit_id, task, arg_max(confidence, fix) AS confidence, count(*) AS n FROM recs GROUP BY ALL", _RECS),
     "graph_payload": sql("SELECT circuit_id, n_nodes, n_edges, links FROM (SELECT circuit_id, count(*) AS n_nodes FROM nodes GROUP BY 1) JOIN (SELECT circuit_id, count(*) AS n_edges, string_agg(drv || '>' || snk, ',' ORDER BY drv, snk) AS links FROM edges GROUP BY 1) USING (circuit_id)"),
     "hybrid_facts": f"WITH {_FACTS} SELECT violation, rank, subject, relation, object FROM facts",
+    "hybrid_answer": f"WITH {_FACTS}, kinds AS (SELECT violation, row_number() OVER (ORDER BY violation) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT violation FROM facts)), hits AS ({_HITS}), near AS ({text._knn('q.vec_id <> e.vec_id', 3)}), found AS (SELECT item_id AS request, 0 AS part, rank, 'text' AS source, doc_id::VARCHAR AS ref FROM hits UNION ALL SELECT item_id, 1, rank, 'fact', subject || ' ' || relation || ' ' || object FROM benchmark JOIN kinds ON k = item_id % n JOIN facts USING (violation) UNION ALL SELECT item_id, 2, rank, 'circuit', vec_id::VARCHAR FROM benchmark JOIN near ON query_id = item_id * 20) SELECT request, row_number() OVER (PARTITION BY request ORDER BY part, rank, ref) AS position, source, ref FROM found",
     "hybrid_prompt": f"WITH {_FACTS} SELECT violation, count(*) AS n_facts, coalesce(string_agg(DISTINCT object, ', ' ORDER BY object) FILTER (relation = 'RESOLVED_BY'), '') AS fixes, string_agg('- ' || subject || ' ' || relation || ' ' || object, chr(10) ORDER BY rank) AS prompt FROM facts GROUP BY violation",
     "violations_by_topology": f"WITH {kg.KG_SQL} SELECT e.src AS topology, e.dst AS violation, a.label AS topology_label, b.label AS violation_label FROM kg_edges e JOIN kg_nodes a ON a.name = e.src JOIN kg_nodes b ON b.name = e.dst WHERE e.type = 'COMMONLY_EXHIBITS'",
     "chunk_metadata": f"WITH c AS ({text.ORACLE_SQL['chunk_text']}) SELECT doc_id, chunk_index, n_words, count(*) OVER (PARTITION BY doc_id) AS n_chunks, lang, source FROM c JOIN documents USING (doc_id)",
