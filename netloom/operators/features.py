@@ -30,18 +30,20 @@ def analog_node_features(devices: DataFrame, clock: float = 0.0) -> DataFrame:
 
     Ports have no device. Width over length and the symmetry group (0 for none) are shares of the circuit's greatest.
     """
-    w = Window.partitionBy("circuit_id")
+    ratio, group = F.col("w") / F.greatest("l", F.lit(1e-12)), F.col("symmetry").cast("double")
 
-    def share(value):
-        return F.coalesce(value, F.lit(0.0)) / F.coalesce(F.max(F.when(value > 0, value)).over(w), F.lit(1.0))
+    def greatest(value, name):
+        return F.coalesce(F.max(F.when(value > 0, value)), F.lit(1.0)).alias(name)
 
+    tops = devices.groupBy("circuit_id").agg(greatest(ratio, "top_ratio"), greatest(group, "top_group"))  # no window: a circuit may be large
+    devices = devices.join(tops, "circuit_id")
     held = F.col("device").isNotNull()
     role = [F.coalesce(F.col("role") == r, F.lit(False)).cast("double").alias(f"is_{r.lower()}") for r in ("PI", "PO")]
     kind = [F.coalesce(F.col("device") == d[0], F.lit(False)).cast("double").alias(f"is_{d[0].lower()}") for d in lib.DEVICES]
-    size = F.when(held, F.round(share(F.col("w") / F.greatest("l", F.lit(1e-12))), 9)).otherwise(0.0).alias("wl_f")
-    group = F.when(held, F.round(share(F.col("symmetry").cast("double")), 9)).otherwise(0.0).alias("symmetry_f")
+    size = F.when(held, F.round(F.coalesce(ratio, F.lit(0.0)) / F.col("top_ratio"), 9)).otherwise(0.0).alias("wl_f")
+    matched = F.when(held, F.round(F.coalesce(group, F.lit(0.0)) / F.col("top_group"), 9)).otherwise(0.0).alias("symmetry_f")
     cell = [F.lit(0.0).alias(x) for x in ("delay_f", "cap_f", "res_f")]
-    return devices.select("circuit_id", "idx", *role, *kind, size, F.coalesce("region", F.lit(0.0)).alias("region_f"), group, F.lit(0.0).alias("is_digital"), F.lit(1.0).alias("is_analog"), *cell, F.lit(clock / lib.CLOCK_REF).alias("clock_f"))
+    return devices.select("circuit_id", "idx", *role, *kind, size, F.coalesce("region", F.lit(0.0)).alias("region_f"), matched, F.lit(0.0).alias("is_digital"), F.lit(1.0).alias("is_analog"), *cell, F.lit(clock / lib.CLOCK_REF).alias("clock_f"))
 
 
 def edge_features(arcs: DataFrame) -> DataFrame:
