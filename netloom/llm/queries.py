@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, sharding
+from . import chat, lines, middle, sharding, spelling
 from .minhash import near_texts
 from .packing import best_fit
 from .pieces import nbest_segmentations
@@ -88,6 +88,24 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_tokens, op3_minhash, op4_sharding, op5_nbest, op6_preference, op7_toxicity, op8_substrings, op9_packing, op10_vectors)}
+def op11_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-middle form of every document, and the text rebuilt from it."""
+    cut = middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digests = {"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(middle.restored(F.col("output"), F.col("form")), 256)}
+    return cut.withColumns(digests).select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
-ORACLE_SQL: dict[str, str] = {"op4_sharding": sharding.oracle_sql(SHARD), "op6_preference": chat.ORACLE_SQL}
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every frequent word of all documents."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the lines that other documents repeat."""
+    kept = lines.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_tokens, op3_minhash, op4_sharding, op5_nbest, op6_preference, op7_toxicity, op8_substrings, op9_packing, op10_vectors, op11_middle, op12_spelling, op13_lines)}
+
+ORACLE_SQL: dict[str, str] = {"op4_sharding": sharding.oracle_sql(SHARD), "op6_preference": chat.ORACLE_SQL, "op11_middle": middle.ORACLE_SQL, "op12_spelling": spelling.ORACLE_SQL, "op13_lines": lines.ORACLE_SQL}
