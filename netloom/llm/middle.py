@@ -53,9 +53,9 @@ def cut_offsets(requested: DataFrame, text: str) -> DataFrame:
     sums = units.groupBy("__row", F.when(single, F.col("__ordinal")).otherwise(block * BLOCK).alias("__ordinal"), single.alias("__single")).agg(F.sum("__chars").alias("__chars"))
     running = Window.partitionBy("__row").orderBy("__ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = sums.withColumn("__offset", F.sum("__chars").over(running) - F.col("__chars")).where("__single").select("__row", "__ordinal", "__offset")
-    asked = requested.select("__row", F.posexplode(F.array("__lo", "__hi")).alias("__which", "__ordinal"))
-    found = at.join(asked, ["__row", "__ordinal"])
-    return found.groupBy("__row").agg(*(F.max(F.when(F.col("__which") == k, F.col("__offset"))).alias(name) for k, name in ((0, "__a"), (1, "__b"))))
+    asked = requested.select("__row", F.array("__lo", "__hi").alias("__asked"))  # by row alone, as the window deals its rows, which so stay where they are
+    found = at.join(asked, "__row").where(F.array_contains("__asked", F.col("__ordinal")))
+    return found.groupBy("__row").agg(*(F.max(F.when(F.col("__ordinal") == F.col("__asked")[k], F.col("__offset"))).alias(name) for k, name in ((0, "__a"), (1, "__b"))))
 
 
 def fill_in_middle(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 42, rate: int = 50, spm: int = 80) -> DataFrame:
@@ -73,7 +73,7 @@ def fill_in_middle(docs: DataFrame, key: str = "doc_id", text: str = "text", see
     plain = rows.where("__plain").select(*own, "n", F.lit("plain").alias("form"), nothing.alias("prefix_chars"), nothing.alias("middle_chars"), F.col(text).alias("output"))
     u, v = h1 % (F.col("n") + 1), h2 % (F.col("n") + 1)
     cut = rows.where("NOT __plain").withColumns({"__row": F.monotonically_increasing_id(), "__lo": F.least(u, v), "__hi": F.greatest(u, v), "form": F.when(h4 % 100 < spm, "spm").otherwise("psm")})
-    cut = written(cut.drop("__plain"), "cut-requests")
+    cut = written(cut.drop("__plain"), "cut-requests", compression="zstd")
     length = F.length(text).cast("long")
     cut = cut.join(cut_offsets(cut, text), "__row", "left").withColumns({"__a": F.coalesce("__a", length), "__b": F.coalesce("__b", length)})
     prefix, middle, suffix = (F.substring(text, a, n) for a, n in ((F.lit(1), F.col("__a")), (F.col("__a") + 1, F.col("__b") - F.col("__a")), (F.col("__b") + 1, length)))

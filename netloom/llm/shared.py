@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextvars
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Folders of tables written in this process and not yet removed.
 _written: list[str] = []
+#: Where folders written in this context are noted besides, if anywhere.
+noted: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("noted", default=None)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -39,13 +42,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     """A folder for one table, which remove_written() removes."""
     path = f"{shared_folder(spark)}-{name.replace(' ', '-')}"
     _written.append(path)
+    if (notes := noted.get()) is not None:
+        notes.append(path)
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df written as Parquet in the shared folder, with these options of the writer, and read again."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -72,7 +77,3 @@ def remove_written(spark: SparkSession, paths: list[str] | None = None) -> None:
             folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
-
-def written_so_far() -> list[str]:
-    """The folders of new_folder() that still stand."""
-    return list(_written)
