@@ -28,7 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from .shared import written
 from .textops import U64, Words, covered, mix64, per_text, slices
@@ -273,7 +273,7 @@ class PerplexityQuality:
         """Those columns of docs, METRICS and log_ppl; docs has lang (the number of the model) and text besides. docs is read once."""
         order, hot, held = self.order, self._hot, []
         metrics = [x.split()[0] for x in METRICS.split(", ")]
-        kinds = [docs.schema[c] for c in columns]
+        kinds = [StructField(c, docs.schema[c].dataType) for c in columns]  # nullable: the rows of rare n-grams have none of them
         schema = StructType(kinds)
         for name, kind in (("__row", "long"), *((m, "long") for m in metrics), ("__grams", "long"), ("__nll", "double"), ("__lang", "long"), ("__gram", "long"), ("__n", "long")):
             schema = schema.add(name, kind)

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from netloom.llm import chat, minhash, packing, pieces, quality, sharding, substrings, textops, tokens, toxicity, vectors
 from netloom.llm.components import components
@@ -71,6 +72,17 @@ def test_quality_metrics(spark, texts):
     assert kept == {r.doc_id for r in q.accept(frame(spark, texts)).collect()} and kept
 
 
+def test_quality_of_columns_that_are_never_null(spark):
+    """An id from range() and literal columns are carried like others, by score() and by accept()."""
+    docs = spark.range(120).select("id", F.lit("en").alias("lang"), F.concat(F.lit("some text of words number "), F.col("id").cast("string"), F.lit(" with a few more words behind it, rare ones too: "), F.sha2(F.col("id").cast("string"), 256)).alias("text"), F.lit(3).alias("n"), F.array(F.lit(1)).alias("a"))
+    assert not docs.schema["id"].nullable and not docs.schema["n"].nullable
+    q = quality.PerplexityQuality(least=5, hot=50).fit(docs)
+    scored = q.score(docs, "id").collect()
+    assert sorted(r.id for r in scored) == list(range(120)) and all(r.log_ppl > 0 for r in scored)
+    kept = q.accept(docs)
+    assert kept.columns == docs.columns and {r.id for r in kept.collect()} <= set(range(120)) and all(r.n == 3 and r.a == [1] for r in kept.collect())
+
+
 class PlainKneserNey:
     """Interpolated modified Kneser-Ney from its definition, over lists of byte strings of one language."""
 
