@@ -1,6 +1,6 @@
 """Corpus pipeline: quality rules, toxicity, near-duplicates, repeated passages, packing.
 
-Every stage takes a table with doc_id, text and lang (and any others, whatever their names) and keeps the columns. A null
+Every stage takes a table with doc_id, text and lang (and others, whose names do not begin with "__") and keeps the columns. A null
 or empty text has no words: the quality rules reject it, the other stages keep it. Rows with a null or repeated doc_id
 are judged by their own text at each stage. An empty table passes through all stages. Repeated rows are near-duplicates
 of each other, of which one stays.
@@ -8,7 +8,9 @@ of each other, of which one stays.
 
 from __future__ import annotations
 
+import contextvars
 import functools
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -16,25 +18,31 @@ from netloom.llm.minhash import near_texts
 from netloom.llm.packing import best_fit
 from netloom.llm.quality import PerplexityQuality
 from netloom.llm.queries import vocabulary
-from netloom.llm.shared import remove_written, written, written_so_far
+from netloom.llm.shared import noted, remove_written, written
 from netloom.llm.substrings import remove_repeats
 from netloom.llm.toxicity import Toxicity, held_out
 
-#: Tables that the stage before wrote for itself; its result is stored when the next one begins.
-_before: list[str] = []
+#: Tables that the stage before wrote for itself; its result is stored when the next one begins. Each run has its own.
+_before: contextvars.ContextVar[tuple[str, ...]] = contextvars.ContextVar("_before", default=())
 
 
 def stage(work, first: bool = False):
-    """A stage that removes what the stage before needed, unless it is the first, and remembers what it wrote itself."""
+    """A stage that removes what the stage before needed, unless it is the first, and remembers what it wrote itself.
+
+    Stages called one by one in one context are taken for one pipeline: each result must be stored before the next stage.
+    """
 
     @functools.wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         if not first:
-            remove_written(spark, _before)
-        standing = written_so_far()
-        result = work(spark, docs, sf_dir)
-        _before[:] = [path for path in written_so_far() if path not in standing]
-        return result
+            remove_written(spark, list(_before.get()))
+        mine: list[str] = []
+        token = noted.set(mine)
+        try:
+            return work(spark, docs, sf_dir)
+        finally:
+            noted.reset(token)
+            _before.set(tuple(mine))
 
     return run_stage
 
@@ -55,10 +63,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near-duplicates, the one with the least doc_id; rows are told apart by a number of their own."""
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    classes = near_texts(rows, "__row").select("__row", "component_id").join(rows.select("__row", "doc_id"), "__row")
-    first = classes.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("x")).select("x.__row")
-    return rows.join(first, "__row", "left_semi").select(docs.columns)
+    row = next(name for k in count() if (name := f"__row{k or ''}") not in docs.columns)
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    classes = near_texts(rows, row).select(row, "component_id").join(rows.select(row, "doc_id"), row)
+    first = classes.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)).alias("x")).select(f"x.{row}")
+    return rows.join(first, row, "left_semi").select(docs.columns)
 
 
 @stage
@@ -83,9 +92,14 @@ STAGES = [("quality rules", quality), ("toxicity", toxicity), ("MinHash near-ded
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage's rows are written as Parquet in the shared folder and read again by the next one."""
+def _all_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, work in STAGES[:-1]:
         docs = written(work(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's rows are written as Parquet in the shared folder and read again by the next one. No other run, in the same
+    process or not, touches the tables of this one."""
+    return contextvars.copy_context().run(_all_stages, spark, sf_dir)
