@@ -11,7 +11,7 @@ def related(edges: DataFrame, kind: str, src: str, dst: str) -> DataFrame:
 
 def fixes_for_violation(edges: DataFrame, fixes: DataFrame, process_node: str | None = None) -> DataFrame:
     """(violation, fix, effort, process_nodes, seq), for one process node if it is given."""
-    found = related(edges, "RESOLVED_BY", "violation", "fix").join(F.broadcast(fixes), "fix", "left")
+    found = related(edges, "RESOLVED_BY", "violation", "fix").join(fixes, "fix", "left")
     if process_node:
         found = found.where(F.col("process_nodes").isNull() | F.array_contains(F.split("process_nodes", ","), process_node))
     return found.select("violation", "fix", "effort", "process_nodes", "seq")
@@ -42,11 +42,11 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def all_facts(edges: DataFrame, fixes: DataFrame, process_node: str | None = None, most: int = 10) -> DataFrame:
     """(violation, rank, subject, relation, object): for each violation its fixes, then each fix's outcomes and conflicts."""
     f = fixes_for_violation(edges, fixes, process_node)
-    rows = f.select("violation", F.lit(0).alias("part"), "seq", F.lit(0).cast("long").alias("sub"), F.col("violation").alias("subject"), F.lit("RESOLVED_BY").alias("relation"), F.col("fix").alias("object"))
+    rows = f.select("violation", F.lit(0).alias("part"), "seq", F.lit(0).alias("turn"), F.lit(0).cast("long").alias("sub"), F.col("violation").alias("subject"), F.lit("RESOLVED_BY").alias("relation"), F.col("fix").alias("object"))
     others = {"PRODUCES": related(edges, "PRODUCES", "fix", "object").withColumnRenamed("seq", "sub"), "CONFLICTS_WITH": conflicts(edges).select("fix", F.col("conflict").alias("object"), F.lit(0).cast("long").alias("sub"))}
     for part, (kind, other) in enumerate(others.items(), 1):
-        rows = rows.unionByName(f.select("violation", "fix", "seq").join(other, "fix").select("violation", F.lit(1).alias("part"), "seq", (F.lit(part * 1000) + F.col("sub")).alias("sub"), F.col("fix").alias("subject"), F.lit(kind).alias("relation"), "object"))
-    order = Window.partitionBy("violation").orderBy("part", "seq", "sub", "object")
+        rows = rows.unionByName(f.select("violation", "fix", "seq").join(other, "fix").select("violation", F.lit(1).alias("part"), "seq", F.lit(part).alias("turn"), "sub", F.col("fix").alias("subject"), F.lit(kind).alias("relation"), "object"))
+    order = Window.partitionBy("violation").orderBy("part", "seq", "turn", "sub", "object")
     return rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most).select("violation", "rank", "subject", "relation", "object")
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Functions that one library cell covers, by number of inputs.
 DIRECT = {("NAND", 2): "NAND2_X1", ("NAND", 3): "NAND3_X1", ("NOR", 2): "NOR2_X1", ("NOR", 3): "NOR3_X1", ("AND", 2): "AND2_X1", ("OR", 2): "OR2_X1", ("XOR", 2): "XOR2_X1", ("XNOR", 2): "XNOR2_X1"}
-ROUNDS = 20  #: of pairing, enough for a million inputs
 
 
 def _base(func: Column) -> Column:
@@ -34,7 +33,7 @@ def decompose(gates: DataFrame) -> DataFrame:
         done = F.struct(F.concat(F.transform(new, lambda c: c["out"]), passed).alias("level"), F.concat(acc["cells"], new).alias("cells"))
         return F.when(n > 2, done).otherwise(acc)
 
-    wide = g.where("direct IS NULL").withColumn("t", F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS)), start, pair))
+    wide = g.where("direct IS NULL").withColumn("t", F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size("ins"))).cast("int")), start, pair))
     root = F.when(F.col("invert"), F.concat(F.lit("w_"), "out")).otherwise(F.col("out"))
     cells = F.concat(F.transform("t.cells", lambda c: F.struct(F.col("base").alias("cell"), c["out"].alias("out"), c["ins"].alias("ins"))), F.array(F.struct(F.col("base").alias("cell"), root.alias("out"), F.col("t.level").alias("ins"))), F.when(F.col("invert"), F.array(F.struct(F.lit("INV_X1").alias("cell"), F.col("out").alias("out"), F.array(root).alias("ins")))).otherwise(F.array().cast("array<struct<cell:string,out:string,ins:array<string>>>")))
     tree = wide.select("name", "seq", F.col("out").alias("gate"), F.posexplode(cells).alias("cell_no", "c")).select("name", "seq", "gate", "cell_no", "c.cell", "c.out", "c.ins")

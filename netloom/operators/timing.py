@@ -1,11 +1,12 @@
-"""Static timing over the arcs of acyclic circuits.
+"""Static timing over the arcs of circuits.
 
 Arrival is the longest path from the inputs, floor 0. Required time is clock - suffix, where suffix is the longest
 backward delay to an endpoint: every endpoint and floating node starts at the clock, so one backward pass serves any
-number of clocks. Three strategies give the same tables: "fold" keeps a circuit in one array and stays in the JVM
-(indices must be 0..n-1 in topological order), "grouped" runs a task for each circuit on any order and gives nodes on or
-behind a cycle arrival 0 and suffix 0, and "relax" repeats joins over all arcs of acyclic graphs too large for one task.
-The default, "sized", groups circuits of at most TASK_NODES nodes and relaxes the larger ones.
+number of clocks. Nodes on or behind a cycle are not placed: they have arrival, depth and suffix 0, are never critical,
+and arcs that touch them count for nothing. Three strategies give the same tables: "fold" keeps a circuit in one array and
+stays in the JVM (indices must be 0..n-1 in topological order), "grouped" runs a task for each circuit on any order, and
+"peel" takes away level after level by joins, for circuits too large for one task. The default, "sized", groups circuits
+of at most TASK_NODES nodes and peels the larger ones.
 """
 
 from __future__ import annotations
@@ -41,74 +42,129 @@ def _fold(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
         return F.concat(acc, F.array(F.coalesce(F.array_max(F.transform(x["outs"], lambda p: acc[last - p["k"]] + p["d"])), F.lit(0.0))))
 
     done = one.select("circuit_id", fwd.alias("f"), F.reverse(F.aggregate(F.reverse("r"), empty, backward)).alias("suffix"))
-    return done.select("circuit_id", F.posexplode(F.arrays_zip("f.at", "f.depth", "suffix")).alias("idx", "z")).select("circuit_id", F.col("idx").cast("long").alias("idx"), "z.at", "z.depth", "z.suffix")
+    return done.select("circuit_id", F.posexplode(F.arrays_zip("f.at", "f.depth", "suffix")).alias("idx", "z")).select("circuit_id", F.col("idx").cast("long").alias("idx"), "z.at", "z.depth", "z.suffix", F.lit(True).alias("placed"))
 
 
-def topological_levels(pdf_arcs: pd.DataFrame, idx: np.ndarray) -> np.ndarray:
-    """Longest hop count of each node, -1 for nodes on or behind a cycle; peels nodes whose drivers are all done."""
-    at = {v: k for k, v in enumerate(idx.tolist())}
-    drv = np.array([at[v] for v in pdf_arcs["drv"].tolist()], int)
-    snk = np.array([at[v] for v in pdf_arcs["snk"].tolist()], int)
-    level, waiting, k = np.full(len(idx), -1), np.bincount(snk, minlength=len(idx)), 0
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for count[0] numbers, then those of the next range."""
+    return np.repeat(start - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum()) if len(count) else np.zeros(0, int)
+
+
+class Fanout:
+    """Edges between nodes 0..n-1, in the order of their drivers."""
+
+    def __init__(self, drv: np.ndarray, snk: np.ndarray, n: int):
+        by = np.argsort(drv, kind="stable")
+        self.to, self.at = snk[by], np.searchsorted(drv[by], np.arange(n + 1))
+
+    def of(self, nodes: np.ndarray) -> np.ndarray:
+        """Sinks of these nodes, one for each edge."""
+        return self.to[_ranges(self.at[nodes], self.at[nodes + 1] - self.at[nodes])]
+
+
+def topological_levels(drv: np.ndarray, snk: np.ndarray, n: int) -> np.ndarray:
+    """Longest hop count of each node, -1 for nodes on or behind a cycle; every edge is looked at once."""
+    fanout, level, waiting, k = Fanout(drv, snk, n), np.full(n, -1), np.bincount(snk, minlength=n), 0
     ready = np.flatnonzero(waiting == 0)
     while len(ready):
         level[ready] = k
-        hit = np.isin(drv, ready)
-        waiting = waiting - np.bincount(snk[hit], minlength=len(idx))
-        ready = np.flatnonzero((waiting == 0) & (level < 0))
-        k += 1
+        hit, times = np.unique(fanout.of(ready), return_counts=True)
+        waiting[hit] -= times
+        ready, k = hit[waiting[hit] == 0], k + 1
     return level
 
 
+def _placed_ends(idx: np.ndarray, edges: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of both ends of each edge in the sorted idx, for edges that have both ends there, and which those are."""
+    drv, snk = edges["drv"].to_numpy(), edges["snk"].to_numpy()
+    known = np.isin(drv, idx) & np.isin(snk, idx)
+    return np.searchsorted(idx, drv[known]), np.searchsorted(idx, snk[known]), known
+
+
+TIMED = "circuit_id long, idx long, at double, depth long, suffix double, placed boolean"
+
+
 def _grouped(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     def run(n: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         idx = np.sort(n["idx"].to_numpy())
-        level = topological_levels(a, idx)
-        drv, snk = np.searchsorted(idx, a["drv"]), np.searchsorted(idx, a["snk"])
+        drv, snk, known = _placed_ends(idx, a)
+        level = topological_levels(drv, snk, len(idx))
         fine = (level[drv] >= 0) & (level[snk] >= 0)
-        drv, snk, fwd, bwd = drv[fine], snk[fine], a["fwd"].to_numpy()[fine], a["bwd"].to_numpy()[fine]
+        drv, snk, fwd, bwd = drv[fine], snk[fine], a["fwd"].to_numpy()[known][fine], a["bwd"].to_numpy()[known][fine]
         at, suffix = np.zeros(len(idx)), np.zeros(len(idx))
-        for k in range(1, level.max(initial=0) + 1):
-            e = level[snk] == k
+        by, cut = np.argsort(level[snk], kind="stable"), np.arange(level.max(initial=0) + 2)
+        for e in np.split(by, np.searchsorted(level[snk][by], cut[1:-1])):
             np.maximum.at(at, snk[e], at[drv[e]] + fwd[e])
-        for k in range(level.max(initial=0) - 1, -1, -1):
-            e = level[drv] == k
+        by = np.argsort(level[drv], kind="stable")
+        for e in np.split(by, np.searchsorted(level[drv][by], cut[1:-1]))[::-1]:
             np.maximum.at(suffix, drv[e], suffix[snk[e]] + bwd[e])
-        return pd.DataFrame({"circuit_id": n["circuit_id"].iloc[0], "idx": idx, "at": at, "depth": np.maximum(level, 0), "suffix": suffix})
+        return pd.DataFrame({"circuit_id": n["circuit_id"].iloc[0] if len(n) else [], "idx": idx, "at": at, "depth": np.maximum(level, 0), "suffix": suffix, "placed": level >= 0})
 
-    return nodes.select("circuit_id", "idx").groupBy("circuit_id").cogroup(arcs.select(F.col("circuit_id").alias("circuit_id"), "drv", "snk", "fwd", "bwd").groupBy("circuit_id")).applyInPandas(run, "circuit_id long, idx long, at double, depth long, suffix double")
+    return nodes.select("circuit_id", "idx").groupBy("circuit_id").cogroup(arcs.select(F.col("circuit_id").alias("circuit_id"), "drv", "snk", "fwd", "bwd").groupBy("circuit_id")).applyInPandas(run, TIMED)
 
 
-def _relax(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
-    from ..sources.tables import checkpointed
+def peel(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(circuit_id, idx, level, value) of every node that is not on or behind a cycle of arcs (circuit_id, a, b, w).
 
-    arcs = checkpointed(arcs.select("circuit_id", "drv", "snk", "fwd", "bwd"))
-    state = checkpointed(nodes.select("circuit_id", "idx", F.lit(0.0).alias("at"), F.lit(0).cast("long").alias("depth"), F.lit(0.0).alias("suffix")))
+    level is the longest hop count and value the longest sum of w from a node without arcs into it. A round takes the
+    nodes whose arcs have all come in and sends along those that leave them; a node that still waits for others keeps a
+    row with how many came and the greatest sum so far. So each arc is followed once, no more is rewritten than the
+    front of the round, and what a cycle holds up is never reached: rounds end with the last level.
+    """
+    from ..sources.tables import new_folder, remove, stored
+
+    spark, keys = nodes.sparkSession, ["circuit_id", "idx"]
+    nodes, own = stored(nodes.select(*keys).distinct())
+    ends = arcs.join(nodes.withColumnRenamed("idx", "a"), ["circuit_id", "a"], "left_semi").join(nodes.withColumnRenamed("idx", "b"), ["circuit_id", "b"], "left_semi")
+    arcs, arcs_at = stored(ends.select("circuit_id", "a", "b", "w"))
+    need, need_at = stored(arcs.groupBy("circuit_id", F.col("b").alias("idx")).agg(F.count("*").alias("need")))
+    folder, level, held = new_folder(spark), 0, None
+    front, waiting = nodes.join(need, keys, "left_anti").select(*keys, F.lit(0.0).alias("value")), None
     while True:
-        s = state
-        fwd = arcs.join(s.withColumnRenamed("idx", "drv"), ["circuit_id", "drv"]).groupBy("circuit_id", F.col("snk").alias("idx")).agg(F.max(F.col("at") + F.col("fwd")).alias("a"), F.max(F.col("depth") + 1).alias("d"))
-        bwd = arcs.join(s.withColumnRenamed("idx", "snk"), ["circuit_id", "snk"]).groupBy("circuit_id", F.col("drv").alias("idx")).agg(F.max(F.col("suffix") + F.col("bwd")).alias("b"))
-        new = s.join(fwd, ["circuit_id", "idx"], "left").join(bwd, ["circuit_id", "idx"], "left")
-        changed = (F.coalesce("a", F.lit(0.0)) > F.col("at")) | (F.coalesce("d", F.lit(0)) > F.col("depth")) | (F.coalesce("b", F.lit(0.0)) > F.col("suffix"))
-        new = checkpointed(new.select("circuit_id", "idx", F.greatest("at", F.coalesce("a", F.lit(0.0))).alias("at"), F.greatest("depth", F.coalesce("d", F.lit(0).cast("long"))).alias("depth"), F.greatest("suffix", F.coalesce("b", F.lit(0.0))).alias("suffix"), changed.alias("changed")))
-        state = new.drop("changed")
-        if new.where("changed").isEmpty():
-            return state
+        front.withColumn("level", F.lit(level).cast("long")).write.mode("append").parquet(folder)
+        front = spark.read.schema("circuit_id long, idx long, value double, level long").parquet(folder).where(F.col("level") == level)
+        if front.isEmpty():
+            break
+        came = front.withColumnRenamed("idx", "a").join(arcs, ["circuit_id", "a"]).groupBy("circuit_id", F.col("b").alias("idx")).agg(F.count("*").alias("came"), F.max(F.col("value") + F.col("w")).alias("value"))
+        if waiting is not None:
+            came = came.unionByName(waiting).groupBy(*keys).agg(F.sum("came").alias("came"), F.max("value").alias("value"))
+        met, at = stored(came.join(need, keys))
+        if held:
+            remove(spark, held)
+        held, level = at, level + 1
+        front, waiting = met.where("came = need").select(*keys, "value"), met.where("came < need").select(*keys, "came", "value")
+    remove(spark, own, arcs_at, need_at, *([held] if held else []))
+    return spark.read.schema("circuit_id long, idx long, value double, level long").parquet(folder)
+
+
+def _peeled(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+    keys = ["circuit_id", "idx"]
+    forward = peel(nodes, arcs.select("circuit_id", F.col("drv").alias("a"), F.col("snk").alias("b"), F.col("fwd").alias("w")))
+    backward = peel(forward, arcs.select("circuit_id", F.col("snk").alias("a"), F.col("drv").alias("b"), F.col("bwd").alias("w")))
+    rows = nodes.select(*keys).join(forward.withColumnsRenamed({"value": "at", "level": "depth"}), keys, "left").join(backward.select(*keys, F.col("value").alias("suffix")), keys, "left")
+    zero = F.lit(0.0)
+    return rows.select(*keys, F.coalesce("at", zero).alias("at"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"), F.coalesce("suffix", zero).alias("suffix"), F.col("depth").isNotNull().alias("placed"))
+
+
+def _by_size(nodes: DataFrame, arcs: DataFrame, small, large) -> DataFrame:
+    """small() over circuits of at most TASK_NODES nodes and four times as many arcs, large() over the others."""
+    from ..sources.tables import checkpointed
 
+    sizes = nodes.select("circuit_id", F.lit(4).alias("n")).unionByName(arcs.select("circuit_id", F.lit(1).alias("n"))).groupBy("circuit_id")
+    over = checkpointed(sizes.agg(F.sum(F.when(F.col("n") == 4, 1)).alias("nodes"), F.sum(F.when(F.col("n") == 1, 1)).alias("arcs")).where((F.col("nodes") > TASK_NODES) | (F.col("arcs") > 4 * TASK_NODES)).select("circuit_id"))
+    if over.isEmpty():
+        return small(nodes, arcs)
+    tasks = small(nodes.join(over, "circuit_id", "left_anti"), arcs.join(over, "circuit_id", "left_anti"))
+    return tasks.unionByName(large(nodes.join(over, "circuit_id", "left_semi"), arcs.join(over, "circuit_id", "left_semi")))
 
-def _sized(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
-    from ..sources.tables import checkpointed
 
-    large = checkpointed(nodes.groupBy("circuit_id").agg(F.count("*").alias("n")).where(F.col("n") > TASK_NODES).select("circuit_id"))
-    if large.isEmpty():
-        return _grouped(nodes, arcs)
-    folded = _grouped(nodes.join(large, "circuit_id", "left_anti"), arcs.join(large, "circuit_id", "left_anti"))
-    return folded.unionByName(_relax(nodes.join(large, "circuit_id", "left_semi"), arcs.join(large, "circuit_id", "left_semi")))
+def _sized(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+    return _by_size(nodes, arcs, _grouped, _peeled)
 
 
 def propagate(nodes: DataFrame, arcs: DataFrame, method: str = "sized") -> DataFrame:
-    """(circuit_id, idx, at, depth, suffix)."""
-    return {"sized": _sized, "fold": _fold, "grouped": _grouped, "relax": _relax}[method](nodes, arcs)
+    """(circuit_id, idx, at, depth, suffix, placed)."""
+    return {"sized": _sized, "fold": _fold, "grouped": _grouped, "peel": _peeled}[method](nodes, arcs)
 
 
 def default_clock(timing: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -118,17 +174,17 @@ def default_clock(timing: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def slack(timing: DataFrame, nodes: DataFrame, factors=(1.2,)) -> DataFrame:
-    """Required time, slack and critical flag of each node for each clock factor, from one propagation."""
+    """Required time, slack and critical flag of each node for each clock factor, from one propagation; a node that is not placed has the clock as both and is not critical."""
     clocks = default_clock(timing, nodes).withColumn("factor", F.explode(F.array(*(F.lit(float(f)) for f in factors))))
     clocks = clocks.withColumn("clock", F.greatest(F.col("max_at") * F.col("factor"), F.lit(1e-3)))
     t = timing.join(clocks, "circuit_id")
     t = t.withColumn("required", F.round(F.col("clock") - F.col("suffix"), DIGITS)).withColumn("slack", F.round(F.col("clock") - F.col("suffix") - F.col("at"), DIGITS))
-    return t.withColumn("is_critical", F.col("slack") <= CRITICAL_NS)
+    return t.withColumn("is_critical", (F.col("slack") <= CRITICAL_NS) & F.col("placed"))
 
 
 def summary(slacks: DataFrame) -> DataFrame:
     keys = ["circuit_id", "factor"]
-    return slacks.groupBy(*keys).agg(F.round(F.max("clock"), DIGITS).alias("clock_period_ns"), F.round(F.max("max_at"), DIGITS).alias("max_arrival_time_ns"), F.min("slack").alias("min_slack_ns"), F.sum(F.col("is_critical").cast("long")).alias("num_critical_nodes"), F.count("*").alias("num_nodes"))
+    return slacks.groupBy(*keys).agg(F.round(F.max("clock"), DIGITS).alias("clock_period_ns"), F.round(F.max("max_at"), DIGITS).alias("max_arrival_time_ns"), F.coalesce(F.min(F.when(F.col("placed"), F.col("slack"))), F.lit(0.0)).alias("min_slack_ns"), F.sum(F.col("is_critical").cast("long")).alias("num_critical_nodes"), F.count("*").alias("num_nodes"))
 
 
 def worst_endpoints(slacks: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -145,17 +201,16 @@ def critical_path(timing: DataFrame, arcs: DataFrame, ends: DataFrame) -> DataFr
     """
     from ..sources.tables import checkpointed
 
-    a = arcs.join(timing.select("circuit_id", F.col("idx").alias("drv"), "at"), ["circuit_id", "drv"])
+    a = arcs.join(timing.select("circuit_id", F.col("idx").alias("drv"), "at", "depth"), ["circuit_id", "drv"])
+    a = a.join(timing.select("circuit_id", F.col("idx").alias("snk"), F.col("depth").alias("below")), ["circuit_id", "snk"]).where("depth < below")  # none on or behind a cycle
     late = a.groupBy("circuit_id", "snk").agg(F.max(F.struct(F.round(F.col("at") + F.col("fwd"), DIGITS).alias("t"), (-F.col("drv")).alias("k"))).alias("m"))
     jump = checkpointed(late.select("circuit_id", F.col("snk").alias("idx"), (-F.col("m.k")).alias("to")))
     path = checkpointed(ends.select("circuit_id", F.lit(0).cast("long").alias("step"), "idx"))
-    reach, most = 1, jump.count()
+    reach = 1
     while True:
         more = checkpointed(path.join(jump, ["circuit_id", "idx"]).select("circuit_id", (F.col("step") + reach).alias("step"), F.col("to").alias("idx")))
         if more.isEmpty():
             return path
-        if reach > most:
-            raise ValueError("the arcs have a cycle")
         path = path.unionByName(more)
         further = jump.select("circuit_id", F.col("idx").alias("to"), F.col("to").alias("beyond"))
         jump = checkpointed(jump.join(further, ["circuit_id", "to"]).select("circuit_id", "idx", F.col("beyond").alias("to")))
@@ -163,17 +218,19 @@ def critical_path(timing: DataFrame, arcs: DataFrame, ends: DataFrame) -> DataFr
 
 
 def _walk(seeds: pd.DataFrame, edges: pd.DataFrame, most: int) -> pd.DataFrame:
-    """The cones of one circuit's seeds, hop by hop."""
-    edges = edges.sort_values("snk", kind="stable")
-    drv, snk, out = edges["drv"].to_numpy(), edges["snk"].to_numpy(), []
-    for seed in seeds["idx"].unique():
-        cone = front = np.array([seed])
-        while len(front) and len(cone) < most:
-            lo, hi = np.searchsorted(snk, front, "left"), np.searchsorted(snk, front, "right")
-            behind = np.unique(np.concatenate([drv[a:b] for a, b in zip(lo, hi)]))
-            front = np.setdiff1d(behind, cone)
-            cone = np.union1d(cone, front)
-        out.append(pd.DataFrame({"circuit_id": seeds["circuit_id"].iloc[0], "seed": seed, "idx": cone}))
+    """The cones of one circuit's seeds, hop by hop; a node is looked at once for each cone."""
+    idx = np.unique(np.concatenate([edges["drv"], edges["snk"], seeds["idx"]])).astype(np.int64)
+    fanin, out = Fanout(np.searchsorted(idx, edges["snk"]), np.searchsorted(idx, edges["drv"]), len(idx)), []
+    seen = np.full(len(idx), -1)
+    for k, seed in enumerate(np.searchsorted(idx, seeds["idx"].unique())):
+        front = np.array([seed])
+        seen[seed], cone = k, [front]
+        while len(front) and sum(map(len, cone)) < most:
+            behind = np.unique(fanin.of(front))
+            front = behind[seen[behind] != k]
+            seen[front] = k
+            cone.append(front)
+        out.append(pd.DataFrame({"circuit_id": seeds["circuit_id"].iloc[0], "seed": idx[seed], "idx": idx[np.concatenate(cone)]}))
     return pd.concat(out) if out else pd.DataFrame({"circuit_id": [], "seed": [], "idx": []}).astype("int64")
 
 
@@ -213,6 +270,15 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     def run(n: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         idx = np.sort(n["idx"].to_numpy())
-        return pd.DataFrame({"circuit_id": n["circuit_id"].iloc[0], "idx": idx, "level": topological_levels(a, idx)})
+        drv, snk, _ = _placed_ends(idx, a)
+        return pd.DataFrame({"circuit_id": n["circuit_id"].iloc[0] if len(n) else [], "idx": idx, "level": topological_levels(drv, snk, len(idx))})
+
+    def small(n: DataFrame, e: DataFrame) -> DataFrame:
+        e = e.select(F.col("circuit_id").alias("circuit_id"), "drv", "snk")  # another column than the nodes', whatever they come from
+        return n.groupBy("circuit_id").cogroup(e.groupBy("circuit_id")).applyInPandas(run, "circuit_id long, idx long, level long")
+
+    def large(n: DataFrame, e: DataFrame) -> DataFrame:
+        found = peel(n, e.select("circuit_id", F.col("drv").alias("a"), F.col("snk").alias("b"), F.lit(0.0).alias("w")))
+        return n.join(found, ["circuit_id", "idx"], "left").select("circuit_id", "idx", F.coalesce("level", F.lit(-1).cast("long")).alias("level"))
 
-    return nodes.select("circuit_id", "idx").groupBy("circuit_id").cogroup(edges.select(F.col("circuit_id").alias("circuit_id"), "drv", "snk").groupBy("circuit_id")).applyInPandas(run, "circuit_id long, idx long, level long")
+    return _by_size(nodes.select("circuit_id", "idx"), edges.select("circuit_id", "drv", "snk"), small, large)

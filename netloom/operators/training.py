@@ -21,6 +21,16 @@ NAME_TOPOLOGIES = [
 OTHER_TOPOLOGY = "combinational_logic"
 
 
+def weighed(rows: DataFrame, by: str) -> DataFrame:
+    """rows (by, task, given) with a weight: the given one, else the default of the task's name, else an equal share of the
+    tasks that share `by`."""
+    shares = rows.groupBy(by).agg((1.0 / F.count("*")).alias("share"))
+    default = F.lit(None).cast("double")
+    for task, weight in TASK_WEIGHTS.items():
+        default = F.when(F.col("task") == task, weight).otherwise(default)
+    return rows.join(shares, by).select(by, "task", F.coalesce(F.col("given").cast("double"), default, "share").alias("weight"))
+
+
 def task_weights(spark: SparkSession, tasks: list[str], given: dict[str, float] | None = None) -> DataFrame:
     """(task, weight): the given weight, else the default one, else an equal share."""
     rows = [(t, float((given or {}).get(t, TASK_WEIGHTS.get(t, 1.0 / len(tasks))))) for t in tasks]
@@ -29,13 +39,19 @@ def task_weights(spark: SparkSession, tasks: list[str], given: dict[str, float]
 
 def schedule(spark: SparkSession, epochs: int, warmup: int) -> DataFrame:
     """(epoch from 1, lr_factor, beta): linear warm-up from a hundredth, then a cosine to 0; a geometric temperature ramp."""
-    warmup = max(0, min(warmup, epochs - 1))
-    e = F.col("epoch") - 1
-    rise = 0.01 + 0.99 * e / max(warmup, 1)
-    fall = 0.5 * (1.0 + F.cos(math.pi * (e - warmup) / max(1, epochs - warmup)))
-    share = e / (epochs - 1) if epochs > 1 else F.lit(1.0)
+    return schedules(spark.createDataFrame([(epochs,)], "epochs long"), warmup).select("epoch", "lr_factor", "beta")
+
+
+def schedules(runs: DataFrame, warmup: int) -> DataFrame:
+    """runs with a row for each of their epochs: epoch, lr_factor, beta, as in schedule()."""
+    rows = runs.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("epochs").cast("long"))))
+    e, n = F.col("epoch") - 1, F.col("epochs")
+    rising = F.greatest(F.lit(0), F.least(F.lit(warmup), n - 1))
+    rise = 0.01 + 0.99 * e / F.greatest(rising, F.lit(1))
+    fall = 0.5 * (1.0 + F.cos(math.pi * (e - rising) / F.greatest(F.lit(1), n - rising)))
+    share = F.when(n > 1, e / F.greatest(n - 1, F.lit(1))).otherwise(1.0)
     beta = F.exp(math.log(BETA_START) + share * (math.log(BETA_END) - math.log(BETA_START)))
-    return spark.range(1, epochs + 1).toDF("epoch").select("epoch", F.round(F.when(e < warmup, rise).otherwise(fall), 9).alias("lr_factor"), F.round(beta, 6).alias("beta"))
+    return rows.withColumns({"lr_factor": F.round(F.when(e < rising, rise).otherwise(fall), 9), "beta": F.round(beta, 6)})
 
 
 def epoch_losses(batches: DataFrame) -> DataFrame:

@@ -104,9 +104,9 @@ def ivf_topk(queries: DataFrame, rows: DataFrame, k: int, sample: int = 20_000,
     from pyspark.ml.functions import array_to_vector
 
     n = rows.count()
-    if not n:
+    lists = min(1024, int(math.sqrt(n)))
+    if lists < 2:  # one cell
         return topk(queries, rows, k)
-    lists = max(1, min(1024, int(math.sqrt(n))))
     unit = F.transform("embedding", lambda x: x.cast("double") / F.greatest(F.sqrt(dot("embedding", "embedding")), F.lit(1e-12)))
     part = rows.orderBy(F.xxhash64("vec_id")).limit(sample).select("embedding", array_to_vector(unit).alias("f"))
     centres = np.array(KMeans(k=lists, seed=1, maxIter=5, featuresCol="f").fit(part).clusterCenters())

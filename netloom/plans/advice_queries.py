@@ -5,72 +5,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import knowledge as kg
-from ..functions.library import DEVICES_SQL, sql_values
+from ..functions.library import DEVICES_SQL
 from ..operators import analog, diagnose, graph_facts, mapping, nlspec
 from ..operators.netlist import edges_of, nodes_from_events
-from ..sources import netlists
-from ..sources.tables import checkpointed, table
-from .netlist_queries import _labels, slacks
+from ..sources import dialects, netlists, stores
+from ..sources.tables import checkpointed, new_folder, table
+from .netlist_queries import _labels, netlist, slacks
 from .netlist_sql import sql
 
-# Fixed texts that the ingestion and request queries read.
-BENCH = """# small
-INPUT(a)
-INPUT(b)
-INPUT(c)
-OUTPUT(y)
-n1 = NAND(a, b)
-n2 = NOT(c)
-n3 = NAND(a, b, c, n1)
-q1 = DFF(n3)
-y = AND(n2, q1)
-junk line
-"""
-VERILOG = """// two gates
-module m (a, b, y);
-input a, b; output y;
-/* block
-comment */ nand NAND2_1 (n1, a,
- b);
-not (y, n1);
-endmodule
-"""
-ASSIGNS = """module t ( \\a[0] , \\b , y );
-input \\a[0] , \\b ;
-output y, z;
-assign n1 = ~\\a[0] & \\b ;
-assign n2 = n1 | ~\\b ;
-assign y = ~n2;
-assign z = n1;
-endmodule
-"""
-REQUESTS = ["Design a two-stage Miller op-amp with 60 dB gain and 10 MHz GBW in 130nm CMOS", "folded cascode, gain of 75 dB, 2 GHz bandwidth, 60 degrees phase margin, 45 nm", "a differential pair with 3 mW power, uncompensated", "current mirror please", "3-stage amplifier with nested compensation, 20 V/us slew, gbw of 5 MHz", "common source stage"]
-
-
 def _kg(spark):
     return kg.kg_edges(spark), kg.fixes(spark)
 
 
+def _library(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a property graph for each supplier, written as JSON documents and read again."""
+    owners = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("library"), F.col("s_suppkey").cast("long").alias("place"))
+    path = new_folder(spark)
+    stores.graph_to_json(*kg.libraries(owners)).select(F.col("json").alias("value")).write.text(path)
+    return tuple(checkpointed(x) for x in stores.graph_from_json(spark.read.text(path), "value"))
+
+
+def _lookup(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    nodes, edges = _library(spark, sf_dir)
+    return edges, kg.fixes_of(nodes)
+
+
 def kg_fixes(spark, sf_dir) -> DataFrame:
-    e, f = _kg(spark)
+    e, f = _lookup(spark, sf_dir)
     out = [graph_facts.fixes_for_violation(e, f, p).select(F.lit(p or "any").alias("asked"), "violation", "fix", "effort") for p in ("45nm", "130nm", None)]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 def kg_conflicts(spark, sf_dir):
-    return graph_facts.conflicts(_kg(spark)[0])
+    return graph_facts.conflicts(_library(spark, sf_dir)[1])
 
 
 def kg_topology_fixes(spark, sf_dir):
-    return graph_facts.fixes_for_topology(*_kg(spark), "45nm")
+    return graph_facts.fixes_for_topology(*_lookup(spark, sf_dir), "45nm")
 
 
 def kg_stats(spark, sf_dir):
-    return graph_facts.stats(kg.kg_nodes(spark), kg.kg_edges(spark))
+    return graph_facts.stats(*_library(spark, sf_dir))
 
 
 def kg_facts(spark, sf_dir):
-    return graph_facts.facts_for(*_kg(spark), "routing_congestion", "45nm")
+    facts = graph_facts.all_facts(*_lookup(spark, sf_dir), "45nm")
+    return facts.where(F.col("violation").endswith("/routing_congestion")).drop("violation")
+
+
+def kg_merge(spark, sf_dir):
+    """The graphs of all suppliers with new properties for some fixes and a new relation, merged twice."""
+    nodes, edges = _library(spark, sf_dir)
+    low = nodes.where("label = 'FixStrategy' AND props['effort'] = 'low'")
+    new_nodes = low.select("library", "name", "label", F.create_map(F.lit("effort"), F.lit("minimal"), F.lit("tried"), F.lit("yes")).alias("props"))
+    new_edges = low.select("library", F.lit(0).cast("long").alias("seq"), F.lit("TRIED_ON").alias("type"), F.col("name").alias("src"), F.concat("library", F.lit("/setup_violation")).alias("dst"), F.create_map(F.lit("by"), F.col("library")).alias("props"))
+    for _ in range(2):
+        nodes, edges = stores.upsert_graph(nodes, edges, new_nodes, new_edges)
+    facts = nodes.where("label = 'FixStrategy'").select("name", F.col("props")["effort"].alias("effort"), F.col("props")["process_nodes"].alias("process_nodes"), F.col("props")["tried"].alias("tried"))
+    tried = edges.where("type = 'TRIED_ON'").groupBy(F.col("src").alias("name")).agg(F.count("*").alias("n_tried"))
+    return facts.join(tried, "name", "left")
 
 
 def _predictions(spark, sf_dir):
@@ -129,44 +122,56 @@ def scenario_builder(spark, sf_dir):
     return diagnose.scenarios(_recs(spark, sf_dir)[0])
 
 
+def _requests(spark, sf_dir) -> DataFrame:
+    """A request in plain words for each event, with its figures."""
+    x, y = ((F.col("event_id") % k).cast("string") for k in (90, 37))
+    texts = [F.concat(*(F.lit(part) if isinstance(part, str) else part for part in row)) for row in (
+        ("Design a two-stage Miller op-amp with ", x, " dB gain and ", y, " MHz GBW in 130nm CMOS"), ("folded cascode, gain of ", x, " dB, ", y, " GHz bandwidth, 60 degrees phase margin, 45 nm"), ("a differential pair with ", y, ".5 mW power, uncompensated"),
+        ("current mirror number ", x, " please"), (y, "-stage amplifier with nested compensation, ", x, " V/us slew, gbw of ", y, " MHz"), ("common source stage in ", x, " nm"))]
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.element_at(F.array(*texts), (F.col("event_id") % 6 + 1).cast("int")).alias("text"))
+
+
 def nl_spec_parse(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(REQUESTS)), "id long, text string")
-    return nlspec.parse(rows).drop("text")
+    return nlspec.parse(_requests(spark, sf_dir)).drop("text")
 
 
 def _statements(df):
     return df.select("name", "kind", "out", F.coalesce("func", F.lit("")).alias("func"), F.array_join("ins", ",").alias("ins"))
 
 
+def _written(spark, sf_dir, how) -> DataFrame:
+    """Every derived netlist as text in one of the dialects, with comments, other case, flip-flops and lines that mean nothing."""
+    n = netlist(spark, sf_dir)
+    return how(n.nodes, n.edges)
+
+
 def bench_parse(spark, sf_dir):
-    return _statements(netlists.parse_bench(netlists.lines(spark.createDataFrame([("small", BENCH)], "name string, text string"))))
+    return _statements(netlists.parse_bench(netlists.lines(_written(spark, sf_dir, dialects.bench))))
 
 
 def verilog_parse(spark, sf_dir):
-    return _statements(netlists.parse_verilog(spark.createDataFrame([("m", VERILOG)], "name string, text string")))
+    return _statements(netlists.parse_verilog(_written(spark, sf_dir, dialects.verilog)))
 
 
 def epfl_parse(spark, sf_dir):
-    return _statements(netlists.parse_assigns(spark.createDataFrame([("t", ASSIGNS)], "name string, text string")))
-
-
-def _wide(spark):
-    rows = [("g", 0, "gate", f"o{f}{k}", f, [f"i{j}" for j in range(k)]) for f in ("NAND", "AND", "XOR", "NOR") for k in range(1, 40)]
-    return spark.createDataFrame(rows, "name string, seq int, kind string, out string, func string, ins array<string>")
+    return _statements(netlists.parse_assigns(_written(spark, sf_dir, dialects.assigns)))
 
 
 def gate_decompose(spark, sf_dir):
-    """Cells and pins of gates of one to 39 inputs."""
-    cells = mapping.decompose(_wide(spark))
+    """Cells and pins of a gate of one to 64 inputs for each part."""
+    k = (F.col("p_partkey") % 64 + 1).cast("int")
+    func = F.element_at(F.array(*map(F.lit, ("NAND", "AND", "XOR", "NOR"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    gates = table(spark, sf_dir, "part").select(F.lit("g").alias("name"), F.lit(0).alias("seq"), F.lit("gate").alias("kind"), F.concat(F.lit("o"), "p_partkey").alias("out"), func.alias("func"), F.transform(F.sequence(F.lit(1), k), lambda j: F.concat(F.lit("i"), j.cast("string"))).alias("ins"))
+    cells = mapping.decompose(gates)
     return cells.groupBy("gate").agg(F.count("*").alias("cells"), F.sum(F.size("ins")).cast("long").alias("pins"), F.sum((F.col("cell") == "INV_X1").cast("long")).alias("inverters"))
 
 
 def netlist_wire(spark, sf_dir):
-    _, edges = mapping.wire(netlists.parse_bench(netlists.lines(spark.createDataFrame([("small", BENCH)], "name string, text string"))))
-    return edges
+    """Edges of the .bench texts: flip-flops cut, a port named twice, signals with a second driver."""
+    return mapping.wire(checkpointed(netlists.parse_bench(netlists.lines(_written(spark, sf_dir, dialects.bench)))))[1]
 
 
-QUERIES = {f.__name__: f for f in (kg_fixes, kg_conflicts, kg_topology_fixes, kg_stats, kg_facts, rank_critical, rank_drc, rank_congestion, violation_class, recommendations, conflict_reconcile, design_report, bottleneck_rules, advice_templates, scenario_builder, nl_spec_parse, bench_parse, verilog_parse, epfl_parse, gate_decompose, netlist_wire)}
+QUERIES = {f.__name__: f for f in (kg_fixes, kg_conflicts, kg_topology_fixes, kg_stats, kg_facts, kg_merge, rank_critical, rank_drc, rank_congestion, violation_class, recommendations, conflict_reconcile, design_report, bottleneck_rules, advice_templates, scenario_builder, nl_spec_parse, bench_parse, verilog_parse, epfl_parse, gate_decompose, netlist_wire)}
 
 _KG = kg.KG_SQL
 _P = "preds AS MATERIALIZED (SELECT s.circuit_id, s.idx, slack, congestion, round(1e0 / (1e0 + exp(-((drc - 0.5e0) * 10e0))), 9) AS prob FROM slacks s JOIN labels_ l USING (circuit_id, idx) WHERE factor = 0.95e0)"
@@ -194,29 +199,37 @@ _ADVISOR = (
     "rules AS (SELECT circuit_id, 'congestion' AS task, least(1e0, max(congestion)) AS severity FROM preds GROUP BY 1 HAVING max(congestion) > 0.3e0 UNION ALL SELECT circuit_id, 'drc', max(prob) FROM preds GROUP BY 1 HAVING max(prob) > 0.5e0 UNION ALL SELECT circuit_id, 'analog_performance:gbw', least(1e0, 1e0 - greatest(min(gbw_score), 0e0)) FROM score GROUP BY 1 HAVING min(gbw_score) < 0.3e0 UNION ALL SELECT circuit_id, 'analog_performance:parasitic', least(1e0, max(parasitic)) FROM score GROUP BY 1 HAVING max(parasitic) > 0.5e0), "
     "ranked AS (SELECT *, row_number() OVER (PARTITION BY circuit_id ORDER BY severity DESC, task) AS rank FROM rules)"
 )
-_BENCH_ROWS = [("small", "input", "a", "", ""), ("small", "input", "b", "", ""), ("small", "input", "c", "", ""), ("small", "output", "y", "", ""), ("small", "gate", "n1", "NAND", "a,b"), ("small", "gate", "n2", "NOT", "c"), ("small", "gate", "n3", "NAND", "a,b,c,n1"), ("small", "dff", "q1", "", "n3"), ("small", "gate", "y", "AND", "n2,q1")]
-_VERILOG_ROWS = [("m", "input", "a", "", ""), ("m", "input", "b", "", ""), ("m", "output", "y", "", ""), ("m", "gate", "n1", "NAND", "a,b"), ("m", "gate", "y", "NOT", "n1")]
-_ASSIGN_ROWS = [("t", "input", "a_0", "", ""), ("t", "input", "b", "", ""), ("t", "output", "y", "", ""), ("t", "output", "z", "", ""), ("t", "gate", "t_0_1", "NOT", "a_0"), ("t", "gate", "n1", "AND", "t_0_1,b"), ("t", "gate", "t_1_3", "NOT", "b"), ("t", "gate", "n2", "OR", "n1,t_1_3"), ("t", "gate", "y", "NOT", "n2"), ("t", "gate", "z", "BUF", "n1")]
-
-
-def _rows(rows, columns):
-    return f"SELECT * FROM (VALUES {sql_values(rows)}) AS t({columns})"
-
-
-_SPECS = [
-    (0, "two_stage_opamp", 2, "miller", "130nm", 60.0, 10.0, None, None, None),
-    (1, "folded_cascode", 1, "none", "45nm", 75.0, 2000.0, 60.0, None, None),
-    (2, "diff_pair", 1, "none", "130nm", None, None, None, None, 3.0),
-    (3, "current_mirror", 1, "none", "130nm", None, None, None, None, None),
-    (4, "two_stage_opamp", 3, "nested miller", "130nm", None, 5.0, None, 20.0, None),
-    (5, "common_source_amp", 1, "none", "130nm", None, None, None, None, None),
-]
+_LIB = kg.LIBRARIES_SQL
+# What the texts of dialects.py hold: a gate of every eleventh event is a flip-flop, circuits with an even number end with a second driver of node 4.
+_TEXT = "ins AS (SELECT circuit_id, snk AS idx, list('s' || drv ORDER BY drv) AS p FROM edges GROUP BY ALL), rows_ AS (SELECT n.circuit_id, n.idx, n.role, n.event_id % 11 = 0 AS ff, p, row_number() OVER (PARTITION BY n.circuit_id, n.role ORDER BY n.idx) - 1 AS at_ FROM nodes n LEFT JOIN ins USING (circuit_id, idx))"
+_TEXT = _TEXT.replace("ins AS (", "pinned AS (").replace("LEFT JOIN ins", "LEFT JOIN pinned")
+_BENCH = (
+    "SELECT circuit_id, 0 AS late, idx, 'input' AS kind, 's' || idx AS out, '' AS func, []::VARCHAR[] AS ins FROM rows_ WHERE role = 'PI' UNION ALL SELECT circuit_id, 0, idx, 'output', p[1], '', [] FROM rows_ WHERE role = 'PO' "
+    "UNION ALL SELECT circuit_id, 0, idx, CASE WHEN ff THEN 'dff' ELSE 'gate' END, 's' || idx, CASE WHEN ff THEN '' ELSE 'NAND' END, CASE WHEN ff THEN p[1:1] ELSE p END FROM rows_ WHERE role = 'GATE' "
+    "UNION ALL SELECT circuit_id, 1, 0, 'gate', 's4', 'NOT', ['s0'] FROM rows_ WHERE idx = 0 AND circuit_id % 2 = 0 UNION ALL SELECT circuit_id, 2, 0, 'input', 's0', '', [] FROM rows_ WHERE idx = 0 AND circuit_id % 2 = 0"
+)
+_WIRED = f"""stated AS (SELECT *, row_number() OVER (PARTITION BY circuit_id ORDER BY late, idx) AS seq FROM ({_BENCH})),
+firsts AS (SELECT circuit_id, out, min(seq) AS seq FROM stated WHERE kind IN ('input', 'dff') GROUP BY ALL),
+every_ AS (SELECT circuit_id, 0 AS part, seq, out AS signal, []::VARCHAR[] AS ins FROM firsts UNION ALL SELECT circuit_id, 1, seq, out, ins FROM stated WHERE kind = 'gate' UNION ALL SELECT circuit_id, 2, seq, NULL, CASE kind WHEN 'dff' THEN ins ELSE [out] END FROM stated WHERE kind IN ('output', 'dff')),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY circuit_id ORDER BY part, seq, signal) - 1 AS idx FROM every_),
+first_driver AS (SELECT circuit_id, signal, min(idx) AS drv FROM numbered WHERE signal IS NOT NULL GROUP BY ALL),
+wires AS (SELECT circuit_id, idx, unnest(ins) AS signal FROM numbered)"""
+_ASSIGN = (
+    "SELECT circuit_id::VARCHAR AS name, 'input' AS kind, 's_' || idx AS out, '' AS func, '' AS ins FROM rows_ WHERE role = 'PI' UNION ALL SELECT circuit_id::VARCHAR, 'output', 'o_' || idx, '', '' FROM rows_ WHERE role = 'PO' "
+    "UNION ALL SELECT circuit_id::VARCHAR, 'gate', 'o_' || idx, 'BUF', 's_' || p[1][2:] FROM rows_ WHERE role = 'PO' "
+    "UNION ALL SELECT circuit_id::VARCHAR, 'gate', 's_' || idx, CASE WHEN len(p) = 1 THEN 'NOT' WHEN idx % 2 = 0 THEN 'AND' ELSE 'OR' END, CASE WHEN len(p) = 1 THEN 's_' || p[1][2:] ELSE 's_' || p[1][2:] || ',t_' || at_ || '_3' END FROM rows_ WHERE role = 'GATE' "
+    "UNION ALL SELECT circuit_id::VARCHAR, 'gate', 't_' || at_ || '_3', 'NOT', 's_' || p[2][2:] FROM rows_ WHERE role = 'GATE' AND len(p) > 1"
+)
+_K, _F = "(p_partkey % 64 + 1)", "['NAND', 'AND', 'XOR', 'NOR'][p_partkey % 4 + 1]"
+_ONE, _NEG = f"({_K} <= 2 OR ({_K} = 3 AND {_F} IN ('NAND', 'NOR')))", f"({_F} IN ('NAND', 'NOR'))"
+_X, _Y, _KIND = "(event_id % 90)", "(event_id % 37)", "event_id % 6"
 ORACLE_SQL = {
-    "kg_fixes": f"WITH {_KG} SELECT asked, src AS violation, dst AS fix, effort FROM kg_edges JOIN fixes ON fix = dst, (VALUES ('45nm'), ('130nm'), ('any')) a(asked) WHERE type = 'RESOLVED_BY' AND (asked = 'any' OR list_contains(string_split(process_nodes, ','), asked))",
-    "kg_conflicts": f"WITH {_KG}, {_CLASH} SELECT * FROM clash",
-    "kg_topology_fixes": f"WITH {_KG}, both_ AS (SELECT t.src AS topology, f.dst AS fix, t.dst AS violation, t.seq AS a, f.seq AS b FROM kg_edges t JOIN kg_edges f ON f.src = t.dst AND f.type = 'RESOLVED_BY' JOIN fixes x ON x.fix = f.dst WHERE t.type = 'COMMONLY_EXHIBITS' AND list_contains(string_split(x.process_nodes, ','), '45nm')), seen AS (SELECT * FROM both_ QUALIFY row_number() OVER (PARTITION BY topology, fix ORDER BY a, b) = 1) SELECT topology, fix, violation, row_number() OVER (PARTITION BY topology ORDER BY a, b) AS rank FROM seen",
-    "kg_stats": f"WITH {_KG} SELECT label AS name, count(*) AS n, 'node' AS kind FROM kg_nodes GROUP BY label UNION ALL SELECT type, count(*), 'relation' FROM kg_edges GROUP BY type",
-    "kg_facts": _rows([(1, "routing_congestion", "RESOLVED_BY", "cell_spreading"), (2, "routing_congestion", "RESOLVED_BY", "layer_promotion"), (3, "cell_spreading", "PRODUCES", "congestion_reduced"), (4, "cell_spreading", "PRODUCES", "drc_clean"), (5, "cell_spreading", "CONFLICTS_WITH", "buffer_insertion"), (6, "cell_spreading", "CONFLICTS_WITH", "gate_upsizing"), (7, "cell_spreading", "CONFLICTS_WITH", "pipeline_insertion"), (8, "layer_promotion", "PRODUCES", "congestion_reduced"), (9, "layer_promotion", "PRODUCES", "drc_clean")], "rank, subject, relation, object").replace("SELECT *", "SELECT rank::BIGINT AS rank, subject, relation, object"),
+    "kg_fixes": f"WITH {_LIB} SELECT asked, src AS violation, dst AS fix, effort FROM kg_edges JOIN fixes ON fix = dst, (VALUES ('45nm'), ('130nm'), ('any')) a(asked) WHERE type = 'RESOLVED_BY' AND (asked = 'any' OR list_contains(string_split(process_nodes, ','), asked))",
+    "kg_conflicts": f"WITH {_LIB}, {_CLASH} SELECT * FROM clash",
+    "kg_topology_fixes": f"WITH {_LIB}, both_ AS (SELECT t.src AS topology, f.dst AS fix, t.dst AS violation, t.seq AS a, f.seq AS b FROM kg_edges t JOIN kg_edges f ON f.src = t.dst AND f.type = 'RESOLVED_BY' JOIN fixes x ON x.fix = f.dst WHERE t.type = 'COMMONLY_EXHIBITS' AND list_contains(string_split(x.process_nodes, ','), '45nm')), seen AS (SELECT * FROM both_ QUALIFY row_number() OVER (PARTITION BY topology, fix ORDER BY a, b) = 1) SELECT topology, fix, violation, row_number() OVER (PARTITION BY topology ORDER BY a, b) AS rank FROM seen",
+    "kg_stats": f"WITH {_LIB} SELECT label AS name, count(*) AS n, 'node' AS kind FROM kg_nodes GROUP BY label UNION ALL SELECT type, count(*), 'relation' FROM kg_edges GROUP BY type",
+    "kg_facts": f"WITH {_LIB}, {_CLASH}, f AS (SELECT src AS violation, dst AS fix, seq FROM kg_edges JOIN fixes ON fix = dst WHERE type = 'RESOLVED_BY' AND src LIKE '%/routing_congestion' AND list_contains(string_split(process_nodes, ','), '45nm')), r AS (SELECT violation, 0 AS part, seq, 0::BIGINT AS sub, violation AS subject, 'RESOLVED_BY' AS relation, fix AS object FROM f UNION ALL SELECT violation, 1, f.seq, 1000 + e.seq, f.fix, 'PRODUCES', e.dst FROM f JOIN kg_edges e ON e.type = 'PRODUCES' AND e.src = f.fix UNION ALL SELECT violation, 1, f.seq, 10000000, f.fix, 'CONFLICTS_WITH', conflict FROM f JOIN clash c ON c.fix = f.fix) SELECT rank, subject, relation, object FROM (SELECT *, row_number() OVER (PARTITION BY violation ORDER BY part, seq, CASE relation WHEN 'CONFLICTS_WITH' THEN 1 ELSE 0 END, sub, object) AS rank FROM r) WHERE rank <= 10",
+    "kg_merge": f"WITH {_LIB} SELECT fix AS name, CASE effort WHEN 'low' THEN 'minimal' ELSE effort END AS effort, process_nodes, CASE effort WHEN 'low' THEN 'yes' END AS tried, CASE effort WHEN 'low' THEN 1 END::BIGINT AS n_tried FROM fixes",
     "rank_critical": sql("SELECT * FROM crit", _RANKS),
     "rank_drc": sql("SELECT * FROM drcs", _RANKS),
     "rank_congestion": sql("SELECT * FROM congs", _RANKS),
@@ -227,9 +240,10 @@ ORACLE_SQL = {
     "bottleneck_rules": sql("SELECT circuit_id, rank, task, severity FROM ranked WHERE rank <= 5", _ADVISOR),
     "advice_templates": sql("SELECT circuit_id, rank, '[' || task || '] ' || tip AS advice, round(1e0 - 0.5e0 * severity, 2) AS confidence FROM ranked JOIN tips USING (task) WHERE rank <= 5", _ADVISOR),
     "scenario_builder": sql("SELECT role, slot, circuit_id, violation, severity FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY (circuit_id * 7919) % 10007, circuit_id) AS slot FROM (SELECT *, CASE task WHEN 'slack' THEN 'timing' WHEN 'drc' THEN 'drc' ELSE 'placement' END AS role FROM necks)) WHERE slot <= 40", _RECS),
-    "nl_spec_parse": "SELECT id::BIGINT AS id, topology, num_stages::BIGINT AS num_stages, compensation, process_node, gain_db::DOUBLE AS gain_db, gbw_mhz::DOUBLE AS gbw_mhz, phase_margin_deg::DOUBLE AS phase_margin_deg, slew_rate_v_us::DOUBLE AS slew_rate_v_us, power_mw::DOUBLE AS power_mw FROM (VALUES " + sql_values(_SPECS) + ") AS t(id, topology, num_stages, compensation, process_node, gain_db, gbw_mhz, phase_margin_deg, slew_rate_v_us, power_mw)",
-    "bench_parse": _rows(_BENCH_ROWS, 'name, kind, "out", func, ins'),
-    "verilog_parse": _rows(_VERILOG_ROWS, 'name, kind, "out", func, ins'),
-    "epfl_parse": _rows(_ASSIGN_ROWS, 'name, kind, "out", func, ins'),
-    "gate_decompose": "SELECT 'o' || f || k AS gate, CASE WHEN k = 1 OR (k = 2) OR (k = 3 AND f IN ('NAND', 'NOR')) THEN 1 ELSE k - 1 + (f IN ('NAND', 'NOR'))::INT END::BIGINT AS cells, CASE WHEN k <= 2 OR (k = 3 AND f IN ('NAND', 'NOR')) THEN k ELSE 2 * (k - 1) + (f IN ('NAND', 'NOR'))::INT END::BIGINT AS pins, CASE WHEN k > 3 AND f IN ('NAND', 'NOR') THEN 1 ELSE 0 END::BIGINT AS inverters FROM range(1, 40) AS r(k), (VALUES ('NAND'), ('AND'), ('XOR'), ('NOR')) AS t(f)",
+    "nl_spec_parse": f"SELECT event_id AS id, ['two_stage_opamp', 'folded_cascode', 'diff_pair', 'current_mirror', 'two_stage_opamp', 'common_source_amp'][{_KIND} + 1] AS topology, CASE {_KIND} WHEN 0 THEN 2 WHEN 4 THEN {_Y} ELSE 1 END::BIGINT AS num_stages, CASE {_KIND} WHEN 0 THEN 'miller' WHEN 4 THEN 'nested miller' ELSE 'none' END AS compensation, CASE {_KIND} WHEN 1 THEN '45nm' WHEN 5 THEN {_X} || 'nm' ELSE '130nm' END AS process_node, CASE WHEN {_KIND} IN (0, 1) THEN {_X}::DOUBLE END AS gain_db, CASE {_KIND} WHEN 0 THEN {_Y}::DOUBLE WHEN 1 THEN {_Y} * 1000e0 WHEN 4 THEN {_Y}::DOUBLE END AS gbw_mhz, CASE {_KIND} WHEN 1 THEN 60e0 END AS phase_margin_deg, CASE {_KIND} WHEN 4 THEN {_X}::DOUBLE END AS slew_rate_v_us, CASE {_KIND} WHEN 2 THEN {_Y} + 0.5e0 END AS power_mw FROM events",
+    "bench_parse": sql(f"SELECT circuit_id::VARCHAR AS name, kind, out, func, array_to_string(ins, ',') AS ins FROM ({_BENCH})", _TEXT),
+    "verilog_parse": sql("SELECT circuit_id::VARCHAR AS name, 'input' AS kind, 's' || idx AS out, '' AS func, '' AS ins FROM rows_ WHERE role = 'PI' UNION ALL SELECT circuit_id::VARCHAR, 'output', 'o' || idx, '', '' FROM rows_ WHERE role = 'PO' UNION ALL SELECT circuit_id::VARCHAR, 'gate', 'o' || idx, 'BUF', p[1] FROM rows_ WHERE role = 'PO' UNION ALL SELECT circuit_id::VARCHAR, 'gate', 's' || idx, CASE WHEN len(p) = 1 THEN 'NOT' ELSE ['AND', 'NAND', 'OR', 'NOR', 'XOR', 'XNOR'][idx % 6 + 1] END, array_to_string(p, ',') FROM rows_ WHERE role = 'GATE'", _TEXT),
+    "epfl_parse": sql(_ASSIGN, _TEXT),
+    "gate_decompose": f"SELECT 'o' || p_partkey AS gate, CASE WHEN {_ONE} THEN 1 ELSE {_K} - 1 + {_NEG}::INT END::BIGINT AS cells, CASE WHEN {_ONE} THEN {_K} ELSE 2 * ({_K} - 1) + {_NEG}::INT END::BIGINT AS pins, CASE WHEN NOT {_ONE} AND {_NEG} THEN 1 ELSE 0 END::BIGINT AS inverters FROM part",
+    "netlist_wire": sql("SELECT w.circuit_id::VARCHAR AS name, d.drv, w.idx AS snk FROM wires w JOIN first_driver d ON d.circuit_id = w.circuit_id AND d.signal = w.signal", f"{_TEXT}, {_WIRED}"),
 }

@@ -72,7 +72,28 @@ def cyclic_levels(spark, sf_dir):
     return timing.levels(n.nodes, n.edges.unionByName(back)).groupBy("circuit_id").agg(F.sum((F.col("level") < 0).cast("long")).alias("unplaced"))
 
 
-QUERIES = {f.__name__: f for f in (bench_statements, bench_nodes, bench_edges, bench_nets, bench_sta, bench_cones, generated_edges, cyclic_levels)}
+def _looped(spark, sf_dir) -> Netlist:
+    """Derived netlists of which the even ones have node 10 fed back to the first gate that drives it, if one does."""
+    n = netlist(spark, sf_dir)
+    back = n.edges.where("snk = 10 AND drv >= 4 AND circuit_id % 2 = 0").groupBy("circuit_id").agg(F.min("drv").alias("snk"))
+    return Netlist(n.nodes, n.edges.unionByName(back.select("circuit_id", F.lit(10).cast("long").alias("drv"), "snk")))
+
+
+def cyclic_sta(spark, sf_dir):
+    """Timing of netlists with cycles: what a cycle holds up has arrival 0, the clock as required time, and is not critical."""
+    n = _looped(spark, sf_dir)
+    arcs = checkpointed(n.arcs)
+    s = timing.slack(checkpointed(timing.propagate(n.nodes, arcs)), n.nodes, (1.2,))
+    return s.select("circuit_id", "idx", "placed", F.round("at", 13).alias("arrival_time"), "depth", "required", "slack", "is_critical")
+
+
+def cyclic_summary(spark, sf_dir):
+    n = _looped(spark, sf_dir)
+    arcs = checkpointed(n.arcs)
+    return timing.summary(timing.slack(checkpointed(timing.propagate(n.nodes, arcs)), n.nodes, (0.95,))).drop("factor")
+
+
+QUERIES = {f.__name__: f for f in (cyclic_sta, cyclic_summary, bench_statements, bench_nodes, bench_edges, bench_nets, bench_sta, bench_cones, generated_edges, cyclic_levels)}
 
 
 def parsed_sql(select: str, more: str = "") -> str:
@@ -88,8 +109,21 @@ nodes AS (SELECT b.circuit_id, b.idx, b.n, b.role, coalesce(c.cell, b.role) AS n
     return f"WITH RECURSIVE {head}\n{nodes}\npins AS{tail}{', ' + more if more else ''} {select}"
 
 
+_HELD = "held AS (SELECT circuit_id, drv AS idx FROM back UNION SELECT h.circuit_id, l.snk FROM held h JOIN edges l ON l.circuit_id = h.circuit_id AND l.drv = h.idx)"
+
+
+def looped_sql(select: str) -> str:
+    """As sql(), over the netlists with a fed back output; arcs that touch what the cycle holds up play no part in timing."""
+    text = CTES.replace("edges AS (SELECT DISTINCT", "edges0 AS (SELECT DISTINCT").replace("\npins AS", f"\nback AS (SELECT circuit_id, 10::BIGINT AS drv, min(drv) AS snk FROM edges0 WHERE snk = 10 AND drv >= 4 AND circuit_id % 2 = 0 GROUP BY circuit_id),\nedges AS (SELECT circuit_id, drv, snk FROM edges0 UNION SELECT circuit_id, drv, snk FROM back),\n{_HELD},\npins AS", 1)
+    free = "FROM (SELECT * FROM arcs a WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.circuit_id = a.circuit_id AND h.idx IN (a.drv, a.snk))) GROUP BY ALL)"
+    text = text.replace("'d': fwd}) AS p FROM arcs GROUP BY ALL)", f"'d': fwd}}) AS p {free}").replace("'d': bwd}) AS p FROM arcs GROUP BY ALL)", f"'d': bwd}}) AS p {free}")
+    return f"WITH RECURSIVE {text} {select}"
+
+
 _CONES = "cones AS (SELECT circuit_id, idx AS seed, idx FROM nodes WHERE role = 'PO' UNION SELECT c.circuit_id, c.seed, e.drv FROM cones c JOIN edges e ON e.circuit_id = c.circuit_id AND e.snk = c.idx)"
 ORACLE_SQL = {
+    "cyclic_sta": looped_sql("SELECT s.circuit_id, s.idx, h.idx IS NULL AS placed, round(arrival, 13) AS arrival_time, depth, required, slack, slack <= 0.05e0 AND h.idx IS NULL AS is_critical FROM slacks s LEFT JOIN held h ON h.circuit_id = s.circuit_id AND h.idx = s.idx WHERE factor = 1.2e0"),
+    "cyclic_summary": looped_sql("SELECT s.circuit_id, round(max(clock), 13) AS clock_period_ns, round(max(max_at), 13) AS max_arrival_time_ns, coalesce(min(slack) FILTER (h.idx IS NULL), 0e0) AS min_slack_ns, count(*) FILTER (slack <= 0.05e0 AND h.idx IS NULL) AS num_critical_nodes, count(*) AS num_nodes FROM slacks s LEFT JOIN held h ON h.circuit_id = s.circuit_id AND h.idx = s.idx WHERE factor = 0.95e0 GROUP BY s.circuit_id"),
     "bench_statements": sql("SELECT circuit_id, count(*) FILTER (role = 'PI') AS inputs, count(*) FILTER (role = 'PO') AS outputs, count(*) FILTER (role = 'GATE') AS gates, sum(k) FILTER (role = 'GATE')::BIGINT AS pins FROM nodes LEFT JOIN (SELECT circuit_id, snk AS idx, count(*) AS k FROM edges GROUP BY ALL) USING (circuit_id, idx) GROUP BY circuit_id"),
     "bench_nodes": parsed_sql("SELECT circuit_id, idx, role, node_type, side, x, y FROM nodes"),
     "bench_edges": parsed_sql("SELECT circuit_id, drv, snk FROM edges"),

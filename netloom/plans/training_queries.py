@@ -13,15 +13,20 @@ from . import advice_queries as advice, text_queries as text
 from .netlist_queries import _labels, netlist, slacks
 from .netlist_sql import sql
 
-TASKS, GIVEN = ["slack", "arrival_time", "critical_path", "drc"], {"arrival_time": 2.0}
+TASKS = ["slack", "arrival_time", "critical_path", "drc"]
 
 
 def lr_schedule(spark, sf_dir) -> DataFrame:
-    return training.schedule(spark, 40, 5)
+    """A schedule for each user, of as many epochs as the user has events."""
+    runs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("epochs"))
+    return training.schedules(runs, 5).select("user_id", "epoch", "lr_factor", "beta")
 
 
 def task_weight_table(spark, sf_dir):
-    return training.task_weights(spark, TASKS, GIVEN)
+    """The weights of each customer's tasks; some customers give a weight for one of them."""
+    task = F.explode(F.array(*map(F.lit, TASKS))).alias("task")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", task).withColumn("given", F.when((F.col("c_custkey") % 3 == 0) & (F.col("task") == "arrival_time"), F.col("c_custkey") / 8.0))
+    return training.weighed(rows, "c_custkey")
 
 
 def _batches(spark, sf_dir):
@@ -100,11 +105,11 @@ def graph_payload(spark, sf_dir):
 
 
 def hybrid_facts(spark, sf_dir):
-    return graph_facts.all_facts(*advice._kg(spark), "45nm")
+    return graph_facts.all_facts(*advice._lookup(spark, sf_dir), "45nm")
 
 
 def hybrid_prompt(spark, sf_dir):
-    return graph_facts.prompts(graph_facts.all_facts(*advice._kg(spark), "45nm"))
+    return graph_facts.prompts(graph_facts.all_facts(*advice._lookup(spark, sf_dir), "45nm"))
 
 
 def hybrid_answer(spark, sf_dir):
@@ -125,7 +130,8 @@ def hybrid_answer(spark, sf_dir):
 
 def violations_by_topology(spark, sf_dir):
     """What each topology shows, with the label of both ends."""
-    e, n = kg.kg_edges(spark), kg.kg_nodes(spark)
+    n, e = advice._library(spark, sf_dir)
+    n = n.select("name", "label")
     shown = graph_facts.related(e, "COMMONLY_EXHIBITS", "topology", "violation")
     return shown.join(n.withColumnsRenamed({"name": "topology", "label": "topology_label"}), "topology").join(n.withColumnsRenamed({"name": "violation", "label": "violation_label"}), "violation").select("topology", "violation", "topology_label", "violation_label")
 
@@ -170,14 +176,15 @@ QUERIES = {f.__name__: f for f in (lr_schedule, task_weight_table, epoch_losses,
 _P, _RANKS, _RECS = advice._P, advice._RANKS, advice._RECS
 _TOPOLOGY = " ".join(f"WHEN regexp_matches(lower(p_name), '{'|'.join(words)}') THEN '{topology}'" for topology, words in training.NAME_TOPOLOGIES)
 _EPOCHS = "epochs AS (SELECT event_id % 40 + 1 AS epoch, count(*) AS n, round(avg(value), 6) AS loss FROM events GROUP BY 1)"
-_FACTS = f"{kg.KG_SQL}, {advice._CLASH}, f AS (SELECT src AS violation, dst AS fix, seq FROM kg_edges JOIN fixes ON fix = dst WHERE type = 'RESOLVED_BY' AND list_contains(string_split(process_nodes, ','), '45nm')), rows_ AS (SELECT violation, 0 AS part, seq, 0::BIGINT AS sub, violation AS subject, 'RESOLVED_BY' AS relation, fix AS object FROM f UNION ALL SELECT violation, 1, f.seq, 1000 + e.seq, f.fix, 'PRODUCES', e.dst FROM f JOIN kg_edges e ON e.type = 'PRODUCES' AND e.src = f.fix UNION ALL SELECT violation, 1, f.seq, 2000, f.fix, 'CONFLICTS_WITH', c.conflict FROM f JOIN clash c USING (fix)), facts AS (SELECT * FROM (SELECT violation, row_number() OVER (PARTITION BY violation ORDER BY part, seq, sub, object) AS rank, subject, relation, object FROM rows_) WHERE rank <= 10)"
-_WEIGHTS = [(t, GIVEN.get(t, training.TASK_WEIGHTS.get(t, 1 / len(TASKS)))) for t in TASKS]
+_FACTS = f"{kg.KG_SQL}, {advice._CLASH}, f AS (SELECT src AS violation, dst AS fix, seq FROM kg_edges JOIN fixes ON fix = dst WHERE type = 'RESOLVED_BY' AND list_contains(string_split(process_nodes, ','), '45nm')), rows_ AS (SELECT violation, 0 AS part, seq, 0::BIGINT AS sub, violation AS subject, 'RESOLVED_BY' AS relation, fix AS object FROM f UNION ALL SELECT violation, 1, f.seq, e.seq, f.fix, 'PRODUCES', e.dst FROM f JOIN kg_edges e ON e.type = 'PRODUCES' AND e.src = f.fix UNION ALL SELECT violation, 1, f.seq, 0, f.fix, 'CONFLICTS_WITH', c.conflict FROM f JOIN clash c USING (fix)), facts AS (SELECT * FROM (SELECT violation, row_number() OVER (PARTITION BY violation ORDER BY part, seq, (relation = 'CONFLICTS_WITH')::INT, sub, object) AS rank, subject, relation, object FROM rows_) WHERE rank <= 10)"
+_LIB_FACTS = _FACTS.replace(kg.KG_SQL, kg.LIBRARIES_SQL)
+_WEIGHTS = [(t, training.TASK_WEIGHTS.get(t, 1 / len(TASKS))) for t in TASKS]
 _SUM = "list_sum({v}::DOUBLE[])"
 _HITS = text.ORACLE_SQL["keyword_topk"]
 _REG2 = "count(*) AS n, round(avg((pred - target) * (pred - target)), 2) AS mse, round(avg(abs(pred - target)), 4) AS mae, round(1e0 - sum((pred - target) * (pred - target)) / (sum(target * target) - sum(target) * sum(target) / count(*)), 6) AS r2, round(corr(pred, target), 6) AS pearson"
 ORACLE_SQL = {
-    "lr_schedule": "SELECT e AS epoch, round(CASE WHEN e <= 5 THEN 0.01e0 + 0.99e0 * (e - 1) / 5e0 ELSE 0.5e0 * (1e0 + cos(pi() * (e - 6) / 35e0)) END, 9) AS lr_factor, round(exp(ln(8e0) + (e - 1) / 39e0 * (ln(1000e0) - ln(8e0))), 6) AS beta FROM range(1, 41) AS r(e)",
-    "task_weight_table": f"SELECT task, weight::DOUBLE AS weight FROM (VALUES {sql_values(_WEIGHTS)}) AS t(task, weight)",
+    "lr_schedule": "SELECT user_id, e AS epoch, round(CASE WHEN e <= w THEN 0.01e0 + 0.99e0 * (e - 1) / greatest(w, 1) ELSE 0.5e0 * (1e0 + cos(pi() * (e - 1 - w) / greatest(1, n - w))) END, 9) AS lr_factor, round(exp(ln(8e0) + CASE WHEN n > 1 THEN (e - 1)::DOUBLE / greatest(n - 1, 1) ELSE 1e0 END * (ln(1000e0) - ln(8e0))), 6) AS beta FROM (SELECT *, unnest(range(1, n + 1)) AS e FROM (SELECT user_id, count(*) AS n, greatest(0, least(5, count(*) - 1)) AS w FROM events GROUP BY user_id))",
+    "task_weight_table": f"SELECT c_custkey, task, CASE WHEN c_custkey % 3 = 0 AND task = 'arrival_time' THEN c_custkey / 8e0 ELSE weight END AS weight FROM customer, (VALUES {sql_values(_WEIGHTS)}) AS t(task, weight)",
     "epoch_losses": f"WITH {_EPOCHS} SELECT * FROM epochs",
     "early_stop": f"WITH {_EPOCHS}, a AS (SELECT *, min(loss) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM epochs), b AS (SELECT *, low IS NULL OR loss < low AS better FROM a), c AS (SELECT *, max(CASE WHEN better THEN epoch END) OVER (ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS last FROM b), d AS (SELECT min(epoch) FILTER (epoch - last >= 5) AS stop FROM c) SELECT max(epoch) AS best_epoch, min(loss) AS best_loss, any_value(stop) AS stopped_at FROM c, d WHERE better AND (stop IS NULL OR epoch <= stop)",
     "composition_drift": sql("SELECT circuit_id, round(max(abs(slack - (required - round(arrival, 13)))), 9) AS max_drift, round(avg(abs(slack - (required - round(arrival, 13)))), 9) AS mean_drift FROM slacks WHERE factor = 1.2e0 GROUP BY circuit_id"),
@@ -199,10 +206,10 @@ ORACLE_SQL = {
     "advisories": sql("SELECT circuit_id, 'ppa' AS task, fix, 0.5e0 AS confidence, fix || ' conflicts with ' || replace(clashing, ',', ', ') AS advice FROM recon WHERE clashing <> ''", _RECS),
     "confidence_map": sql("SELECT circuit_id, task, arg_max(confidence, fix) AS confidence, count(*) AS n FROM recs GROUP BY ALL", _RECS),
     "graph_payload": sql("SELECT circuit_id, n_nodes, n_edges, links FROM (SELECT circuit_id, count(*) AS n_nodes FROM nodes GROUP BY 1) JOIN (SELECT circuit_id, count(*) AS n_edges, string_agg(drv || '>' || snk, ',' ORDER BY drv, snk) AS links FROM edges GROUP BY 1) USING (circuit_id)"),
-    "hybrid_facts": f"WITH {_FACTS} SELECT violation, rank, subject, relation, object FROM facts",
+    "hybrid_facts": f"WITH {_LIB_FACTS} SELECT violation, rank, subject, relation, object FROM facts",
     "hybrid_answer": f"WITH {_FACTS}, kinds AS (SELECT violation, row_number() OVER (ORDER BY violation) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT violation FROM facts)), hits AS ({_HITS}), near AS ({text._knn('q.vec_id <> e.vec_id', 3)}), found AS (SELECT item_id AS request, 0 AS part, rank, 'text' AS source, doc_id::VARCHAR AS ref FROM hits UNION ALL SELECT item_id, 1, rank, 'fact', subject || ' ' || relation || ' ' || object FROM benchmark JOIN kinds ON k = item_id % n JOIN facts USING (violation) UNION ALL SELECT item_id, 2, rank, 'circuit', vec_id::VARCHAR FROM benchmark JOIN near ON query_id = item_id * 20) SELECT request, row_number() OVER (PARTITION BY request ORDER BY part, rank, ref) AS position, source, ref FROM found",
-    "hybrid_prompt": f"WITH {_FACTS} SELECT violation, count(*) AS n_facts, coalesce(string_agg(DISTINCT object, ', ' ORDER BY object) FILTER (relation = 'RESOLVED_BY'), '') AS fixes, string_agg('- ' || subject || ' ' || relation || ' ' || object, chr(10) ORDER BY rank) AS prompt FROM facts GROUP BY violation",
-    "violations_by_topology": f"WITH {kg.KG_SQL} SELECT e.src AS topology, e.dst AS violation, a.label AS topology_label, b.label AS violation_label FROM kg_edges e JOIN kg_nodes a ON a.name = e.src JOIN kg_nodes b ON b.name = e.dst WHERE e.type = 'COMMONLY_EXHIBITS'",
+    "hybrid_prompt": f"WITH {_LIB_FACTS} SELECT violation, count(*) AS n_facts, coalesce(string_agg(DISTINCT object, ', ' ORDER BY object) FILTER (relation = 'RESOLVED_BY'), '') AS fixes, string_agg('- ' || subject || ' ' || relation || ' ' || object, chr(10) ORDER BY rank) AS prompt FROM facts GROUP BY violation",
+    "violations_by_topology": f"WITH {kg.LIBRARIES_SQL} SELECT e.src AS topology, e.dst AS violation, a.label AS topology_label, b.label AS violation_label FROM kg_edges e JOIN kg_nodes a ON a.name = e.src JOIN kg_nodes b ON b.name = e.dst WHERE e.type = 'COMMONLY_EXHIBITS'",
     "chunk_metadata": f"WITH c AS ({text.ORACLE_SQL['chunk_text']}) SELECT doc_id, chunk_index, n_words, count(*) OVER (PARTITION BY doc_id) AS n_chunks, lang, source FROM c JOIN documents USING (doc_id)",
     "advisor_hits": f"WITH h AS ({_HITS}), m AS (SELECT item_id // 3 AS request, doc_id, min((item_id, rank)) AS place FROM h GROUP BY ALL) SELECT request, row_number() OVER (PARTITION BY request ORDER BY place) AS position, doc_id FROM m",
     "entry_paragraphs": "SELECT p_name AS circuit_name, 'Circuit: ' || p_name || ' (' || p_type || '). Description: ' || p_brand || ' Typical specs: brand=' || p_brand || ', size=' || p_size || '.' || CASE WHEN p_size % 2 = 1 THEN ' Typical device count: ' || p_size || '-' || (p_size + 5) || '. Common issues: ' || p_type || '; noise.' ELSE '' END AS text FROM part",

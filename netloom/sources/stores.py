@@ -57,6 +57,42 @@ def load_corpus(spark: SparkSession, path: str, entry: str, field: str = "entrie
     return docs.select(F.explode(field).alias("e")).select("e.*")
 
 
+GRAPH = "library string, nodes array<struct<name:string,label:string,props:map<string,string>>>, relations array<struct<seq:long,type:string,src:string,dst:string,props:map<string,string>>>"
+
+
+def graph_to_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(library, json): the property graph of each library as one document; nodes have library, name, label, props, edges
+    library, seq, type, src, dst, props (maps of strings, null for none)."""
+    n = nodes.groupBy("library").agg(F.sort_array(F.collect_list(F.struct("name", "label", F.to_json("props").alias("p")))).alias("n"))
+    e = edges.groupBy("library").agg(F.sort_array(F.collect_list(F.struct("seq", "type", "src", "dst", F.to_json("props").alias("p")))).alias("e"))
+    props = lambda x: F.from_json(x["p"], "map<string,string>").alias("props")
+    both = n.join(e, "library", "left").select("library", F.transform("n", lambda x: F.struct(x["name"].alias("name"), x["label"].alias("label"), props(x))).alias("nodes"), F.transform("e", lambda x: F.struct(x["seq"].alias("seq"), x["type"].alias("type"), x["src"].alias("src"), x["dst"].alias("dst"), props(x))).alias("relations"))
+    return both.select("library", F.to_json(F.struct("library", "nodes", "relations")).alias("json"))
+
+
+def graph_from_json(rows: DataFrame, column: str = "json") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of such documents. A document that is no JSON gives nothing; relations without both ends are left out."""
+    g = rows.select(F.from_json(column, GRAPH).alias("g")).where("g.library IS NOT NULL")
+    nodes = g.select("g.library", F.explode("g.nodes").alias("x")).select("library", "x.*").where("name IS NOT NULL")
+    edges = g.select("g.library", F.explode("g.relations").alias("x")).select("library", "x.*")
+    return nodes, edges.where("src IS NOT NULL AND dst IS NOT NULL")
+
+
+def upsert_graph(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes merged by library and name, relations by their ends and type: properties of both are united, a new value
+    replacing an old one of that name; a new label replaces an old one. Doing it twice changes nothing."""
+
+    def merged(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+        rows = old.select(*keys, *values, F.to_json("props").alias("p"), F.lit(0).alias("turn")).unionByName(new.select(*keys, *values, F.to_json("props").alias("p"), F.lit(1).alias("turn")))
+        last = rows.groupBy(*keys).agg(*(F.max(F.struct("turn", c)).alias(f"m_{c}") for c in values), F.max(F.when(F.col("turn") == 0, F.col("p"))).alias("before"), F.max(F.when(F.col("turn") == 1, F.col("p"))).alias("after"))
+        as_map = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+        before, after = as_map("before"), as_map("after")
+        props = F.map_concat(F.map_filter(before, lambda k, v: ~F.map_contains_key(after, k)), after)
+        return last.select(*keys, *(F.col(f"m_{c}.{c}").alias(c) for c in values), F.when(F.size(props) > 0, props).alias("props"))
+
+    return merged(nodes, new_nodes, ["library", "name"], ["label"]), merged(edges, new_edges, ["library", "type", "src", "dst"], ["seq"])
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """old with the rows of new: a key in both has the new row, a key twice in one table one of its rows (the greatest)."""
     values = [c for c in old.columns if c not in keys]

@@ -3,19 +3,44 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of stored tables that still stand.
+_stored: list[str] = []
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir; a temporary one only where the session names none (local runs)."""
-    spark = df.sparkSession
-    shared_folder(spark)
-    return df.checkpoint()
+    """df written as Parquet to the shared folder and read again: its lineage is cut, and the reader has sizes and prunes columns."""
+    return stored(df)[0]
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """As checkpointed(), with the folder, which remove() takes once nothing reads it any more."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A folder for one table in the shared folder."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    _stored.append(path)
+    return path
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Removes these stored tables, or all that still stand; call it when the results built on them are stored."""
+    for path in paths or tuple(_stored):
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        if path in _stored:
+            _stored.remove(path)
 
 
 def shared_folder(spark: SparkSession) -> str:

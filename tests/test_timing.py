@@ -2,17 +2,50 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from netloom.sources.tables import checkpointed
 from netloom.operators import analog, congestion, mapping, messages, timing
 from netloom.operators.netlist import Netlist, nodes_from_events
-from netloom.plans.advice_queries import ASSIGNS, BENCH, VERILOG
 from netloom.sources import netlists
 from netloom.sources.tables import table
 from netloom.streaming import events as streams
 
 
+# Small texts of the three dialects.
+BENCH = """# small
+INPUT(a)
+INPUT(b)
+INPUT(c)
+OUTPUT(y)
+n1 = NAND(a, b)
+n2 = NOT(c)
+n3 = NAND(a, b, c, n1)
+q1 = DFF(n3)
+y = AND(n2, q1)
+junk line
+"""
+VERILOG = """// two gates
+module m (a, b, y);
+input a, b; output y;
+/* block
+comment */ nand NAND2_1 (n1, a,
+ b);
+not (y, n1);
+endmodule
+"""
+ASSIGNS = """module t ( \\a[0] , \\b , y );
+input \\a[0] , \\b ;
+output y, z;
+assign n1 = ~\\a[0] & \\b ;
+assign n2 = n1 | ~\\b ;
+assign y = ~n2;
+assign z = n1;
+endmodule
+"""
+
+
 def _random_graph(spark, seed):
     rng, n = random.Random(seed), 30
     arcs = sorted({(1, rng.randrange(j), j) for j in range(4, n) for _ in range(2)})
@@ -28,7 +61,7 @@ def test_three_strategies_agree(spark):
     for _, a, b, _, w in sorted(rows, key=lambda r: -r[1]):
         suffix[a] = max(suffix[a], suffix[b] + w)
     want = [(i, round(at[i], 9), depth[i], round(suffix[i], 9)) for i in range(n)]
-    for method in ("fold", "grouped", "relax"):
+    for method in ("fold", "grouped", "peel"):
         got = sorted((r.idx, round(r.at, 9), r.depth, round(r.suffix, 9)) for r in timing.propagate(nodes, arcs, method).collect())
         assert got == want, method
 
@@ -52,6 +85,65 @@ def test_cycle_members_stay_unplaced(spark):
     assert {r.idx: r.level for r in timing.levels(nodes, edges).collect()} == {0: 0, 1: -1, 2: -1, 3: -1}
 
 
+def _cyclic(spark, seed):
+    """Random arcs in any direction, with a cycle and nodes behind it, and a circuit of arcs without nodes."""
+    rng, n = random.Random(seed), 40
+    rows = sorted({(1, *sorted(rng.sample(range(n), 2)), rng.random(), rng.random()) for _ in range(45)}) + [(1, 20, 5, 0.5, 0.5), (1, 5, 20, 0.25, 0.5), (1, 33, 33, 0.1, 0.1), (1, 2, 99, 0.1, 0.1), (2, 0, 1, 0.1, 0.1)]
+    return spark.createDataFrame([(1, i) for i in range(n)] + [(3, 0)], "circuit_id long, idx long"), spark.createDataFrame(rows, "circuit_id long, drv long, snk long, fwd double, bwd double"), rows, n
+
+
+def test_cycles_end_and_get_defaults(spark, monkeypatch):
+    """By brute force, in one task and by joins."""
+    nodes, arcs, rows, n = _cyclic(spark, 5)
+    into = {b: [r for r in rows if r[0] == 1 and r[2] == b and r[1] < n] for b in range(n)}
+    order = []
+    while more := [b for b in range(n) if b not in order and all(r[1] in order for r in into[b])]:
+        order += more
+    assert 5 not in order and 33 not in order and len(order) > 10
+    at, depth, suffix = [0.0] * n, [0] * n, [0.0] * n
+    for b in order:
+        for _, a, _, f, _ in into[b]:
+            at[b], depth[b] = max(at[b], at[a] + f), max(depth[b], depth[a] + 1)
+    for b in reversed(order):
+        for _, a, _, _, w in into[b]:
+            suffix[a] = max(suffix[a], suffix[b] + w)
+    want = sorted([(1, i, round(at[i], 9), depth[i], round(suffix[i], 9), i in order) for i in range(n)] + [(3, 0, 0.0, 0, 0.0, True)])
+    for size in (2, 5000):
+        monkeypatch.setattr(timing, "TASK_NODES", size)
+        got = sorted((r.circuit_id, r.idx, round(r.at, 9), r.depth, round(r.suffix, 9), r.placed) for r in timing.propagate(nodes, arcs).collect())
+        assert got == want, size
+        lev = {(r.circuit_id, r.idx): r.level for r in timing.levels(nodes, arcs).collect()}
+        assert lev == {(c, i): d if p else -1 for c, i, _, d, _, p in want}
+        timed = checkpointed(timing.propagate(nodes, arcs))
+        path = timing.critical_path(timed, arcs, nodes.where("circuit_id = 1")).collect()  # ends although the arcs have cycles
+        assert {r.idx for r in path} == set(range(n))
+
+
+def test_queries_over_cycles_by_joins(spark, small, monkeypatch):
+    """All circuits by joins give the rows of one task each."""
+    from netloom.plans import ingest_queries
+
+    one = sorted(ingest_queries.cyclic_sta(spark, small).collect())
+    monkeypatch.setattr(timing, "TASK_NODES", 2)
+    assert sorted(ingest_queries.cyclic_sta(spark, small).collect()) == one
+
+
+def test_a_long_chain_is_quick(spark):
+    """Levels and cones look at each edge once, so a chain is not quadratic."""
+    n = 100_000
+    a = np.arange(n)
+    assert (timing.topological_levels(a[:-1], a[1:], n) == a).all()
+
+
+def test_stored_tables_can_be_removed(spark):
+    from netloom.sources import tables
+
+    df, path = tables.stored(spark.range(5))
+    assert df.count() == 5 and path in tables._stored
+    tables.remove(spark, path)
+    assert path not in tables._stored
+
+
 def test_derived_netlist_checksums(spark):
     n = Netlist(nodes_from_events(table(spark, "/root/testdata/sf0.01", "events")))
     assert (n.nodes.count(), n.edges.count(), n.nets.count()) == (10_000, 18_800, 8_556)
