@@ -69,6 +69,12 @@ def estimate_cgs(w: Column, length: Column) -> Column:
     return (2.0 / 3.0) * COX * w * length
 
 
+def device_cap() -> Column:
+    """A device's own capacitance: its Cgs if that is neither null nor 0, else the estimate from width and length, else the input
+    capacitance of a device that has no gate."""
+    return F.coalesce(F.nullif("cgs", F.lit(0.0)), estimate_cgs(F.col("w"), F.col("l")), "input_cap")
+
+
 def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import library as lib
 
@@ -48,13 +48,14 @@ def small_signal(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     gain = F.lit(0.0)
     for name, mobility, lam in (("NMOS", lib.MU_N, lib.LAMBDA_N), ("PMOS", lib.MU_P, lib.LAMBDA_P)):
         gain = F.when(F.col("device") == name, lib.estimate_gm(F.lit(mobility), F.col("w"), F.col("l"), bias) / (lam * bias)).otherwise(gain)
-    d = d.select("circuit_id", "idx", "device", "cgd", F.coalesce("gm", F.lit(0.0)).alias("gm"), F.coalesce("cgs", "input_cap").alias("own"), gain.alias("gain"))
+    d = d.select("circuit_id", "idx", "device", "cgd", F.coalesce("gm", F.lit(0.0)).alias("gm"), lib.device_cap().alias("own"), gain.alias("gain"))
     sink = d.select("circuit_id", F.col("idx").alias("snk"), F.col("own").alias("sink_cap"), F.coalesce("cgd", F.lit(0.0)).alias("sink_cgd"))
     around = edges.join(sink, ["circuit_id", "snk"]).groupBy("circuit_id", F.col("drv").alias("idx")).agg(F.sum("sink_cap").alias("caps"), F.sum("sink_cgd").alias("coupling"))
     s = d.join(around, ["circuit_id", "idx"], "left")
     load = F.col("own") + F.coalesce("caps", F.lit(0.0)) + 1e-18
     s = s.withColumn("gbw", F.when(F.col("gm") > 0, F.log10(F.greatest(F.col("gm") / load / (2.0 * math.pi), F.lit(1.0)))).otherwise(F.lit(0.0)))
     s = s.withColumn("par", F.coalesce("coupling", F.lit(0.0)) + F.col("own"))
-    w = Window.partitionBy("circuit_id")
-    score, impact = F.col("gbw") / F.greatest(F.max("gbw").over(w), F.lit(1.0)), F.col("par") / F.greatest(F.max("par").over(w), F.lit(1e-18))
+    tops = s.groupBy("circuit_id").agg(F.greatest(F.max("gbw"), F.lit(1.0)).alias("top_gbw"), F.greatest(F.max("par"), F.lit(1e-18)).alias("top_par"))
+    s = s.join(tops, "circuit_id")
+    score, impact = F.col("gbw") / F.col("top_gbw"), F.col("par") / F.col("top_par")
     return s.select("circuit_id", "idx", "device", "gm", F.round("gain", 9).alias("intrinsic_gain"), F.round("gbw", 9).alias("gbw_log10_hz"), F.round(score, 9).alias("gbw_score"), F.round(impact, 9).alias("parasitic_impact"), ((F.col("gm") > 0) & (impact > 0.5) & (score < 0.5)).alias("bandwidth_limited"))

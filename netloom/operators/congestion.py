@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.library import DRC_DEMAND
 
@@ -19,5 +19,6 @@ def node_labels(nodes: DataFrame, grid: DataFrame) -> DataFrame:
     """Demand, congestion (demand over the greatest of the circuit's nodes) and hotspot flag of each node."""
     placed = nodes.select("circuit_id", "idx", F.col("x").alias("gx"), F.col("y").alias("gy")).join(grid, ["circuit_id", "gx", "gy"], "left")
     placed = placed.withColumn("demand", F.coalesce("demand", F.lit(0.0)))
-    top = F.greatest(F.max("demand").over(Window.partitionBy("circuit_id")), F.lit(1e-6))
+    tops = placed.groupBy("circuit_id").agg(F.greatest(F.max("demand"), F.lit(1e-6)).alias("top"))  # no window: a circuit may be large
+    top, placed = F.col("top"), placed.join(tops, "circuit_id")
     return placed.select("circuit_id", "idx", "demand", F.round(F.col("demand") / top, 9).alias("congestion"), (F.col("demand") > DRC_DEMAND).cast("double").alias("drc"))

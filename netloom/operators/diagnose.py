@@ -79,7 +79,7 @@ def recommendations(b: DataFrame, edges: DataFrame, fixes: DataFrame, process_no
     for other in (outcomes, rules, clashes):
         f = f.join(other, "fix", "left")
     empty = F.array().cast("array<string>")
-    f = f.select("violation", "fix", "effort", F.coalesce("outcomes", empty).alias("outcomes"), F.coalesce("conflicts", empty).alias("conflicts"), F.slice(F.coalesce("rules", empty), 1, 2).alias("rules"))
+    f = f.select("violation", "fix", "seq", "effort", F.coalesce("outcomes", empty).alias("outcomes"), F.coalesce("conflicts", empty).alias("conflicts"), F.slice(F.coalesce("rules", empty), 1, 2).alias("rules"))
     return b.join(F.broadcast(f), "violation").withColumn("confidence", F.round(confidence(F.col("severity"), F.col("effort")), 9))
 
 
@@ -146,8 +146,8 @@ def advisories(reconciled: DataFrame) -> DataFrame:
 
 
 def confidence_map(recs: DataFrame) -> DataFrame:
-    """(circuit_id, task, confidence): of a task's recommendations the last one's, in order of fixes."""
-    return recs.groupBy("circuit_id", "task").agg(F.max_by("confidence", "fix").alias("confidence"), F.count("*").alias("n"))
+    """(circuit_id, task, confidence): of a task's recommendations the last one's, in the order in which the graph gives the fixes."""
+    return recs.groupBy("circuit_id", "task").agg(F.max_by("confidence", "seq").alias("confidence"), F.count("*").alias("n"))
 
 
 def task_summary(p: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import library as lib
 
@@ -68,7 +68,8 @@ def labels(slacks: DataFrame, placed: DataFrame) -> DataFrame:
 def augment(arcs: DataFrame, noise: float = 0.05) -> DataFrame:
     """Edges with noise in proportion to the circuit's spread, a twentieth of them dropped; both by an integer hash."""
     wire = F.col("wire_delay") / lib.WIRE_REF
-    spread = F.stddev_pop(wire).over(Window.partitionBy("circuit_id"))
+    spreads = arcs.groupBy("circuit_id").agg(F.stddev_pop(wire).alias("spread"))
+    arcs, spread = arcs.join(spreads, "circuit_id"), F.col("spread")
     swing = ((F.col("drv") * 7919 + F.col("snk") * 104729) % 2001) / 1000.0 - 1.0
     noisy = arcs.select("circuit_id", "drv", "snk", F.round(wire + noise * spread * swing, 9).alias("wire_f"))
     return noisy.where("(drv * 31 + snk * 17 + circuit_id) % 20 <> 0")

@@ -29,9 +29,3 @@ def losses(rows: DataFrame, cap: float = 20.0) -> DataFrame:
     of_neg = F.sum(F.when(y == 1, F.lit(0.0)).otherwise(bce(z, y)))
     p = 1.0 / (1.0 + F.exp(-z))
     return rows.agg(F.round(F.avg(bce(z, y)), 9).alias("bce"), F.round((weight * of_pos + of_neg) / n, 9).alias("weighted_bce"), F.round(F.avg(focal(z, y)), 9).alias("focal"), F.round(F.avg((p - y) * (p - y)), 9).alias("mse"), F.round(F.avg(huber(z - y)), 9).alias("huber"))
-
-
-def multitask(parts: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Weighted sum of one-row losses named by task; a task without a weight gets an equal share."""
-    columns = parts.columns
-    return parts.select(sum((F.col(c) * weights.get(c, 1.0 / len(columns)) for c in columns[1:]), F.col(columns[0]) * weights.get(columns[0], 1.0 / len(columns))).alias("loss"))

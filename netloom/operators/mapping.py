@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.functions import udtf
 
 # Functions that one library cell covers, by number of inputs.
 DIRECT = {("NAND", 2): "NAND2_X1", ("NAND", 3): "NAND3_X1", ("NOR", 2): "NOR2_X1", ("NOR", 3): "NOR3_X1", ("AND", 2): "AND2_X1", ("OR", 2): "OR2_X1", ("XOR", 2): "XOR2_X1", ("XNOR", 2): "XNOR2_X1"}
@@ -54,3 +55,34 @@ def wire(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
     drivers = every.where("signal IS NOT NULL").groupBy("name", "signal").agg(F.min("idx").alias("drv"))
     pins = every.select("name", F.col("idx").alias("snk"), F.explode("pins").alias("signal"))
     return every.select("name", "idx", "role", "node_type", "signal"), pins.join(drivers, ["name", "signal"]).select("name", "drv", "snk")
+
+
+@udtf(returnType="cell_no: int, cell: string, out: string, ins: array<string>")
+class GateTree:
+    """Table function: the cells of one gate (output, function, inputs), any number of inputs, as decompose() gives them."""
+
+    def eval(self, out: str, func: str, ins: list[str]):
+        func, k = (func or "").upper(), len(ins or [])
+        if not k:
+            return
+        direct = "INV_X1" if func in ("NOT", "INV") else "BUF_X1" if func in ("BUF", "BUFF", "BUFFER") or k == 1 else DIRECT.get((func, k))
+        if direct:
+            yield 0, direct, out, ins[:1] if direct in ("INV_X1", "BUF_X1") else ins
+            return
+        base = "OR2_X1" if func in ("OR", "NOR") else "XOR2_X1" if func in ("XOR", "XNOR") else "AND2_X1"
+        number, level, ins = 0, 0, list(ins)
+        while len(ins) > 2:
+            made = [f"w_{out}_{level}_{i}" for i in range(len(ins) // 2)]
+            for i, name in enumerate(made):
+                yield number + i, base, name, ins[2 * i : 2 * i + 2]
+            number, level, ins = number + len(made), level + 1, made + ins[2 * len(made) :]
+        inverted = func in ("NAND", "NOR", "XNOR")
+        yield number, base, f"w_{out}" if inverted else out, ins
+        if inverted:
+            yield number + 1, "INV_X1", out, [f"w_{out}"]
+
+
+def gate_trees(gates: DataFrame) -> DataFrame:
+    """(name, gate, cell_no, cell, out, ins) of gates (name, out, func, ins) by the table function, joined laterally."""
+    cells = GateTree(F.col("out").outer(), F.col("func").outer(), F.col("ins").outer())
+    return gates.select("name", F.col("out"), "func", "ins").lateralJoin(cells.toDF("cell_no", "cell", "cell_out", "cell_ins")).select("name", F.col("out").alias("gate"), "cell_no", "cell", F.col("cell_out").alias("out"), F.col("cell_ins").alias("ins"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: 512 and 50 tokens at 1.3 tokens a word.
@@ -21,16 +23,41 @@ def tokens(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return each.groupBy(key, "token").agg(F.count("*").alias("tf"))
 
 
-def keyword_topk(queries: DataFrame, docs: DataFrame, query: str, doc: str, k: int) -> DataFrame:
-    """The k documents with the greatest shared token counts; ties go to the larger id.
+def keyword_topk(queries: DataFrame, docs: DataFrame, query: str, doc: str, k: int, first: int = 1 << 16) -> DataFrame:
+    """The k documents with the greatest shared token counts, min(tf) summed over tokens; ties go to the larger id. Exact.
 
-    An equi-join on the token: only documents that share a token with a query are scored. Up to BROADCAST token rows of the
-    queries are counted and sent to every task, so that no token of the documents is shuffled; more are joined by shuffle.
+    A query's tokens are taken from the rarest on, as long as no more than `first` documents hold them in sum, and at least
+    one. What the other tokens can add is at most the sum of their counts in the query: while that could lift a document
+    that was not seen yet to the k-th place, eight times as many documents are allowed. Frequent tokens are then looked up
+    for those documents alone that can still reach the k-th place, so no row is made for all that share a frequent token.
     """
-    q, d = queries.withColumnRenamed("tf", "q_tf"), docs.withColumnRenamed("tf", "d_tf")
-    if q.limit(BROADCAST + 1).count() <= BROADCAST:
-        q = F.broadcast(q)
-    scores = d.join(q, "token").groupBy(query, doc).agg(F.sum(F.least("q_tf", "d_tf")).alias("score"))
+    from ..sources.tables import checkpointed
+
+    q, d = checkpointed(queries.select(query, "token", F.col("tf").alias("q_tf"))), checkpointed(docs.select(doc, "token", F.col("tf").alias("d_tf")))
+
+    def small(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if rows.limit(BROADCAST + 1).count() <= BROADCAST else rows
+
+    held = d.join(small(q.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("held"))
+    rising = Window.partitionBy(query).orderBy("held", "token").rowsBetween(Window.unboundedPreceding, -1)  # the tokens of one query
+    ranked = checkpointed(q.join(held, "token").withColumn("before", F.coalesce(F.sum("held").over(rising), F.lit(0))))
+    score = F.sum(F.least("q_tf", "d_tf"))
+    able, far = [], []
+    while True:
+        near = (F.col("before") == 0) | (F.col("before") + F.col("held") <= first)
+        found = checkpointed(d.join(small(ranked.where(near).select(query, "token", "q_tf")), "token").groupBy(query, doc).agg(score.alias("part")))
+        place = Window.partitionBy(query).orderBy(F.desc("part"))
+        kth = found.withColumn("r", F.row_number().over(place)).where(F.col("r") == k).select(query, F.col("part").alias("least"))
+        sums = ranked.groupBy(query).agg(F.coalesce(F.sum(F.when(~near, F.col("q_tf"))), F.lit(0)).alias("more")).join(kth, query, "left")
+        bounds = checkpointed(sums.select(query, "more", F.coalesce("least", F.lit(0)).alias("least")).withColumn("open", (F.col("more") > 0) & (F.col("more") >= F.col("least"))))
+        able.append(found.join(bounds.where("NOT open"), query).where(F.col("part") + F.col("more") >= F.col("least")).select(query, doc, "part"))
+        far.append(ranked.where(~near).join(bounds.where("NOT open").select(query), query, "left_semi").select(query, "token", "q_tf"))
+        if bounds.where("open").isEmpty():
+            break
+        ranked, first = checkpointed(ranked.join(bounds.where("open").select(query), query, "left_semi")), first * 8
+    able, far = (functools.reduce(DataFrame.unionByName, parts) for parts in (able, far))
+    late = d.join(able.select(query, doc), doc).join(far, [query, "token"]).groupBy(query, doc).agg(score.alias("late"))
+    scores = able.join(late, [query, doc], "left").select(query, doc, (F.col("part") + F.coalesce("late", F.lit(0))).alias("score"))
     order = Window.partitionBy(query).orderBy(F.desc("score"), F.desc(doc))
     return scores.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select(query, doc, "score", "rank")
 

@@ -157,12 +157,17 @@ def epfl_parse(spark, sf_dir):
     return _statements(netlists.parse_assigns(_written(spark, sf_dir, dialects.assigns)))
 
 
-def gate_decompose(spark, sf_dir):
-    """Cells and pins of a gate of one to 64 inputs for each part."""
+def part_gates(spark, sf_dir) -> DataFrame:
+    """A gate of one to 64 inputs for each part, as a statement."""
     k = (F.col("p_partkey") % 64 + 1).cast("int")
     func = F.element_at(F.array(*map(F.lit, ("NAND", "AND", "XOR", "NOR"))), (F.col("p_partkey") % 4 + 1).cast("int"))
-    gates = table(spark, sf_dir, "part").select(F.lit("g").alias("name"), F.lit(0).alias("seq"), F.lit("gate").alias("kind"), F.concat(F.lit("o"), "p_partkey").alias("out"), func.alias("func"), F.transform(F.sequence(F.lit(1), k), lambda j: F.concat(F.lit("i"), j.cast("string"))).alias("ins"))
-    cells = mapping.decompose(gates)
+    pins = F.transform(F.sequence(F.lit(1), k), lambda j: F.concat(F.lit("i"), j.cast("string")))
+    return table(spark, sf_dir, "part").select(F.lit("g").alias("name"), F.lit(0).alias("seq"), F.lit("gate").alias("kind"), F.concat(F.lit("o"), "p_partkey").alias("out"), func.alias("func"), pins.alias("ins"))
+
+
+def gate_decompose(spark, sf_dir):
+    """Cells and pins of the gates of all parts."""
+    cells = mapping.decompose(part_gates(spark, sf_dir))
     return cells.groupBy("gate").agg(F.count("*").alias("cells"), F.sum(F.size("ins")).cast("long").alias("pins"), F.sum((F.col("cell") == "INV_X1").cast("long")).alias("inverters"))
 
 

@@ -204,7 +204,7 @@ ORACLE_SQL = {
     ),
     "task_summary": sql("SELECT circuit_id, task, min(v) AS least, round(avg(v), 6) AS mean, max(v) AS greatest FROM (SELECT circuit_id, 'slack' AS task, slack AS v FROM preds UNION ALL SELECT circuit_id, 'congestion', congestion FROM preds UNION ALL SELECT circuit_id, 'drc', prob FROM preds) GROUP BY ALL", _P),
     "advisories": sql("SELECT circuit_id, 'ppa' AS task, fix, 0.5e0 AS confidence, fix || ' conflicts with ' || replace(clashing, ',', ', ') AS advice FROM recon WHERE clashing <> ''", _RECS),
-    "confidence_map": sql("SELECT circuit_id, task, arg_max(confidence, fix) AS confidence, count(*) AS n FROM recs GROUP BY ALL", _RECS),
+    "confidence_map": sql("SELECT circuit_id, task, arg_max(confidence, seq) AS confidence, count(*) AS n FROM recs r JOIN kg_edges e ON e.type = 'RESOLVED_BY' AND e.src = r.violation AND e.dst = r.fix GROUP BY ALL", _RECS),
     "graph_payload": sql("SELECT circuit_id, n_nodes, n_edges, links FROM (SELECT circuit_id, count(*) AS n_nodes FROM nodes GROUP BY 1) JOIN (SELECT circuit_id, count(*) AS n_edges, string_agg(drv || '>' || snk, ',' ORDER BY drv, snk) AS links FROM edges GROUP BY 1) USING (circuit_id)"),
     "hybrid_facts": f"WITH {_LIB_FACTS} SELECT violation, rank, subject, relation, object FROM facts",
     "hybrid_answer": f"WITH {_FACTS}, kinds AS (SELECT violation, row_number() OVER (ORDER BY violation) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT violation FROM facts)), hits AS ({_HITS}), near AS ({text._knn('q.vec_id <> e.vec_id', 3)}), found AS (SELECT item_id AS request, 0 AS part, rank, 'text' AS source, doc_id::VARCHAR AS ref FROM hits UNION ALL SELECT item_id, 1, rank, 'fact', subject || ' ' || relation || ' ' || object FROM benchmark JOIN kinds ON k = item_id % n JOIN facts USING (violation) UNION ALL SELECT item_id, 2, rank, 'circuit', vec_id::VARCHAR FROM benchmark JOIN near ON query_id = item_id * 20) SELECT request, row_number() OVER (PARTITION BY request ORDER BY part, rank, ref) AS position, source, ref FROM found",
