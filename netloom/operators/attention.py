@@ -131,3 +131,56 @@ def fused_embedding(timing: DataFrame, features: DataFrame, places: DataFrame, a
         h = gps_block(h, arcs, part, heads, block)
     both = timing.withColumnRenamed("v", "t").join(h, keys)
     return mapped(both, lambda t, v: two_layers(np.concatenate([t, layer_norm(v)], 1), w, "fuse"), "t", "v")
+
+
+def edge_attention(vectors: DataFrame, edges: DataFrame, w: dict[str, np.ndarray], heads: int, slope: float = 0.2, matching: int | None = None) -> DataFrame:
+    """(circuit_id, idx, v): for each head the driver vectors of a node, weighed by a softmax over its edges.
+
+    edges: circuit_id, drv, snk, e array<double>; two edges between the same ends are weighed apart. A score is the sum of
+    w["a"] (a row for each head) times the leaky-rectified sum of driver (w["l"]), sink (w["r"]) and edge (w["e"]) projections,
+    plus w["symmetry"] of the head times column `matching` of the edge. A node without drivers gets zeros.
+    """
+    size = w["l"].shape[0]
+    ends = edges.select("circuit_id", "drv", F.col("snk").alias("idx"), "e")
+    ends = ends.join(vectors.select("circuit_id", F.col("idx").alias("drv"), F.col("v").alias("x")), ["circuit_id", "drv"]).join(vectors.select("circuit_id", "idx", F.col("v").alias("y")), ["circuit_id", "idx"])
+
+    def scored(x, y, e):
+        sent = x @ w["l"].T
+        z = sent + y @ w["r"].T + e @ w["e"].T
+        z = np.where(z > 0, z, slope * z).reshape(len(z), heads, -1)
+        score = (z * w["a"]).sum(2)
+        if matching is not None:
+            score = score + w["symmetry"] * e[:, [matching]]
+        return np.concatenate([score, sent], 1)
+
+    rows = mapped(ends, scored, "x", "y", "e")
+    node = Window.partitionBy("circuit_id", "idx")  # the drivers of one node
+    rows = rows.select("*", *(F.max(F.col("v")[h]).over(node).alias(f"m{h}") for h in range(heads)))
+    weight = [F.exp(F.col("v")[h] - F.col(f"m{h}")) for h in range(heads)]
+    totals = [F.sum(x) for x in weight]
+    got = rows.groupBy("circuit_id", "idx").agg(F.array(*(F.sum(F.col("v")[heads + k] * weight[k * heads // size]) / totals[k * heads // size] for k in range(size))).alias("v"))
+    return vectors.select("circuit_id", "idx").join(got, ["circuit_id", "idx"], "left").select("circuit_id", "idx", F.coalesce("v", F.array_repeat(F.lit(0.0), size)).alias("v"))
+
+
+def attention_stack(vectors: DataFrame, edges: DataFrame, layers: list[dict[str, np.ndarray]], heads: int, matching: int | None = None, epsilon: float = 1e-5) -> DataFrame:
+    """Layers of edge_attention(), each normalised over all nodes and rectified exponentially; from the second on the layer's
+    input is added, so all later layers have one width."""
+    from ..sources.tables import checkpointed
+
+    for k, w in enumerate(layers):
+        size = w["l"].shape[0]
+        out = checkpointed(edge_attention(vectors, edges, w, heads, matching=matching))
+        moments = out.agg(*(F.avg(F.col("v")[i]) for i in range(size)), *(F.var_pop(F.col("v")[i]) for i in range(size))).first()  # two numbers for each dimension
+        mean, var = (np.array([x or 0.0 for x in part]) for part in (moments[:size], moments[size:]))
+
+        def rectified(v, before=None, mean=mean, var=var):
+            z = (v - mean) / np.sqrt(var + epsilon)
+            z = np.where(z > 0, z, np.expm1(np.minimum(z, 0)))
+            return z if before is None else z + before
+
+        if k:
+            vectors = mapped(out.join(vectors.withColumnRenamed("v", "before"), ["circuit_id", "idx"]), rectified, "v", "before")
+        else:
+            vectors = mapped(out, rectified)
+        vectors = checkpointed(vectors)
+    return vectors

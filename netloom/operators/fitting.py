@@ -95,6 +95,11 @@ class Model:
 
         return rows.mapInArrow(run, "circuit_id long, idx long, " + ", ".join(f"pred_{t} double" for t in tasks))
 
+    def flagged(self, rows: DataFrame, threshold: float = 0.85) -> DataFrame:
+        """predict() with a 0/1 flag for each probability that is above the threshold."""
+        found = self.predict(rows)
+        return found.withColumns({f"flag_{t}": (F.col(f"pred_{t}") > threshold).cast("int") for t in self.network.tasks if t not in NS})
+
     def save(self, spark: SparkSession, path: str) -> None:
         """Parameters and scales as one file of JSON lines."""
         n = self.network

@@ -182,6 +182,16 @@ def slack(timing: DataFrame, nodes: DataFrame, factors=(1.2,)) -> DataFrame:
     return t.withColumn("is_critical", (F.col("slack") <= CRITICAL_NS) & F.col("placed"))
 
 
+def sampled_clocks(timing: DataFrame, nodes: DataFrame, per_circuit: int = 3, low: float = 0.7, width: float = 0.6) -> DataFrame:
+    """As slack(), for `per_circuit` clocks of each circuit (clock_no), whose factors lie between low and low + width by an
+    integer hash of the circuit and the number: the same propagation labelled under several clocks."""
+    draw = F.pmod(F.col("circuit_id") * 7919 + F.col("clock_no") * 104_729, F.lit(601)) / 600.0
+    clocks = default_clock(timing, nodes).withColumn("clock_no", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(per_circuit - 1).cast("long")))).withColumn("factor", low + width * draw)
+    t = timing.join(clocks.withColumn("clock", F.greatest(F.col("max_at") * F.col("factor"), F.lit(1e-3))), "circuit_id")
+    t = t.withColumns({"required": F.round(F.col("clock") - F.col("suffix"), DIGITS), "slack": F.round(F.col("clock") - F.col("suffix") - F.col("at"), DIGITS)})
+    return t.withColumn("is_critical", (F.col("slack") <= CRITICAL_NS) & F.col("placed"))
+
+
 def summary(slacks: DataFrame) -> DataFrame:
     keys = ["circuit_id", "factor"]
     return slacks.groupBy(*keys).agg(F.round(F.max("clock"), DIGITS).alias("clock_period_ns"), F.round(F.max("max_at"), DIGITS).alias("max_arrival_time_ns"), F.coalesce(F.min(F.when(F.col("placed"), F.col("slack"))), F.lit(0.0)).alias("min_slack_ns"), F.sum(F.col("is_critical").cast("long")).alias("num_critical_nodes"), F.count("*").alias("num_nodes"))

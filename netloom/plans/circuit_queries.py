@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.library import CELLS_SQL, CRITICAL_NS, DEVICES_SQL, sql_values
-from ..operators import analog_nets, cones, features, fitting, generate, numbering, timing
+from ..operators import analog_nets, attention, cones, features, fitting, generate, numbering, timing
 from ..operators.index import CELLS, TextStore, VectorIndex
 from ..operators.netlist import Netlist, placed
 from ..sources.tables import checkpointed, new_folder, table
 from . import text_queries as text
 from .netlist_queries import _labels, netlist, timed
 from .netlist_sql import CTES, sql
-from .network_queries import EDGE_FEATURES, FEATURES, TASKS, fitted
+from .network_queries import EDGE_FEATURES, FEATURES, TASKS, _dot, _weights, fitted
 
 CLOCK, INPUTS, OUTPUTS = 0.95, 4, 2
 
@@ -49,6 +50,14 @@ def cone_slacks(spark, sf_dir):
     return _cone_slacks(_cones(spark, sf_dir)[1]).select("circuit_id", "idx", F.round("at", 13).alias("arrival_time"), "required", "slack", "is_critical")
 
 
+def cone_clocks(spark, sf_dir):
+    """Every cone under three sampled clocks: what a training set of cones by clocks is labelled with."""
+    cut = _cones(spark, sf_dir)[1]
+    cut.arcs = checkpointed(cut.arcs)
+    s = timing.sampled_clocks(checkpointed(timing.propagate(cut.nodes, cut.arcs)), cut.nodes)
+    return s.groupBy("circuit_id", "clock_no").agg(F.round(F.max("clock"), 13).alias("clock"), F.min("slack").alias("min_slack"), F.sum(F.col("is_critical").cast("long")).alias("n_critical"))
+
+
 def named_metrics(spark, sf_dir):
     """How well the timing of a node in its whole circuit tells its timing in the cones, pooled for each circuit."""
     n, t = timed(spark, sf_dir)
@@ -107,6 +116,19 @@ def analog_graph_nodes(spark, sf_dir):
     return features.analog_node_features(nodes.where("role <> 'none'"), 1.0)
 
 
+# Two layers of two heads on four node and five edge dimensions, the last of them the matching.
+_WIDE, _HEADS = 4, 2
+_LAYERS = [{"l": _weights(_WIDE, 4, k), "r": _weights(_WIDE, 4, k + 1), "e": _weights(_WIDE, 5, k + 2), "a": _weights(_HEADS, _WIDE // _HEADS, k + 3), "symmetry": np.array([0.75, -0.5])} for k in (0, 2)]
+
+
+def analog_attention(spark, sf_dir):
+    """Attention over the nets of analog circuits, with a bias for matched devices."""
+    nodes = analog_graph_nodes(spark, sf_dir).select("circuit_id", "idx", F.array("wl_f", "region_f", "symmetry_f", "is_pi").alias("v"))
+    edges = analog_net_features(spark, sf_dir).select("circuit_id", "drv", "snk", F.array("wire_f", "manhattan_f", "fanout_f", "coupling_f", "matching_f").alias("e"))
+    found = attention.attention_stack(checkpointed(nodes), checkpointed(edges), _LAYERS, _HEADS, matching=4)
+    return found.select("circuit_id", "idx", *((F.round(F.col("v")[k], 6) + 0.0).alias(f"v{k}") for k in range(_WIDE)))
+
+
 def _sizes(spark, sf_dir) -> DataFrame:
     return _seeds(spark, sf_dir).select("seed", (4 + F.col("seed") % 5).alias("inputs"), (10 + F.col("seed") % 41).alias("gates"), (2 + F.col("seed") % 3).alias("outputs"))
 
@@ -176,7 +198,7 @@ def text_store_vectors(spark, sf_dir):
     return _store(spark, sf_dir).search(q, 3)
 
 
-QUERIES = {f.__name__: f for f in (cone_nodes, cone_edges, cone_sta, cone_slacks, named_metrics, named_evaluation, event_numbers, mixed_dataset, analog_devices, analog_net_features, analog_graph_nodes, generated_summary, generated_sta, index_exact_search, index_search, index_stats, index_replaced, text_store_keywords, text_store_vectors)}
+QUERIES = {f.__name__: f for f in (cone_nodes, cone_edges, cone_sta, cone_slacks, cone_clocks, named_metrics, named_evaluation, event_numbers, mixed_dataset, analog_devices, analog_net_features, analog_graph_nodes, analog_attention, generated_summary, generated_sta, index_exact_search, index_search, index_stats, index_replaced, text_store_keywords, text_store_vectors)}
 
 
 def cone_sql(select: str, more: str = "") -> str:
@@ -217,6 +239,7 @@ ORACLE_SQL = {
     "cone_edges": cone_sql("SELECT circuit_id, drv, snk FROM edges"),
     "cone_sta": cone_sql("SELECT circuit_id, round(max(clock), 13) AS clock_period_ns, round(max(max_at), 13) AS max_arrival_time_ns, min(slack) AS min_slack_ns, count(*) FILTER (slack <= 0.05e0) AS num_critical_nodes, count(*) AS num_nodes FROM slacks WHERE factor = 0.95e0 GROUP BY circuit_id"),
     "cone_slacks": cone_sql("SELECT circuit_id, idx, round(arrival, 13) AS arrival_time, required, slack, slack <= 0.05e0 AS is_critical FROM slacks WHERE factor = 0.95e0"),
+    "cone_clocks": cone_sql("SELECT circuit_id, k AS clock_no, round(max(clock), 13) AS clock, min(slack) AS min_slack, count(*) FILTER (slack <= 0.05e0) AS n_critical FROM (SELECT *, round(clock - suffix - arrival, 13) AS slack FROM (SELECT t.*, k, greatest(max_at * (0.7e0 + 0.6e0 * (((t.circuit_id * 7919 + k * 104729) % 601) / 600e0)), 1e-3) AS clock FROM timing t JOIN clocks USING (circuit_id), range(0, 3) AS r(k))) GROUP BY circuit_id, k"),
     "named_metrics": cone_sql(
         _NUMBER.format(name="slack", p="pred_slack", t="slack") + " UNION ALL " + _NUMBER.format(name="arrival_time", p="pred_at", t="at_")
         + " UNION ALL SELECT c.parent, 'critical_path', c.n, NULL::DOUBLE, NULL::DOUBLE, CASE WHEN ps > 0 AND qs > 0 THEN round(area / (ps * qs), 9) END, CASE WHEN 2 * tp + fp + fn > 0 THEN round(2 * tp / (2 * tp + fp + fn), 6) END FROM cells c JOIN areas USING (parent)",
@@ -236,3 +259,28 @@ ORACLE_SQL = {
     "index_replaced": "SELECT vec_id, round(CASE WHEN vec_id % 3 = 0 THEN -list_min(embedding)::DOUBLE ELSE list_max(embedding)::DOUBLE END, 6) AS top, round(CASE WHEN vec_id % 3 = 0 THEN -list_max(embedding)::DOUBLE ELSE list_min(embedding)::DOUBLE END, 6) AS low, CASE WHEN vec_id % 3 = 0 THEN 3 WHEN vec_id % 4 = 0 THEN 2 ELSE 1 END::BIGINT AS segment FROM embeddings",
     "text_store_keywords": text.ORACLE_SQL["keyword_topk"],
 }
+
+
+def _attention_layer(k: int, of: str) -> str:
+    """Tables that end with n<k>: one layer over the vectors v0.. of `of` and the edges aefs."""
+    w, d, src, dst = _LAYERS[k], _WIDE // _HEADS, [f"s.v{j}" for j in range(4)], [f"t.v{j}" for j in range(4)]
+    e = ["wire_f", "manhattan_f", "fanout_f", "coupling_f", "matching_f"]
+    sent = ", ".join(f"{_dot(w['l'][j], src)} AS l{j}, {_dot(w['r'][j], dst)} + {_dot(w['e'][j], e)} AS r{j}" for j in range(_WIDE))
+    leaky = lambda j: f"w_[{j + 1}] * (CASE WHEN l{j} + r{j} > 0 THEN l{j} + r{j} ELSE 0.2e0 * (l{j} + r{j}) END)"
+    flat = "[" + ", ".join(f"{float(x)!r}::DOUBLE" for x in w["a"].ravel()) + "]"
+    scores = ", ".join("(" + " + ".join(leaky(j) for j in range(h * d, (h + 1) * d)) + f") + {float(w['symmetry'][h])!r}::DOUBLE * matching_f AS s{h}" for h in range(_HEADS))
+    out = ", ".join(f"sum(exp(s{j // d} - m{j // d}) * l{j}) / sum(exp(s{j // d} - m{j // d})) AS o{j}" for j in range(_WIDE))
+    tops = ", ".join(f"max(s{h}) OVER c AS m{h}" for h in range(_HEADS))
+    norm = lambda j: f"((coalesce(o{j}, 0e0) - avg(coalesce(o{j}, 0e0)) OVER ()) / sqrt(var_pop(coalesce(o{j}, 0e0)) OVER () + 1e-5))"
+    last = ", ".join(f"CASE WHEN z{j} > 0 THEN z{j} ELSE exp(z{j}) - 1e0 END" + (f" + v{j}" if k else "") + f" AS v{j}" for j in range(_WIDE))
+    return (
+        f"e{k} AS (SELECT a.circuit_id, a.snk AS idx, matching_f, {sent}, {flat} AS w_ FROM aefs a JOIN {of} s ON s.circuit_id = a.circuit_id AND s.idx = a.drv JOIN {of} t ON t.circuit_id = a.circuit_id AND t.idx = a.snk), "
+        f"p{k} AS (SELECT *, {tops} FROM (SELECT *, {scores} FROM e{k}) WINDOW c AS (PARTITION BY circuit_id, idx)), o{k} AS (SELECT circuit_id, idx, {out} FROM p{k} GROUP BY circuit_id, idx), "
+        f"z{k} AS (SELECT x.circuit_id, x.idx, " + ", ".join(f"x.v{j}, {norm(j)} AS z{j}" for j in range(_WIDE)) + f" FROM {of} x LEFT JOIN o{k} o ON o.circuit_id = x.circuit_id AND o.idx = x.idx), n{k} AS (SELECT circuit_id, idx, {last} FROM z{k})"
+    )
+
+
+ORACLE_SQL["analog_attention"] = (
+    f"WITH aefs AS ({ORACLE_SQL['analog_net_features']}), start AS (SELECT circuit_id, idx, wl_f AS v0, region_f AS v1, symmetry_f AS v2, is_pi AS v3 FROM ({ORACLE_SQL['analog_graph_nodes']})), "
+    + _attention_layer(0, "start") + ", " + _attention_layer(1, "n0") + " SELECT circuit_id, idx, " + ", ".join(f"round(v{j}, 6) + 0e0 AS v{j}" for j in range(_WIDE)) + " FROM n1"
+)

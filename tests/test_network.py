@@ -107,6 +107,7 @@ def test_training_lowers_the_loss_and_comes_back_from_disk(spark, tmp_path):
     again = fitting.Model.load(spark, str(tmp_path / "model"))
     one, two = (sorted(map(tuple, m.predict(held).collect())) for m in (model, again))
     assert np.allclose(one, two) and len(one) == held.agg(F.sum("n")).first()[0]
+    assert all(r.flag_critical == (r.pred_critical > 0.85) for r in again.flagged(held).collect())
     losses = again.sums(held, {t: 1.0 for t in tasks}, 1, 1, None, gradient=False)[0]
     assert best["validation"] < history[0]["validation"] and all(v >= 0 for v in losses.values())
     both = model.predict(held).join(nodes.withColumn("idx", F.expr("idx div 10")), ["circuit_id", "idx"])
@@ -172,6 +173,25 @@ def test_attention_is_the_same_in_blocks_of_any_size(spark):
     assert attention.global_attention(df.limit(0), w, 4).count() == 0
 
 
+def test_edge_attention_by_hand(spark):
+    """Two heads, a bias for matched edges, parallel edges weighed apart, and a node without drivers."""
+    rng = np.random.default_rng(4)
+    v, w = rng.normal(size=(4, 3)), {"l": rng.normal(size=(4, 3)), "r": rng.normal(size=(4, 3)), "e": rng.normal(size=(4, 2)), "a": rng.normal(size=(2, 2)), "symmetry": np.array([1.5, -2.0])}
+    edges = [(0, 2, [0.5, 1.0]), (1, 2, [0.25, 0.0]), (1, 2, [0.75, 0.0]), (2, 3, [0.1, 1.0])]
+    got = {r.idx: r.v for r in attention.edge_attention(spark.createDataFrame([(1, i, x.tolist()) for i, x in enumerate(v)], attention.VECTORS), spark.createDataFrame([(1, *e) for e in edges], "circuit_id long, drv long, snk long, e array<double>"), w, 2, matching=1).collect()}
+    for node in range(4):
+        mine, want = [e for e in edges if e[1] == node], np.zeros(4)
+        for h in range(2):
+            part, score = slice(2 * h, 2 * h + 2), []
+            for a, b, e in mine:
+                z = (w["l"] @ v[a] + w["r"] @ v[b] + w["e"] @ np.array(e))[part]
+                score.append(float(np.where(z > 0, z, 0.2 * z) @ w["a"][h]) + w["symmetry"][h] * e[1])
+            if mine:
+                p = np.exp(score) / np.exp(score).sum()
+                want[part] = sum(q * (w["l"] @ v[a])[part] for q, (a, _, _) in zip(p, mine))
+        assert np.allclose(got[node], want)
+
+
 def test_fused_embedding_has_the_width_of_the_timing_half(spark, small):
     got = plans.fused_embedding(spark, small)
     assert got.columns == ["circuit_id", "idx", *(f"v{k}" for k in range(6))]
