@@ -19,6 +19,7 @@ result. Columns besides the keys are ignored; keys may have any names but scores
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 
 import pyarrow as pa
@@ -28,10 +29,19 @@ from .textops import slices
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+#: Scores are summed in whole billionths.
+SCALE = 10**9
+#: The key of a piece in the tree; no character is empty.
+END = ""
+_NOTHING: dict = {}
 UNKNOWN = 10.0  #: below the least score of any piece, as the library does for unknown characters
 REMEMBERED = 200_000
 
 
+def _whole(score: float) -> int:
+    return round(score * SCALE)
+
+
 class Segmenter:
     """The pieces of one vocabulary file."""
 
@@ -45,8 +55,13 @@ class Segmenter:
                 self.byte[int(m.id_to_piece(i)[3:5], 16)] = i
             elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
                 self.score[m.id_to_piece(i)], self.id[m.id_to_piece(i)] = m.get_score(i), i
-        self.longest = max(map(len, self.score))
         self.least = min(self.score.values()) - UNKNOWN
+        self.tree: dict = {}  # by characters; under END stands the piece that ends there
+        for piece, s in self.score.items():
+            node = self.tree
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[END] = (_whole(s), (self.id[piece],))
         self.words: dict = {}
 
     def normalize(self, text: str) -> str:
@@ -54,42 +69,55 @@ class Segmenter:
         text = self.model.normalize(text).replace(" ", MARK)
         return text if text.startswith(MARK) or not text else MARK + text
 
-    def edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each position, the edges that end there: (where they begin, score, ids)."""
+    def lattice(self, word: str) -> tuple[list[list[tuple[int, int, tuple[int, ...]]]], list[int]]:
+        """For each position the edges that end there, (where they begin, score, ids), and the best score from the beginning."""
         into: list = [[] for _ in range(len(word) + 1)]
+        best: list = [0] + [None] * len(word)
         for a in range(len(word)):
-            known = False
-            for b in range(a + 1, min(len(word), a + self.longest) + 1):
-                s = self.score.get(word[a:b])
-                if s is not None:
-                    into[b].append((a, s, (self.id[word[a:b]],)))
-                    known |= b == a + 1
-            if not known:
-                into[a + 1].append((a, self.least, tuple(self.byte.get(x, 0) for x in word[a].encode("utf-8", "surrogatepass"))))
-        return into
+            node, start, b = self.tree, best[a], a
+            for c in word[a:] if len(word) - a < 64 else itertools.islice(word, a, None):
+                node = node.get(c)
+                if node is None:
+                    break
+                b += 1
+                piece = node.get(END)
+                if piece:
+                    into[b].append((a, *piece))
+                    if best[b] is None or start + piece[0] > best[b]:
+                        best[b] = start + piece[0]
+            if not self.tree.get(word[a], _NOTHING).get(END):
+                s = _whole(self.least)
+                into[a + 1].append((a, s, tuple(self.byte.get(x, 0) for x in word[a].encode("utf-8", "surrogatepass"))))
+                if best[a + 1] is None or start + s > best[a + 1]:
+                    best[a + 1] = start + s
+        return into, best
+
+    def edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
+        """For each position, the edges that end there: (where they begin, score, ids)."""
+        return [[(a, s / SCALE, ids) for a, s, ids in into] for into in self.lattice(word)[0]]
 
     def nbest_word(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of one word, best first."""
-        into = self.edges(word)
-        best = [0.0] + [float("-inf")] * len(word)
-        for b in range(1, len(word) + 1):
-            best[b] = max((best[a] + s for a, s, _ in into[b]), default=float("-inf"))
+        into, best = self.lattice(word)
         # A state is (cost, age, position, score from there to the end, (ids, state after)): among equal costs the
-        # youngest goes on, so that a tie is followed to its end instead of all ties side by side.
-        agenda, found, age = [(round(-best[-1], 6), 0, len(word), 0.0, None)], [], 0
+        # youngest goes on, so that a tie is followed to its end instead of all ties side by side. Scores are whole numbers of
+        # billionths, so sums are exact and ties are ties.
+        agenda, found, age = [(-best[-1], 0, len(word), 0, None)], [], 0
+        push, pop = heapq.heappush, heapq.heappop
         while agenda and len(found) < n:
-            _, _, at, done, after = heapq.heappop(agenda)
+            _, _, at, done, after = pop(agenda)
             if at == 0:
                 ids = []
                 while after:
                     ids.extend(after[0])
                     after = after[1]
-                found.append((round(done, 6), tuple(ids)))
+                found.append((round(done / SCALE, 6), tuple(ids)))
                 continue
             for a, s, piece in into[at]:
                 age -= 1
-                heapq.heappush(agenda, (round(-(best[a] + s + done), 6), age, a, s + done, (piece, after)))
-        return sorted(found, key=lambda f: -f[0])
+                total = s + done
+                push(agenda, (-best[a] - total, age, a, total, (piece, after)))
+        return found
 
     def nbest(self, text: str | None, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text as (score, ids), best first."""
