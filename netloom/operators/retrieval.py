@@ -23,7 +23,7 @@ def tokens(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return each.groupBy(key, "token").agg(F.count("*").alias("tf"))
 
 
-def keyword_topk(queries: DataFrame, docs: DataFrame, query: str, doc: str, k: int, first: int = 1 << 16) -> DataFrame:
+def keyword_topk(queries: DataFrame, docs: DataFrame, query: str, doc: str, k: int, first: int = 1 << 18) -> DataFrame:
     """The k documents with the greatest shared token counts, min(tf) summed over tokens; ties go to the larger id. Exact.
 
     A query's tokens are taken from the rarest on, as long as no more than `first` documents hold them in sum, and at least
@@ -33,12 +33,13 @@ def keyword_topk(queries: DataFrame, docs: DataFrame, query: str, doc: str, k: i
     """
     from ..sources.tables import checkpointed
 
-    q, d = checkpointed(queries.select(query, "token", F.col("tf").alias("q_tf"))), checkpointed(docs.select(doc, "token", F.col("tf").alias("d_tf")))
-
     def small(rows: DataFrame) -> DataFrame:
         return F.broadcast(rows) if rows.limit(BROADCAST + 1).count() <= BROADCAST else rows
 
-    held = d.join(small(q.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("held"))
+    q = checkpointed(queries.select(query, "token", F.col("tf").alias("q_tf")))
+    d = docs.join(small(q.select("token").distinct()), "token", "left_semi")  # no other token plays a part
+    d = checkpointed(d.select(doc, "token", F.col("tf").alias("d_tf")))
+    held = d.groupBy("token").agg(F.count("*").alias("held"))
     rising = Window.partitionBy(query).orderBy("held", "token").rowsBetween(Window.unboundedPreceding, -1)  # the tokens of one query
     ranked = checkpointed(q.join(held, "token").withColumn("before", F.coalesce(F.sum("held").over(rising), F.lit(0))))
     score = F.sum(F.least("q_tf", "d_tf"))
