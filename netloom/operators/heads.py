@@ -7,14 +7,15 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.tables import checkpointed
 from . import metrics
 
 FEATURES = ["is_pi", "is_po", "delay_f", "cap_f", "res_f", "clock_f", "depth_f"]
 
 
 def _split(rows: DataFrame, features: list[str] = FEATURES) -> tuple[DataFrame, DataFrame]:
-    """Train and held-out circuits by a hash of the circuit."""
-    v = VectorAssembler(inputCols=features, outputCol="f").transform(rows)
+    """Train and held-out circuits by a hash of the circuit; the rows are stored, since every fit and figure reads them."""
+    v = VectorAssembler(inputCols=features, outputCol="f").transform(checkpointed(rows))
     held = F.pmod(F.xxhash64("circuit_id"), F.lit(10)) < 3
     return v.where(~held), v.where(held)
 
@@ -33,7 +34,7 @@ def classifier_head(rows: DataFrame, cap: float = 20.0) -> DataFrame:
     model = LogisticRegression(featuresCol="f", labelCol="y", weightCol="weight", probabilityCol="p", regParam=1e-6).fit(train)
     from pyspark.ml.functions import vector_to_array
 
-    return metrics.classification(model.transform(held).select(F.round(vector_to_array("p")[1], 9).alias("score"), F.col("y").cast("long").alias("y")))
+    return metrics.classification(checkpointed(model.transform(held).select(F.round(vector_to_array("p")[1], 9).alias("score"), F.col("y").cast("long").alias("y"))))
 
 
 def _regressed(train: DataFrame, held: DataFrame, target: str) -> DataFrame:

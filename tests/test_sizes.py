@@ -1,7 +1,7 @@
 """What grows with the circuits stays out of the driver and is computed once."""
 
 
-from netloom.operators import heads, timing
+from netloom.operators import heads
 from netloom.sources.tables import checkpointed
 
 
@@ -21,3 +21,8 @@ def test_a_factor_of_the_session_stays(spark):
         assert spark.conf.get("spark.sql.sources.fileCompressionFactor") == "3.0"
     finally:
         spark.conf.unset("spark.sql.sources.fileCompressionFactor")
+
+
+def test_heads_fit_stored_rows(spark):
+    rows = spark.createDataFrame([(c, *map(float, range(7)), 1.0) for c in range(20)], ["circuit_id", *heads.FEATURES, "y"])
+    assert all(part.inputFiles() for part in heads._split(rows))
