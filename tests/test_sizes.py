@@ -1,7 +1,7 @@
 """What grows with the circuits stays out of the driver and is computed once."""
 
 
-from netloom.operators import heads
+from netloom.operators import heads, timing
 from netloom.sources.tables import checkpointed
 
 
@@ -26,3 +26,18 @@ def test_a_factor_of_the_session_stays(spark):
 def test_heads_fit_stored_rows(spark):
     rows = spark.createDataFrame([(c, *map(float, range(7)), 1.0) for c in range(20)], ["circuit_id", *heads.FEATURES, "y"])
     assert all(part.inputFiles() for part in heads._split(rows))
+
+
+def test_small_circuits_share_a_call(spark):
+    """Ten circuits of ten nodes, whose numbers overlap, are timed, levelled and walked in a call for each bucket."""
+    keys = spark.range(100).select((F.col("id") / 10).cast("long").alias("circuit_id"), (F.col("id") % 10).alias("idx"))
+    arcs = keys.where("idx > 0").select("circuit_id", (F.col("idx") - 1).alias("drv"), F.col("idx").alias("snk"), (F.col("circuit_id") + 1.0).alias("fwd"), F.lit(1.0).alias("bwd"))
+    grouped = timing.propagate(keys, arcs, "grouped").collect()
+    assert sorted((r.circuit_id, r.idx, r.at, r.depth, r.suffix, r.placed) for r in grouped) == [(c, i, i * (c + 1.0), i, 9.0 - i, True) for c in range(10) for i in range(10)]
+    assert len({tuple(r) for r in timing.propagate(keys, arcs).collect()} ^ {tuple(r) for r in grouped}) == 0
+    levels = timing.levels(keys, arcs)
+    assert sorted(map(tuple, levels.collect())) == [(c, i, i) for c in range(10) for i in range(10)]
+    walked = timing.fanin_cones(arcs, keys.where("idx IN (4, 9)"))
+    assert sorted(map(tuple, walked.collect())) == [(c, s, i) for c in range(10) for s in (4, 9) for i in range(s + 1)]
+    for frame in (levels, walked):
+        assert "bucket" in frame._jdf.queryExecution().analyzed().toString()
