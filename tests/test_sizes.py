@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from netloom.operators import heads, timing
+from netloom.plans import circuit_queries
 from netloom.sources.tables import checkpointed
 
 
@@ -42,3 +43,11 @@ def test_small_circuits_share_a_call(spark):
     assert sorted(map(tuple, walked.collect())) == [(c, s, i) for c in range(10) for s in (4, 9) for i in range(s + 1)]
     for frame in (levels, walked):
         assert "bucket" in frame._jdf.queryExecution().analyzed().toString()
+
+
+def test_cones_of_some_circuits(spark, small):
+    """Cutting the cones of two circuits gives the cones that cutting all gives for them."""
+    of = spark.createDataFrame([(3,), (7,)], "circuit_id long")
+    members = lambda cut: sorted(map(tuple, cut.members.where("parent IN (3, 7)").select("parent", "seed", "parent_idx", "role").collect()))
+    some, every = circuit_queries._cones(spark, small, of)[1], circuit_queries._cones(spark, small)[1]
+    assert members(some) == members(every) and some.members.where("parent NOT IN (3, 7)").isEmpty()
