@@ -2,9 +2,10 @@
 
 Nodes of a circuit are dealt into blocks. A task takes a block of asking and a block of answering nodes and returns,
 for each asking node and head, the greatest score, the sum of the exponentials above it and the weighted vector. Those
-merge exactly (the sums are shifted to the greatest of the maxima), so no row for a pair of nodes is ever made, and a
-circuit is never held in one task. Rows that cross the shuffle: a node once for each block it meets, so a circuit of n
-nodes sends n * n / block rows; that is what the operator computes, and the block is a parameter.
+merge exactly (the sums are shifted to the greatest of the maxima), so no row for a pair of nodes is ever made. Rows that
+cross the shuffle: a node once for each block it meets, so a circuit of n nodes sends n * n / block rows; that is what the
+operator computes, and the block is a parameter. Only circuits of more than WHOLE nodes are dealt so: smaller ones cross
+the shuffle once and are attended by the task that holds them, which is the same sum without its parts.
 
 Vectors are (circuit_id, idx, v array<double>). Dense layers are matrix products over Arrow batches.
 """
@@ -17,7 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .timing import _bucketed, _by_size, _numbered, _place
+
 VECTORS = "circuit_id long, idx long, v array<double>"
+#: Circuits of at most so many nodes are attended in one piece; a task holds the square of it in scores at once.
+WHOLE = 2048
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -69,8 +74,70 @@ def _meet(heads: int, q: np.ndarray, k: np.ndarray, v: np.ndarray):
     return np.stack(top, 1), np.stack(total, 1), np.concatenate(out, 1)
 
 
-def global_attention(vectors: DataFrame, w: dict[str, np.ndarray], heads: int, block: int = 4096) -> DataFrame:
-    """(circuit_id, idx, v): each node's vector after attention to all nodes of its circuit; w has q, k, v and o."""
+def _attended(heads: int, ids: np.ndarray, q: np.ndarray, k: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The weighted vectors of all nodes of whole circuits, whose rows stand together; circuits of one size are one product,
+    of which no part has more than WHOLE * WHOLE scores."""
+    out, starts = np.empty_like(v), np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    sizes = np.diff(np.r_[starts, len(ids)]) if len(ids) else starts[:0]
+    for n in np.unique(sizes):
+        every, some, strip = starts[sizes == n], max(1, WHOLE * WHOLE // int(n * n)), max(1, WHOLE * WHOLE // int(n))
+        for at in range(0, len(every), some):
+            rows = every[at : at + some, None] + np.arange(n)
+            for begin in range(0, n, strip):
+                asking = rows[:, begin : begin + strip]
+                for h in range(heads):
+                    part = slice(h * v.shape[1] // heads, (h + 1) * v.shape[1] // heads)
+                    s = q[asking, part] @ k[rows, part].transpose(0, 2, 1) / np.sqrt(part.stop - part.start)
+                    s = np.exp(s - s.max(2, keepdims=True))
+                    out[asking, part] = s @ v[rows, part] / s.sum(2, keepdims=True)
+    return out
+
+
+def _in_one_piece(vectors: DataFrame, w: dict[str, np.ndarray], heads: int) -> DataFrame:
+    """global_attention() of circuits that each fit one task: rows are sorted by circuit, and one is worked when it is all there."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def done():
+            rows = pa.Table.from_batches(held)
+            x = matrix(rows.column("v"))
+            out = _attended(heads, rows.column("circuit_id").to_numpy(), x @ w["q"].T, x @ w["k"].T, x @ w["v"].T)
+            return pa.Table.from_arrays([rows.column("circuit_id"), rows.column("idx"), arrays(out @ w["o"].T)], ["circuit_id", "idx", "v"]).to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("circuit_id").to_numpy()
+            begun = int(np.searchsorted(ids, ids[-1]))  # where the batch's last circuit begins
+            if begun or (held and held[-1].column("circuit_id")[0].as_py() != ids[0]):
+                held.append(batch.slice(0, begun))
+                yield from done()
+                held = []
+            held.append(batch.slice(begun))
+        if held:
+            yield from done()
+
+    return vectors.select("circuit_id", "idx", "v").repartition("circuit_id").sortWithinPartitions("circuit_id").mapInArrow(run, VECTORS)
+
+
+def global_attention(vectors: DataFrame, w: dict[str, np.ndarray], heads: int, block: int = 4096, whole: int = WHOLE) -> DataFrame:
+    """(circuit_id, idx, v): each node's vector after attention to all nodes of its circuit; w has q, k, v and o.
+
+    Circuits of more than `whole` nodes are dealt into blocks.
+    """
+    from ..sources.tables import checkpointed
+
+    vectors = vectors.where("circuit_id IS NOT NULL")
+    large = checkpointed(vectors.groupBy("circuit_id").count().where(F.col("count") > whole).select("circuit_id"))
+    if large.isEmpty():
+        return _in_one_piece(vectors, w, heads)
+    small = _in_one_piece(vectors.join(large, "circuit_id", "left_anti"), w, heads)
+    return small.unionByName(_in_blocks(vectors.join(large, "circuit_id", "left_semi"), w, heads, block))
+
+
+def _in_blocks(vectors: DataFrame, w: dict[str, np.ndarray], heads: int, block: int) -> DataFrame:
+    """global_attention() of circuits that no task holds as a whole."""
     sizes = vectors.groupBy("circuit_id").agg(F.ceil(F.count("*") / block).cast("int").alias("of"))
     rows = vectors.join(sizes, "circuit_id").withColumn("own", F.pmod(F.xxhash64("idx"), F.col("of")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("of") - 1))
@@ -106,18 +173,39 @@ def local_sums(vectors: DataFrame, arcs: DataFrame, w: dict[str, np.ndarray], ep
 
 
 def gps_block(vectors: DataFrame, arcs: DataFrame, w: dict[str, np.ndarray], heads: int, block: int = 4096) -> DataFrame:
-    """Vector plus local sums plus attention, both of the normalised vector; then plus two layers of it, normalised."""
-    from ..sources.tables import checkpointed
+    """Vector plus local sums plus attention, both of the normalised vector; then plus two layers of it, normalised.
 
-    normal = checkpointed(mapped(vectors, layer_norm))
-    keys = ["circuit_id", "idx"]
-    both = vectors.join(local_sums(normal, arcs, w).withColumnRenamed("v", "near"), keys).join(global_attention(normal, w, heads, block).withColumnRenamed("v", "far"), keys)
+    Nodes and arcs of circuits that a task holds cross the shuffle once; larger ones are joined and dealt into blocks.
+    """
+    from ..sources.tables import checkpointed
 
     def close(v, near, far):
         v = v + near + far
         return v + two_layers(layer_norm(v), w, "ffn")
 
-    return checkpointed(mapped(both, close, "v", "near", "far"))
+    def run(n: pa.Table, a: pa.Table) -> pa.Table:
+        ids = [n.column(c).to_numpy() for c in ("circuit_id", "idx")]
+        numbers = _numbered(*ids)
+        (circuit, idx), v = (x[numbers[3]] for x in ids), matrix(n.column("v"))[numbers[3]]
+        if n.num_rows:
+            normal, sums = layer_norm(v), np.zeros_like(v)
+            if a.num_rows:
+                (drv, x), (snk, y) = (_place(numbers, a.column("circuit_id").to_numpy(), a.column(end).to_numpy()) for end in ("drv", "snk"))
+                np.add.at(sums, snk[x & y], np.maximum(normal[drv[x & y]] + matrix(a.column("e"))[x & y] @ w["edge"].T, 0.0))
+            far = _attended(heads, circuit, normal @ w["q"].T, normal @ w["k"].T, normal @ w["v"].T) @ w["o"].T
+            v = close(v, two_layers(normal + sums, w, "local"), far)
+        return pa.table({"circuit_id": circuit, "idx": idx, "v": arrays(v)})
+
+    def small(nodes: DataFrame, edges: DataFrame, buckets: int) -> DataFrame:
+        nodes, edges = (_bucketed(x, buckets).groupBy("bucket") for x in (nodes, edges))
+        return nodes.cogroup(edges).applyInArrow(run, VECTORS)
+
+    def large(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+        keys, normal = ["circuit_id", "idx"], checkpointed(mapped(nodes, layer_norm))
+        both = nodes.join(local_sums(normal, edges, w).withColumnRenamed("v", "near"), keys).join(_in_blocks(normal, w, heads, block).withColumnRenamed("v", "far"), keys)
+        return mapped(both, close, "v", "near", "far")
+
+    return checkpointed(_by_size(vectors.select("circuit_id", "idx", "v"), arcs.select("circuit_id", "drv", "snk", "e"), small, large))
 
 
 def fused_embedding(timing: DataFrame, features: DataFrame, places: DataFrame, arcs: DataFrame, w: dict[str, np.ndarray], blocks: list[dict], heads: int, block: int = 4096) -> DataFrame:
@@ -126,7 +214,9 @@ def fused_embedding(timing: DataFrame, features: DataFrame, places: DataFrame, a
     The stack starts from the features and the structural encoding (places), each through its weights.
     """
     keys = ["circuit_id", "idx"]
-    h = mapped(features.join(places.withColumnRenamed("v", "pe"), keys), lambda v, pe: v @ w["features"].T + pe @ w["places"].T, "v", "pe")
+    from ..sources.tables import checkpointed
+
+    h = checkpointed(mapped(features.join(places.withColumnRenamed("v", "pe"), keys), lambda v, pe: v @ w["features"].T + pe @ w["places"].T, "v", "pe"))
     for part in blocks:
         h = gps_block(h, arcs, part, heads, block)
     both = timing.withColumnRenamed("v", "t").join(h, keys)

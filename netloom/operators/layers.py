@@ -42,8 +42,8 @@ def timing_backbone(vectors: DataFrame, arcs: DataFrame, term: Callable[[int], C
     turned = {"drv": "snk", "snk": "drv"}
     back = arcs.select(*(F.col(c).alias(turned.get(c, c)) for c in arcs.columns))
     backward = relax_sweeps(start, back, sweeps, size, "min", -1.0, term)
-    both = forward.withColumnRenamed("v", "f").join(backward.withColumnRenamed("v", "b"), ["circuit_id", "idx"])
-    both = both.join(vectors.withColumnRenamed("v", "x"), ["circuit_id", "idx"]).join(_pooled(vectors, size, F.avg, "c"), "circuit_id")
+    own = vectors.join(_pooled(vectors, size, F.avg, "c"), "circuit_id").withColumnRenamed("v", "x")  # first, while the rows are short
+    both = own.join(forward.withColumnRenamed("v", "f"), ["circuit_id", "idx"]).join(backward.withColumnRenamed("v", "b"), ["circuit_id", "idx"])
     return both.withColumn("v", F.concat("f", "b")).select("circuit_id", "idx", F.zip_with(_plus("v", linear(raw, "x")), linear(context, "c"), lambda x, y: x + y).alias("v"))
 
 

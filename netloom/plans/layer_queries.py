@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import library as lib
 from ..operators import analog, features, heads, layers, messages, nlspec
 from ..operators.netlist import edges_of, nodes_from_events
-from ..sources.tables import table
+from ..sources.tables import checkpointed, table
 from .feature_queries import _VECTORS, _vectors
 from .netlist_queries import _labels, netlist, slacks
 from .netlist_sql import sql
@@ -45,12 +45,12 @@ def message_pass_softmin(spark, sf_dir):
 
 def relaxation_sweeps(spark, sf_dir):
     n = netlist(spark, sf_dir)
-    return _spread(messages.relax_sweeps(_vectors(n), _edges(n), SWEEPS, term=_term), SIZE)
+    return _spread(messages.relax_sweeps(_vectors(n), checkpointed(_edges(n)), SWEEPS, term=_term), SIZE)
 
 
 def timing_embedding(spark, sf_dir):
     n = netlist(spark, sf_dir)
-    return _spread(layers.timing_backbone(_vectors(n), _edges(n), _term, SEED, RAW, CONTEXT, SWEEPS, SIZE), 2 * SIZE)
+    return _spread(layers.timing_backbone(_vectors(n), checkpointed(_edges(n)), _term, SEED, RAW, CONTEXT, SWEEPS, SIZE), 2 * SIZE)
 
 
 def graph_convolution(spark, sf_dir):

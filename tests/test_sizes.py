@@ -1,9 +1,10 @@
 """What grows with the circuits stays out of the driver and is computed once."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from netloom.operators import heads, timing
-from netloom.plans import circuit_queries
+from netloom.operators import attention, heads, timing
+from netloom.plans import circuit_queries, layer_queries, network_queries
 from netloom.sources.tables import checkpointed
 
 
@@ -51,3 +52,46 @@ def test_cones_of_some_circuits(spark, small):
     members = lambda cut: sorted(map(tuple, cut.members.where("parent IN (3, 7)").select("parent", "seed", "parent_idx", "role").collect()))
     some, every = circuit_queries._cones(spark, small, of)[1], circuit_queries._cones(spark, small)[1]
     assert members(some) == members(every) and some.members.where("parent NOT IN (3, 7)").isEmpty()
+
+
+def _circuits(spark, sizes, width):
+    rng = np.random.default_rng(5)
+    nodes = [(c, i, rng.normal(size=width).tolist()) for c, n in sizes.items() for i in range(n)]
+    arcs = [(c, i - d, i, rng.normal(size=3).tolist()) for c, n in sizes.items() for i in range(n) for d in (1, 3) if i >= d]
+    w = {k: rng.normal(size=(width, width)) for k in ("q", "k", "v", "o", "local1", "local2", "ffn1", "ffn2")} | {"edge": rng.normal(size=(width, 3))}
+    return spark.createDataFrame(nodes, attention.VECTORS), spark.createDataFrame(arcs, "circuit_id long, drv long, snk long, e array<double>"), w
+
+
+def _vectors(rows):
+    return {(r.circuit_id, r.idx): r.v for r in rows.collect()}
+
+
+def _same(a, b):
+    return a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-9) for k in a)
+
+
+def test_small_circuits_cross_the_shuffle_once(spark, monkeypatch):
+    """No node is sent to each block that it meets where a task holds the circuit; blocks and whole circuits give the same."""
+    nodes, arcs, w = _circuits(spark, {1: 1, 2: 40, 3: 40, 4: 7}, 4)
+    plan = lambda rows: rows._jdf.queryExecution().analyzed().toString()
+    whole = attention.global_attention(nodes, w, 2, 8)
+    assert "explode" not in plan(whole)
+    for most in (0, 10):
+        dealt = attention.global_attention(nodes, w, 2, 8, whole=most)
+        assert "explode" in plan(dealt) and _same(_vectors(whole), _vectors(dealt))
+    monkeypatch.setattr(attention, "WHOLE", 5)  # circuits in strips
+    assert _same(_vectors(attention.global_attention(nodes, w, 2, 8, whole=100)), _vectors(whole))
+    monkeypatch.undo()
+    block = _vectors(attention.gps_block(nodes, arcs, w, 2, 8))
+    monkeypatch.setattr(timing, "TASK_NODES", 10)  # some are joined and dealt into blocks
+    assert _same(_vectors(attention.gps_block(nodes, arcs, w, 2, 8)), block)
+
+
+def test_sweeps_and_blocks_read_stored_edges(spark, small, monkeypatch):
+    read = []
+    sweeps, blocks = layer_queries.messages.relax_sweeps, attention.gps_block
+    monkeypatch.setattr(layer_queries.messages, "relax_sweeps", lambda v, arcs, *a, **k: read.append(arcs) or sweeps(v, arcs, *a, **k))
+    monkeypatch.setattr(attention, "gps_block", lambda v, arcs, *a, **k: read.append(arcs) or blocks(v, arcs, *a, **k))
+    monkeypatch.setattr("netloom.operators.layers.relax_sweeps", layer_queries.messages.relax_sweeps)
+    layer_queries.relaxation_sweeps(spark, small), network_queries.fused_embedding(spark, small)
+    assert len(read) == 5 and all("Join" not in arcs._jdf.queryExecution().analyzed().toString() for arcs in read)
