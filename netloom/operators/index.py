@@ -24,6 +24,8 @@ from .vectors import _best, _probes, _ranked, _units, dot
 
 #: Cells at most: their centres are sent to every task.
 CELLS = 16_384
+#: Scores of rows against centres that a task holds at once.
+SCORES = 1 << 20
 ROW = "vec_id long, embedding array<double>, number int, cell int"
 
 
@@ -78,13 +80,16 @@ class VectorIndex:
         """rows with the `count` nearest cells, nearest first."""
         centres = self.centres
 
+        strip = max(1, SCORES // len(centres))
+
         def run(batches):
-            for batch in batches:
-                if batch.num_rows:
+            for whole in batches:
+                for batch in (whole.slice(at, strip) for at in range(0, whole.num_rows, strip)):
                     v = _units(matrix(batch.column("embedding")))
                     score = v @ centres.T - (centres**2).sum(1) / 2 if len(centres) > 1 else np.zeros((len(v), 1))  # one cell takes all
                     near = np.argsort(-score, axis=1, kind="stable")[:, :count].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(near.tolist(), pa.list_(pa.int32()))], ["vec_id", "embedding", "cells"])
+                    cells = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1, dtype=np.int32) * near.shape[1]), pa.array(near.ravel()))
+                    yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), cells], ["vec_id", "embedding", "cells"])
 
         rows = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
         return rows.mapInArrow(run, "vec_id long, embedding array<double>, cells array<int>")
