@@ -177,7 +177,12 @@ def hashed_vectors(texts: DataFrame, key: str, text: str = "text", size: int = 6
     """(vec_id, embedding): lower-case tokens hashed into `size` places with signs; a vector for every text with a token."""
     from .retrieval import tokens
 
-    each = tokens(texts, key, text).withColumn("h", F.xxhash64("token"))
+    return vectors_of_tokens(tokens(texts, key, text), key, size)
+
+
+def vectors_of_tokens(counts: DataFrame, key: str, size: int = 64) -> DataFrame:
+    """hashed_vectors() of token counts (key, token, tf)."""
+    each = counts.withColumn("h", F.xxhash64("token"))
     sums = each.groupBy(F.col(key).alias("vec_id"), F.pmod("h", F.lit(size)).cast("int").alias("at")).agg(F.sum(F.when(F.col("h") % 3 == 0, -F.sqrt("tf")).otherwise(F.sqrt("tf"))).alias("w"))
     one = sums.groupBy("vec_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "w"))).alias("m"))  # `size` entries at most
     return one.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("embedding"))
@@ -207,11 +212,12 @@ class TextStore:
         new = checkpointed(new.join(self.texts(), "key", "left_anti"))
         part = uuid.uuid4().hex
         tokens(new, "key").write.parquet(f"{self.path}/tokens-{part}")
-        vectors, there = hashed_vectors(new, "key"), VectorIndex.open(self.spark, f"{self.path}/vectors")
+        own, there = self.spark.read.schema("key long, token string, tf long").parquet(f"{self.path}/tokens-{part}"), VectorIndex.open(self.spark, f"{self.path}/vectors")
         if there and there.manifest["tag"] == tag and there.manifest["rows"]:
-            there.add(vectors)
-        else:
-            every = vectors if not there else hashed_vectors(self.texts().unionByName(new.select("key", "text")), "key")
+            there.add(vectors_of_tokens(own, "key"))
+        else:  # a build reads its vectors several times
+            every = vectors_of_tokens(own, "key") if not there else hashed_vectors(self.texts().unionByName(new.select("key", "text")), "key")
+            every = checkpointed(every)
             VectorIndex.build(every, f"{self.path}/vectors", tag)
         new.select("key", "text").write.parquet(f"{self.path}/texts-{part}")  # last: a text is there when all of it is
         return self

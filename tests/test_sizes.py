@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from netloom.operators import attention, heads, timing
+from netloom.operators import attention, heads, index, retrieval, timing
 from netloom.plans import circuit_queries, layer_queries, network_queries
 from netloom.sources.tables import checkpointed
 
@@ -95,3 +95,26 @@ def test_sweeps_and_blocks_read_stored_edges(spark, small, monkeypatch):
     monkeypatch.setattr("netloom.operators.layers.relax_sweeps", layer_queries.messages.relax_sweeps)
     layer_queries.relaxation_sweeps(spark, small), network_queries.fused_embedding(spark, small)
     assert len(read) == 5 and all("Join" not in arcs._jdf.queryExecution().analyzed().toString() for arcs in read)
+
+
+def test_added_texts_are_tokenised_once(spark, tmp_path, monkeypatch):
+    """Vectors come from the stored tokens, in a build and in an add, and equal those of the texts."""
+    asked, tokens = [], retrieval.tokens
+    monkeypatch.setattr(retrieval, "tokens", lambda *a, **k: asked.append(a) or tokens(*a, **k))
+    texts = spark.createDataFrame([(k, f"delay of gate g{k} and gate g{k % 3}") for k in range(40)], "key long, text string")
+    store = index.TextStore(spark, str(tmp_path / "t")).add(texts.where("key < 30")).add(texts.where("key >= 30"))
+    assert len(asked) == 2
+    built = {r.vec_id: list(r.embedding) for r in index.VectorIndex.open(spark, f"{store.path}/vectors").rows().collect()}
+    assert built == {r.vec_id: list(r.embedding) for r in index.hashed_vectors(texts, "key").collect()}
+
+
+def test_cells_are_scored_in_strips(spark, monkeypatch):
+    """A task holds a bounded number of scores, however many cells and rows there are."""
+    rng = np.random.default_rng(7)
+    rows = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(50)], "vec_id long, embedding array<double>").coalesce(1)
+    one = index.VectorIndex.__new__(index.VectorIndex)
+    one.centres = rng.normal(size=(10, 4))
+    held = one._cells(rows, 3)
+    monkeypatch.setattr(index, "SCORES", 70)
+    strips = one._cells(rows, 3)
+    assert sorted(map(tuple, held.select("vec_id", F.concat_ws(" ", "cells")).collect())) == sorted(map(tuple, strips.select("vec_id", F.concat_ws(" ", "cells")).collect()))
