@@ -18,7 +18,7 @@ def node_features(spark, sf_dir) -> DataFrame:
 
 
 def edge_features(spark, sf_dir):
-    return features.edge_features(netlist(spark, sf_dir).arcs)
+    return features.edge_features(netlist(spark, sf_dir).wires)
 
 
 def graph_labels(spark, sf_dir):
@@ -42,17 +42,17 @@ def _vectors(n):
 
 def message_pass_max(spark, sf_dir):
     n = netlist(spark, sf_dir)
-    return messages.aggregate_messages(_vectors(n), n.arcs, "max")
+    return messages.aggregate_messages(_vectors(n), n.wires, "max")
 
 
 def message_pass_min(spark, sf_dir):
     n = netlist(spark, sf_dir)
-    return messages.aggregate_messages(_vectors(n), n.arcs, "min")
+    return messages.aggregate_messages(_vectors(n), n.wires, "min")
 
 
 def message_pass_softmax(spark, sf_dir):
     n = netlist(spark, sf_dir)
-    return messages.aggregate_messages(_vectors(n), n.arcs, "soft", beta=4.0)
+    return messages.aggregate_messages(_vectors(n), n.wires, "soft", beta=4.0)
 
 
 def attention_softmax(spark, sf_dir):
@@ -94,7 +94,7 @@ def split_random(spark, sf_dir):
 
 
 def augment_edge_noise(spark, sf_dir):
-    return features.augment(netlist(spark, sf_dir).arcs)
+    return features.augment(netlist(spark, sf_dir).wires)
 
 
 def metadata_filter(spark, sf_dir):

@@ -8,7 +8,7 @@ from ..functions.library import CELLS_SQL
 from ..operators import generate, mapping, timing
 from ..operators.netlist import Netlist, placed
 from ..sources import netlists
-from ..sources.tables import checkpointed, table
+from ..sources.tables import checkpointed, table, tasks_for
 from .netlist_queries import netlist
 from .netlist_sql import CTES, sql
 
@@ -22,7 +22,8 @@ def _texts(spark, sf_dir) -> DataFrame:
 def _parsed(spark, sf_dir) -> Netlist:
     nodes, edges = mapping.wire(checkpointed(netlists.parse_bench(netlists.lines(_texts(spark, sf_dir)))))
     own = F.col("name").cast("long").alias("circuit_id")
-    return Netlist(checkpointed(placed(nodes.select(own, "idx", "role", "node_type"))), checkpointed(edges.select(own, "drv", "snk").distinct()))
+    nodes = checkpointed(placed(nodes.select(own, "idx", "role", "node_type")))
+    return Netlist(nodes, checkpointed(edges.select(own, "drv", "snk").distinct()), tasks_for(nodes))
 
 
 def bench_statements(spark, sf_dir) -> DataFrame:

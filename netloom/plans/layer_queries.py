@@ -23,7 +23,7 @@ MEANT = ["two_stage_opamp", "folded_cascode", "diff_pair", "current_mirror", "co
 
 
 def _edges(n) -> DataFrame:
-    return n.arcs.select("circuit_id", "drv", "snk", (F.col("wire_delay") / lib.WIRE_REF).alias("e0"), (F.col("manhattan") / lib.MANHATTAN_REF).alias("e1"), (F.col("fanout") / lib.FANOUT_REF).alias("e2"))
+    return n.wires.select("circuit_id", "drv", "snk", (F.col("wire_delay") / lib.WIRE_REF).alias("e0"), (F.col("manhattan") / lib.MANHATTAN_REF).alias("e1"), (F.col("fanout") / lib.FANOUT_REF).alias("e2"))
 
 
 _term = messages.matrix_term(EDGE, ["e0", "e1", "e2"])
@@ -76,7 +76,7 @@ def analog_node_features(spark, sf_dir):
 
 def analog_edge_features(spark, sf_dir):
     n = netlist(spark, sf_dir)
-    return features.analog_edge_features(_devices(n.nodes).withColumn("input_cap", F.coalesce("input_cap", F.lit(2e-15))), n.arcs, n.nets)
+    return features.analog_edge_features(_devices(n.nodes).withColumn("input_cap", F.coalesce("input_cap", F.lit(2e-15))), n.wires)
 
 
 def request_circuits(spark, sf_dir):

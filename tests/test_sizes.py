@@ -4,7 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from netloom.operators import attention, heads, index, retrieval, timing
-from netloom.plans import circuit_queries, layer_queries, network_queries
+from netloom.plans import circuit_queries, feature_queries, ingest_queries, layer_queries, netlist_queries, network_queries
+from netloom.sources import tables
 from netloom.sources.tables import checkpointed
 
 
@@ -118,3 +119,22 @@ def test_cells_are_scored_in_strips(spark, monkeypatch):
     monkeypatch.setattr(index, "SCORES", 70)
     strips = one._cells(rows, 3)
     assert sorted(map(tuple, held.select("vec_id", F.concat_ws(" ", "cells")).collect())) == sorted(map(tuple, strips.select("vec_id", F.concat_ws(" ", "cells")).collect()))
+
+
+def test_wires_cost_one_join(spark, small):
+    """Queries that need no delay of nodes join each edge with its driver alone, and tell edges apart without a shuffle."""
+    joins = {feature_queries.edge_features: 1, feature_queries.augment_edge_noise: 3, layer_queries.analog_edge_features: 5, layer_queries.edge_sums: 3, layer_queries.message_pass_weighted: 2, feature_queries.message_pass_max: 2, feature_queries.message_pass_min: 2}
+    for query, most in joins.items():
+        assert query(spark, small)._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= most, query
+    assert "Aggregate" not in feature_queries.edge_features(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tasks_grow_with_the_rows(spark, small, monkeypatch):
+    """A large table is dealt over more tasks than the session's shuffles have, with the same rows."""
+    queries = feature_queries.edge_features, layer_queries.edge_sums, ingest_queries.bench_nets
+    few = [sorted(map(tuple, q(spark, small).collect())) for q in queries]
+    monkeypatch.setattr(tables, "TASK_ROWS", 50)
+    assert netlist_queries.netlist(spark, small).wires.rdd.getNumPartitions() == 20  # of 1,000 nodes; the session has 4
+    for query, rows in zip(queries, few):
+        many = sorted(map(tuple, query(spark, small).collect()))
+        assert [r[:2] for r in many] == [r[:2] for r in rows] and np.allclose(many, rows, atol=2e-6)
