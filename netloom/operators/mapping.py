@@ -41,19 +41,20 @@ def decompose(gates: DataFrame) -> DataFrame:
     return one.unionByName(tree)
 
 
-def wire(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
+def wire(statements: DataFrame, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of parsed netlists. Flip-flops are cut: q is an input, d an output. The first driver of a signal
-    wins; pins of undriven signals are dropped."""
+    wins; pins of undriven signals are dropped. The work is dealt over so many tasks, else over as many as Spark takes."""
+    deal = lambda rows, *keys: rows.repartition(tasks, *keys) if tasks else rows
     cells = decompose(statements)
     ins = statements.where("kind IN ('input', 'dff')").select("name", "seq", "out").groupBy("name", "out").agg(F.min("seq").alias("seq"))
     nodes = ins.select("name", F.lit("PI").alias("role"), F.lit("PI").alias("node_type"), F.lit(0).alias("part"), "seq", F.lit(0).alias("sub"), F.col("out").alias("signal"), F.array().cast("array<string>").alias("pins"))
     gates = cells.select("name", F.lit("GATE").alias("role"), F.col("cell").alias("node_type"), F.lit(1).alias("part"), "seq", F.col("cell_no").alias("sub"), F.col("out").alias("signal"), F.col("ins").alias("pins"))
     outs = statements.where("kind IN ('output', 'dff')").select("name", F.lit("PO").alias("role"), F.lit("PO").alias("node_type"), F.lit(2).alias("part"), "seq", F.lit(0).alias("sub"), F.lit(None).cast("string").alias("signal"), F.when(F.col("kind") == "dff", F.col("ins")).otherwise(F.array("out")).alias("pins"))
-    every = nodes.unionByName(gates).unionByName(outs)
+    every = deal(nodes.unionByName(gates).unionByName(outs), "name")
     order = Window.partitionBy("name").orderBy("part", "seq", "sub", "signal")
     every = every.withColumn("idx", (F.row_number().over(order) - 1).cast("long"))
     drivers = every.where("signal IS NOT NULL").groupBy("name", "signal").agg(F.min("idx").alias("drv"))
-    pins = every.select("name", F.col("idx").alias("snk"), F.explode("pins").alias("signal"))
+    pins = deal(every.select("name", F.col("idx").alias("snk"), F.explode("pins").alias("signal")), "name", "signal")
     return every.select("name", "idx", "role", "node_type", "signal"), pins.join(drivers, ["name", "signal"]).select("name", "drv", "snk")
 
 

@@ -20,7 +20,8 @@ def _texts(spark, sf_dir) -> DataFrame:
 
 
 def _parsed(spark, sf_dir) -> Netlist:
-    nodes, edges = mapping.wire(checkpointed(netlists.parse_bench(netlists.lines(_texts(spark, sf_dir)))))
+    statements = checkpointed(netlists.parse_bench(netlists.lines(_texts(spark, sf_dir))))
+    nodes, edges = mapping.wire(statements, tasks_for(statements))
     own = F.col("name").cast("long").alias("circuit_id")
     nodes = checkpointed(placed(nodes.select(own, "idx", "role", "node_type")))
     return Netlist(nodes, checkpointed(edges.select(own, "drv", "snk").distinct()), tasks_for(nodes))
