@@ -64,6 +64,70 @@ def test_every_driver_gets_a_gradient():
     assert np.array_equal(way.sweep(u, np.zeros((2, 2)), None)[0][0], [2.0, 2.0]) and (out[0] >= 2.0).all()
 
 
+def _plain_sweeps(source, target, u, term, beta, sweeps):
+    for _ in range(sweeps):
+        out = u.copy()
+        for v in set(target.tolist()):
+            z = u[source[target == v]] + term[target == v]
+            top = z.max(0)
+            if beta is not None:
+                top = top + np.log(np.exp(beta * (z - top)).sum(0)) / beta
+            out[v] = np.maximum(u[v], top)
+        u = out
+    return u
+
+
+def test_sweeps_look_at_no_settled_node_again():
+    """Looking only at nodes that a sweep can change and that matter at the end gives what looking at all in every sweep gives,
+    and the same gradients, on chains longer and shorter than the sweeps, hubs, and on, behind and in front of cycles."""
+    rng, looked = np.random.default_rng(8), {}
+    random_ = [(int(rng.integers(max(0, k - 4), k)), k) for k in range(1, 40) for _ in range(3)]
+    shapes = {"chain": [(k, k + 1) for k in range(30)], "short": [(0, 1), (1, 2), (0, 2)], "hub": [(k, 40) for k in range(40)] + [(40, 41)], "cycle": [(0, 1), (1, 2), (2, 3), (3, 1), (3, 4), (5, 4), (4, 6)], "random": random_}
+    for name, pairs in shapes.items():
+        source, target = np.array(pairs).T
+        n = int(target.max()) + 1
+        u, term, weight = rng.normal(size=(n, 3)), rng.normal(size=(len(pairs), 3)) * 0.3, rng.normal(size=(n, 3))
+        for sweeps in (1, 4, 16):
+            way = network.Direction(source, target)
+
+            def run(u, term, beta=4.0):
+                tapes = []
+                for k in range(1, sweeps + 1):
+                    u, tape = way.sweep(u, term, beta, k, sweeps)
+                    tapes.append(tape)
+                return u, tapes
+
+            for beta in (None, 4.0, 900.0):
+                assert np.allclose(run(u, term, beta)[0], _plain_sweeps(source, target, u, term, beta, sweeps), rtol=0, atol=1e-12), (name, sweeps, beta)
+            out, tapes = run(u, term)
+            looked[name, sweeps], g, g_term = sum(len(node) for tape in tapes for node, *_ in tape), weight, np.zeros_like(term)
+            while tapes:
+                g, sent = way.back(g, tapes.pop())
+                for place, s in sent:
+                    g_term[place] += s
+            for x, gx in ((u, g), (term, g_term)):
+                for at in random.Random(1).sample(list(np.ndindex(x.shape)), 6):
+                    own, d = x[at], []
+                    for move in (1e-6, -1e-6):
+                        x[at] = own + move
+                        d.append((_plain_sweeps(source, target, u, term, 4.0, sweeps) * weight).sum())
+                    x[at] = own
+                    assert abs((d[0] - d[1]) / 2e-6 - gx[at]) < 1e-5, (name, sweeps, at)
+    assert looked["short", 16] == 2 and looked["hub", 16] == 2 and looked["chain", 16] <= 30 * 16 / 2
+
+
+def test_a_model_is_judged_in_the_job_of_the_next_step(spark, monkeypatch):
+    nodes, edges = _tables(spark, 8)
+    graphs = fitting.graphs(nodes, edges, ["f0", "f1"], ["e0"], ["slack"])
+    asked, sums = [], fitting.Model._sums
+    monkeypatch.setattr(fitting.Model, "_sums", lambda model, parts, weights: asked.append(len(parts)) or sums(model, parts, weights))
+    model, history = fitting.fit(graphs, graphs, nodes, ["f0", "f1"], ["e0"], ["slack"], hidden=2, sweeps=2, epochs=4, rate=0.01)
+    assert asked == [1, 2, 2, 2, 1] and [h["epoch"] for h in history] == [1, 2, 3, 4]
+    weights = {"slack": 3.0, "clock_period": 0.5}
+    losses = model.sums(graphs, weights, nodes.count(), 8, None, gradient=False)[0]
+    assert abs(sum(weights[k] * v for k, v in losses.items()) - min(h["validation"] for h in history)) < 1e-9
+
+
 def _spark_rows(spark, rows, parts):
     return spark.createDataFrame(rows, fitting.GRAPH).repartition(parts, "circuit_id")
 
