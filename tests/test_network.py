@@ -343,6 +343,16 @@ def test_cones_are_circuits(spark):
     assert few.select("circuit_id").distinct().count() == 2
 
 
+def test_every_output_has_its_cone(spark):
+    """A circuit with more outputs than a chosen 40 has a cone for each."""
+    nodes = [(1, k, "PI", "PI") for k in range(4)] + [(1, k, "GATE", "NAND2_X1") for k in range(4, 12)] + [(1, k, "PO", "PO") for k in range(12, 62)]
+    edges = [(1, k - d, k) for k in range(4, 12) for d in (1, 2)] + [(1, 8 + k % 4, k) for k in range(12, 62)]
+    nodes, edges = spark.createDataFrame(nodes, "circuit_id long, idx long, role string, node_type string"), spark.createDataFrame(edges, "circuit_id long, drv long, snk long")
+    cut, inner = cones.cone_circuits(nodes, edges)
+    assert sorted(r.seed for r in cut.where("role = 'PO'").collect()) == list(range(12, 62))
+    assert sorted(r.circuit_id for r in cut.select("circuit_id").distinct().collect()) == list(range(50)) and inner.select("circuit_id").distinct().count() == 50
+
+
 def test_named_metrics_by_hand(spark):
     rows = spark.createDataFrame([("a", 1.0, 1.5, 0.9, 1), ("a", 2.0, 2.0, 0.2, 0), ("a", 3.0, 2.0, 0.9, 0), ("b", 1.0, 1.0, 0.5, 1)], "name string, p double, t double, s double, y int")
     got = {(r["name"], r.task): r for r in cones.named_metrics(rows, "name", {"x": ("p", "t")}, {"f": ("s", "y")}).collect()}
