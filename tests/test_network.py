@@ -353,6 +353,22 @@ def test_every_output_has_its_cone(spark):
     assert sorted(r.circuit_id for r in cut.select("circuit_id").distinct().collect()) == list(range(50)) and inner.select("circuit_id").distinct().count() == 50
 
 
+@pytest.mark.parametrize("walked", [5000, 50_000])
+def test_cones_have_all_their_nodes(spark, monkeypatch, walked):
+    """A cone of 12,603 nodes, by joins and in one task, is whole where the first 6,000 end before the inputs, and the network judges it."""
+    monkeypatch.setattr(timing, "TASK_NODES", walked)
+    wide = 6300
+    role = F.when(F.col("idx") < wide, "PI").when(F.col("idx") < 2 * wide + 2, "GATE").otherwise("PO")
+    nodes = spark.range(2 * wide + 3).select(F.lit(7).cast("long").alias("circuit_id"), F.col("id").alias("idx")).withColumn("role", role).withColumn("node_type", F.when(role == "GATE", "INV_X1").otherwise(role))
+    first = spark.range(wide).select(F.lit(7).cast("long").alias("circuit_id"), F.col("id").alias("drv"), (F.col("id") + wide).alias("snk"))
+    gather = spark.range(wide).select(F.lit(7).cast("long").alias("circuit_id"), (F.col("id") + wide).alias("drv"), (2 * wide + F.col("id") % 2).alias("snk"))
+    last = spark.range(2).select(F.lit(7).cast("long").alias("circuit_id"), (F.col("id") + 2 * wide).alias("drv"), F.lit(2 * wide + 2).cast("long").alias("snk"))
+    cut, inner = cones.cone_circuits(nodes, first.union(gather).union(last))
+    assert cut.count() == 2 * wide + 3 and cut.where("role = 'PI'").count() == wide and inner.count() == 2 * wide + 2
+    rows = cut.select("circuit_id", "idx", F.lit(1.0).alias("clock"), F.lit(0.5).alias("f0"), F.lit(0.5).alias("slack"))
+    assert fitting.graphs(rows, inner.withColumn("e0", F.lit(0.1)), ["f0"], ["e0"], ["slack"], most=None).agg(F.sum("n")).first()[0] == 2 * wide + 3
+
+
 def test_named_metrics_by_hand(spark):
     rows = spark.createDataFrame([("a", 1.0, 1.5, 0.9, 1), ("a", 2.0, 2.0, 0.2, 0), ("a", 3.0, 2.0, 0.9, 0), ("b", 1.0, 1.0, 0.5, 1)], "name string, p double, t double, s double, y int")
     got = {(r["name"], r.task): r for r in cones.named_metrics(rows, "name", {"x": ("p", "t")}, {"f": ("s", "y")}).collect()}
